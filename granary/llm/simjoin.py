@@ -29,10 +29,10 @@ from granary.runtime import BROADCAST_ROWS, checkpointed, stored
 WIDTH, MIN_WORDS, THRESHOLD = 3, 40, 0.5
 TREES, BRANCHES, SIGNATURE = 6, 2, 64
 #: A node up to this size is compared exhaustively; a child must be SHRINK times its parent or less to go on.
-SMALL, SHRINK, MAX_DEPTH = 96, 0.5, 12
-SKETCHED, SKETCH_BITS = 32, 4
-#: Equal nibbles of the sketch that a pair must have. At similarity 0.5 17 of 32 are expected, with a deviation of 2.8.
-SKETCH_MATCHES = 7
+SMALL, SHRINK, MAX_DEPTH = 256, 0.5, 12
+SKETCHED, SKETCH_BITS, PER_NUMBER = 48, 4, 16
+#: Equal nibbles of the sketch that a pair must have. At similarity 0.5 25.5 of 48 are expected, with a deviation of 3.5.
+SKETCH_MATCHES = 15
 #: Bytes of texts handled at once, and of shingle sets that go to every task.
 SLICE, BROADCAST_SETS = 1 << 19, 48 << 20
 #: Copies of one text are all paired with each other up to this number, and with their representative beyond it.
@@ -145,12 +145,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, SIGNATURE)
 
 
-def sketch(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest bits of the first tokens, in two numbers."""
+def sketch(rows: np.ndarray) -> list[np.ndarray]:
+    """The lowest bits of the first tokens, in a few numbers."""
     low = (rows[:, :SKETCHED] & np.uint32((1 << SKETCH_BITS) - 1)).astype(np.uint64)
-    shifts = (np.arange(SKETCHED // 2, dtype=np.uint64) * U(SKETCH_BITS))[None, :]
-    half = SKETCHED // 2
-    return (low[:, :half] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64), (low[:, half:] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
+    shifts = (np.arange(PER_NUMBER, dtype=np.uint64) * U(SKETCH_BITS))[None, :]
+    return [(low[:, i : i + PER_NUMBER] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64) for i in range(0, SKETCHED, PER_NUMBER)]
 
 
 def children(node: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
@@ -163,7 +162,8 @@ def children(node: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-BRANCHED = "node bigint, id bigint, parent bigint, s1 bigint, s2 bigint"
+SKETCH = [f"s{i}" for i in range(1, SKETCHED // PER_NUMBER + 1)]
+BRANCHED = "node bigint, id bigint, parent bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
 
 def roots(records: DataFrame) -> DataFrame:
@@ -172,11 +172,12 @@ def roots(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = matrix(b.column(1))
-            ids, (s1, s2) = b.column(0).to_numpy(), sketch(rows)
+            ids = b.column(0).to_numpy()
             with np.errstate(over="ignore"):
                 nodes = np.concatenate([children(np.full(len(rows), mix(np.array([t + 1], dtype=np.uint64))[0]), rows, 0).ravel() for t in range(TREES)])
             repeat = lambda x: np.tile(np.repeat(x, BRANCHES), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(repeat(ids)), pa.array(np.zeros(len(nodes), np.int64)), pa.array(repeat(s1)), pa.array(repeat(s2))], names=["node", "id", "parent", "s1", "s2"])
+            arrays = [nodes.view(np.int64), repeat(ids), np.zeros(len(nodes), np.int64), *map(repeat, sketch(rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["node", "id", "parent", *SKETCH])
 
     return records.select("id", "signature").mapInArrow(run, BRANCHED)
 
@@ -187,10 +188,9 @@ def grown(frontier: DataFrame, records: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = matrix(b.column(3))
-            s1, s2 = sketch(rows)
             nodes = children(b.column(0).to_numpy().view(np.uint64), rows, depth).ravel()
-            arrays = [np.repeat(x, BRANCHES) for x in (b.column(1).to_numpy(), b.column(2).to_numpy(), s1, s2)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *map(pa.array, arrays)], names=["node", "id", "parent", "s1", "s2"])
+            arrays = [np.repeat(x, BRANCHES) for x in (b.column(1).to_numpy(), b.column(2).to_numpy(), *sketch(rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *map(pa.array, arrays)], names=["node", "id", "parent", *SKETCH])
 
     return frontier.join(records, "id").select("node", "id", "n", "signature").mapInArrow(run, BRANCHED)
 
@@ -200,17 +200,16 @@ def blocks(alike: DataFrame) -> DataFrame:
     number = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
     own = F.pmod(F.xxhash64("id"), number)
     pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return alike.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1))).select(pair.alias("node"), "id", "s1", "s2")
+    return alike.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1))).select(pair.alias("node"), "id", *SKETCH)
 
 
-def matching(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+def matching(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Equal nibbles of two sketches."""
-    total = np.zeros(len(a1), dtype=np.int64)
-    for x in (a1 ^ b1, a2 ^ b2):
-        x = x.view(np.uint64)
+    total = np.full(len(a[0]), SKETCHED, dtype=np.int64)
+    for p, q in zip(a, b):
+        x = (p ^ q).view(np.uint64)
         x = x | (x >> U(1))
-        x = (x | (x >> U(2))) & U(0x1111111111111111)  # one bit for each nibble that differs
-        total += SKETCHED // 2 - np.bitwise_count(x).astype(np.int64)
+        total -= np.bitwise_count((x | (x >> U(2))) & U(0x1111111111111111))  # one bit for each nibble that differs
     return total
 
 
@@ -218,14 +217,14 @@ def compared(rows: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of small nodes whose sketches agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * (2 + len(SKETCH))
 
-        def pairs(node, ids, s1, s2) -> pa.RecordBatch:
+        def pairs(node, ids, *own) -> pa.RecordBatch:
             left, right = [], []
             at = np.arange(len(node))
             d = 1
             while len(at := at[(at + d < len(node))]) and len(at := at[node[at] == node[at + d]]):
-                ok = at[(matching(s1[at], s2[at], s1[at + d], s2[at + d]) >= SKETCH_MATCHES) & (ids[at] != ids[at + d])]
+                ok = at[(matching([s[at] for s in own], [s[at + d] for s in own]) >= SKETCH_MATCHES) & (ids[at] != ids[at + d])]
                 left.append(np.minimum(ids[ok], ids[ok + d]))
                 right.append(np.maximum(ids[ok], ids[ok + d]))
                 d += 1
@@ -242,29 +241,27 @@ def compared(rows: DataFrame) -> DataFrame:
             rest = [c[keep:] for c in columns]
         yield pairs(*rest)
 
-    return rows.repartition("node").sortWithinPartitions("node").select("node", "id", "s1", "s2").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("node").sortWithinPartitions("node").select("node", "id", *SKETCH).mapInArrow(run, "a bigint, b bigint")
 
 
 def candidates(records: DataFrame) -> DataFrame:
     """Distinct pairs of ids that share a small node of some tree and agree in their sketches."""
     level, out, depth = roots(records), [], 0
     while True:
+        depth += 1
         counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where(F.col("n") > SMALL)
-        large = stored(counts, f"large{depth}")
-        number = large.count()
+        stuck = (F.col("n") > SHRINK * F.col("parent")) & (F.col("parent") > 0) if depth < MAX_DEPTH else F.lit(True)
+        large = stored(counts.select("node", "n", stuck.alias("stuck")), f"large{depth}")
+        kinds = {r.stuck: r["count"] for r in large.groupBy("stuck").count().collect()}
+        number = sum(kinds.values())
         side = F.broadcast(large) if number <= BROADCAST_ROWS else large
         small = level.join(side.select("node"), "node", "left_anti") if number else level
-        out.append(compared(small.select("node", "id", "s1", "s2")))
-        if not number:
-            break
-        inside = level.drop("parent").join(side, "node")
-        depth += 1
-        done = (F.col("n") > SHRINK * F.col("parent")) & (F.col("parent") > 0) if depth < MAX_DEPTH else F.lit(True)
-        inside = stored(inside.withColumn("done", done), f"inside{depth}")
-        out.append(compared(blocks(inside.where("done")).repartition("node")))
-        frontier = inside.where(~F.col("done")).select("node", "id", "n")
-        if frontier.isEmpty():
+        out.append(compared(small.select("node", "id", *SKETCH)))
+        if kinds.get(True):
+            out.append(compared(blocks(level.join(side.where("stuck"), "node"))))
+        if not kinds.get(False):
             break
+        frontier = stored(level.select("node", "id").join(side.where("not stuck"), "node").select("node", "id", "n"), f"frontier{depth}")
         level = grown(frontier, records, depth)
     pairs = out[0]
     for more in out[1:]:
