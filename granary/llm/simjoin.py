@@ -166,18 +166,28 @@ SKETCH = [f"s{i}" for i in range(1, SKETCHED // PER_NUMBER + 1)]
 BRANCHED = "node bigint, id bigint, parent bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
 
-def roots(records: DataFrame) -> DataFrame:
-    """The first level of all trees."""
+def level(records: DataFrame, large: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The next level of all trees. large: for each level before it, the sorted nodes that go on and their sizes."""
+    shared = records.sparkSession.sparkContext.broadcast(large)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = matrix(b.column(1))
-            ids = b.column(0).to_numpy()
+            ids, own = b.column(0).to_numpy(), sketch(rows)
             with np.errstate(over="ignore"):
-                nodes = np.concatenate([children(np.full(len(rows), mix(np.array([t + 1], dtype=np.uint64))[0]), rows, 0).ravel() for t in range(TREES)])
-            repeat = lambda x: np.tile(np.repeat(x, BRANCHES), TREES)
-            arrays = [nodes.view(np.int64), repeat(ids), np.zeros(len(nodes), np.int64), *map(repeat, sketch(rows))]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["node", "id", "parent", *SKETCH])
+                start = mix(np.arange(1, TREES + 1, dtype=np.uint64))
+            at = np.repeat(np.arange(len(rows)), TREES)
+            node, parent = np.tile(start, len(rows)), np.zeros(len(at), np.int64)
+            for depth, (going, sizes) in enumerate([(None, None), *shared.value]):
+                if depth:
+                    signed_node = node.view(np.int64)
+                    where = np.minimum(np.searchsorted(going, signed_node), max(0, len(going) - 1))
+                    inside = np.flatnonzero(going[where] == signed_node) if len(going) else np.zeros(0, np.int64)
+                    node, at, parent = node[inside], at[inside], sizes[where[inside]] if len(inside) else parent[:0]
+                node = children(node, rows[at], depth).ravel()
+                at, parent = np.repeat(at, BRANCHES), np.repeat(parent, BRANCHES)
+            arrays = [node.view(np.int64), ids[at], parent, *(s[at] for s in own)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["node", "id", "parent", *SKETCH])
 
     return records.select("id", "signature").mapInArrow(run, BRANCHED)
 
@@ -246,23 +256,30 @@ def compared(rows: DataFrame) -> DataFrame:
 
 def candidates(records: DataFrame) -> DataFrame:
     """Distinct pairs of ids that share a small node of some tree and agree in their sketches."""
-    level, out, depth = roots(records), [], 0
+    out, depth, held = [], 0, []
+    rows = level(records, held)
     while True:
         depth += 1
-        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where(F.col("n") > SMALL)
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where(F.col("n") > SMALL)
         stuck = (F.col("n") > SHRINK * F.col("parent")) & (F.col("parent") > 0) if depth < MAX_DEPTH else F.lit(True)
         large = stored(counts.select("node", "n", stuck.alias("stuck")), f"large{depth}")
         kinds = {r.stuck: r["count"] for r in large.groupBy("stuck").count().collect()}
         number = sum(kinds.values())
         side = F.broadcast(large) if number <= BROADCAST_ROWS else large
-        small = level.join(side.select("node"), "node", "left_anti") if number else level
+        small = rows.join(side.select("node"), "node", "left_anti") if number else rows
         out.append(compared(small.select("node", "id", *SKETCH)))
         if kinds.get(True):
-            out.append(compared(blocks(level.join(side.where("stuck"), "node"))))
+            out.append(compared(blocks(rows.join(side.where("stuck"), "node"))))
         if not kinds.get(False):
             break
-        frontier = stored(level.select("node", "id").join(side.where("not stuck"), "node").select("node", "id", "n"), f"frontier{depth}")
-        level = grown(frontier, records, depth)
+        if held is not None and kinds[False] <= BROADCAST_ROWS:
+            going = large.where("not stuck").select("node", "n").toPandas().sort_values("node")
+            held = [*held, (going["node"].to_numpy(np.int64), going["n"].to_numpy(np.int64))]
+            rows = level(records, held)
+        else:  # too many nodes for every task to hold
+            held = None
+            frontier = stored(rows.select("node", "id").join(large.where("not stuck"), "node").select("node", "id", "n"), f"frontier{depth}")
+            rows = grown(frontier, records, depth)
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
