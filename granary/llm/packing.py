@@ -86,10 +86,12 @@ def packer(turn: int):
 
 def pieces(documents: DataFrame, specs: DataFrame, size: str, key: str) -> DataFrame:
     """Every document for every kind of container; those above its capacity in pieces."""
-    kinds = F.broadcast(specs.select(F.col("container_id").cast("int"), F.greatest(F.col("capacity_tokens").cast("int"), F.lit(1)).alias("capacity")).dropDuplicates(["container_id"]))
+    kinds = {r.container_id: max(1, r.capacity_tokens or 1) for r in specs.where("container_id is not null").select(F.col("container_id").cast("int"), F.col("capacity_tokens").cast("int")).orderBy(F.desc("capacity_tokens")).collect()}
+    each = F.array(*(F.struct(F.lit(i).alias("container_id"), F.lit(c).alias("capacity")) for i, c in sorted(kinds.items())))
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("int"), F.lit(0)), F.lit(0)).alias("n"))
     pieces = F.greatest(F.ceil(F.col("n") / F.col("capacity")).cast("int"), F.lit(1))
-    rows = rows.join(kinds).withColumn("pieces", pieces).withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    none = F.array().cast("array<struct<container_id:int,capacity:int>>")
+    rows = rows.select("doc_id", "n", F.inline(each if kinds else none)).withColumn("pieces", pieces).withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     start = F.col("piece_no") * F.col("capacity")
     return rows.select("container_id", "capacity", "doc_id", "piece_no", "pieces", start.alias("token_from"), F.least(F.col("n") - start, "capacity").alias("tokens"))
 
