@@ -40,6 +40,8 @@ RATIO = 20
 PART_SHARE = 2e-5
 WINDOW, CONTEXTS, DIMENSIONS, NEGATIVES = 2, 512, 32, 5
 CACHE = 300_000
+#: No word is longer; such tokens are addresses, codes or rows without spaces.
+LONGEST = 80
 
 # Glyphs that scanning confuses, as the strokes they are made of.
 STROKES = {
@@ -57,7 +59,7 @@ DIGITS_WITH_LETTERS = re.compile(r"[₹(]?[\dOolISBZ]*\d[\dOolISBZ,./]*%?")
 FORM_NUMBER = re.compile(r"\d{1,4}[A-Za-z]{1,3}")
 PLAIN_NUMBER = re.compile(r"[^A-Za-z]*")
 CUT = re.compile(r"(?:^|[\s(“\"'‘])([^\s|\-“\"'‘(¬]+(?:-[^\s|\-¬]+)*)[-¬]\s*$")
-CUT_WORDS = re.compile(r"\S+[-¬][ \t]*\n\s*\S+")
+CUT_WORDS = re.compile(r"(?<!\S)\S{1,80}[-¬][ \t]*\n\s*\S+")
 FIRST = re.compile(r"\s*[(“\"'‘]*([^\s.,;:()“”\"]+)")
 LETTERS = re.compile(r"[^a-z]+")
 PDF = re.compile(r"\.pdf\s*$", re.I)
@@ -161,6 +163,8 @@ class Scanner:
 
     def judge(self, token: str, around: list[str], first: bool) -> str | None:
         m = self.m
+        if len(token) > LONGEST:
+            return None
         if not token.isascii():
             token = self.rewriter.token(token)[0]
         if first:
@@ -313,7 +317,8 @@ class Scanner:
                 fixes = {}
         if fixes:
             noise += [(i + 1, "misread") for i in fixes]
-        return noise, self.reflow(rows, flow, joined, fixes) if repair else None
+        shown = [i for i, r in enumerate(rows) if r.strip() and i not in furniture]
+        return noise, self.reflow(rows, shown, joined, fixes) if repair else None
 
     def fold(self, s: str) -> str:
         return s if s.isascii() else self.rewriter.text(s)[0]
@@ -453,12 +458,11 @@ def skip_gram(pairs: np.ndarray, numbers: np.ndarray, words: int, contexts: int)
         gram[np.ix_(c[s:e], c[s:e])] += np.outer(values[s:e], values[s:e])
     scale, vectors = np.linalg.eigh(gram)
     top = np.argsort(-scale)[:DIMENSIONS]
-    basis, size = vectors[:, top], np.sqrt(np.sqrt(np.maximum(scale[top], 0)))
+    top = top[scale[top] > 1e-9 * max(1e-9, scale.max(initial=0))]
+    basis, size = vectors[:, top], np.sqrt(np.sqrt(scale[top]))
     out = np.zeros((words, len(top)))
     np.add.at(out, w, values[:, None] * basis[c])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.where(size > 0, out / size, 0)
-    return out.astype(np.float32), (basis * size).astype(np.float32)
+    return (out / size).astype(np.float32), (basis * size).astype(np.float32)
 
 
 def learn(df: DataFrame, text: str = "text") -> Model:

@@ -31,7 +31,7 @@ EDGE = "(\"“‘'[)”’],.;:!?%"
 ENDINGS = (".", "!", "?", ":", ";", "”", '"', "।")
 SECTION_LINE = ("Section:", "Subsection:")
 NGRAMS = (2, 3, 4)
-CACHE = 200_000
+CACHE, LONGEST = 200_000, 100
 
 KIND = T.StructType([
     T.StructField("word_count", T.IntegerType()),
@@ -64,9 +64,11 @@ class Lines:
             clean = TOKEN.match(tok) is not None
             if clean and word.isascii() and word.isalpha():
                 clean = not (len(word) >= 3 and not VOWEL.search(word)) and not (len(word) == 1 and word not in "aAeI")
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            known = self.seen[tok] = clean, word.lower() in self.common
+            known = clean, word.lower() in self.common
+            if len(tok) <= LONGEST:
+                if len(self.seen) >= CACHE:
+                    self.seen.clear()
+                self.seen[tok] = known
         return known
 
     @staticmethod

@@ -110,7 +110,7 @@ def split(df: DataFrame, rules: DataFrame, text: str = "page_content", key: str
     small = F.broadcast(rules.select(F.col(kind).alias("__kind"), F.col(limit).cast("int").alias("__limit"), F.col(overlap).cast("int").alias("__overlap")).dropDuplicates(["__kind"]))
     rows = df.select(key, text, F.col(kind).alias("__kind")).join(small, "__kind", "left").where(F.length(text) > 0)
     if not keep:
-        rows = rows.where(F.length(text) > F.greatest(F.col("__limit"), F.lit(1)))
+        rows = rows.where(F.col("__limit").isNotNull() & (F.length(text) > F.greatest(F.col("__limit"), F.lit(1))))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("boundary", T.StringType()), *PIECES.fields])
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
