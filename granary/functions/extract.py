@@ -133,21 +133,21 @@ def common_heading(c: Column) -> Column:
     return F.when(F.lower(whole).isin(*COMMON_HEADINGS), whole).when(start != "", t.strip(F.substring(t.text(c), F.lit(1), F.length(start))))
 
 
-def heading_and_rest(c: Column) -> Column:
-    """Struct of a known heading at the start and what follows it on the line; a null heading if there is none."""
-    whole = t.heading_text(c)
+def heading_and_rest(c: Column, whole: Column | None = None) -> Column:
+    """Struct of a known heading at the start and what follows it on the line; a null heading if there is none. whole: the line without number and bullet, if it is at hand."""
+    whole = t.heading_text(c) if whole is None else whole
     start = F.regexp_extract(F.lower(whole), f"^({HEADING_CHOICE}) ", 1)
     exact, begins = F.lower(whole).isin(*COMMON_HEADINGS), start != ""
     rest = t.strip(F.substr(whole, F.length(start) + 1))
     return F.struct(F.when(exact, whole).when(begins, start).alias("heading"), F.when(exact, F.lit("")).when(begins, rest).otherwise(t.text(c)).alias("rest"))
 
 
-def heading(c: Column) -> Column:
+def heading(c: Column, whole: Column | None = None) -> Column:
     """A line is a heading and nothing else. The first rule that applies decides."""
     s = t.strip(t.text(c))
     parts = F.filter(F.split(s, r"\s+"), lambda w: w != "")
     titled = F.size(F.filter(parts, lambda w: F.regexp_replace(w, "[^A-Za-z]", "").rlike("^[A-Z]")))
-    known = F.lower(t.heading_text(s))
+    known = F.lower(t.heading_text(s) if whole is None else whole)
     return (
         F.when((s == "") | page_marker(s) | bullet(s) | (F.length(s) < 3), False)
         .when(s.rlike(SUBNUMBERED) | s.rlike(NUMBERED) | s.rlike(LETTERED) | s.rlike(LOWER_LETTERED) | known.isin(*COMMON_HEADINGS), True)

@@ -24,14 +24,15 @@ def page_lines(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def sections(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, index (from 0 on the page), section, subsection, heading, heading_level, text of every section with content."""
-    split = x.heading_and_rest(F.col("line"))
-    rows = page_lines(pages, keys, text).withColumn("split", split)
-    embedded = F.col("split.heading").isNotNull() & (F.col("split.rest") != "")
-    pure = ~embedded & x.heading(F.col("line"))
-    head = F.when(embedded, t.heading_text(F.col("split.heading"))).when(pure, t.heading_text(F.col("line")))
+    rows = page_lines(pages, keys, text).withColumn("bare", t.heading_text(F.col("line")))
+    rows = rows.withColumn("split", x.heading_and_rest(F.col("line"), F.col("bare")))
+    rows = rows.withColumn("embedded", F.col("split.heading").isNotNull() & (F.col("split.rest") != ""))
+    rows = rows.withColumn("pure", ~F.col("embedded") & x.heading(F.col("line"), F.col("bare")))
+    embedded, pure = F.col("embedded"), F.col("pure")
+    head = F.when(embedded, F.col("split.heading")).when(pure, F.col("bare"))
     rows = rows.withColumn("is_head", embedded | pure).withColumn("head", head)
     rows = rows.withColumn("level", F.when(embedded, x.level(F.col("split.heading"))).when(pure, x.level(F.col("line"))))
-    rows = rows.withColumn("content", F.when(embedded, F.col("split.rest")).when(~pure, F.col("line"))).drop("split")
+    rows = rows.withColumn("content", F.when(embedded, F.col("split.rest")).when(~pure, F.col("line"))).drop("split", "bare", "embedded", "pure")
     so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("stretch", F.sum((F.col("is_head") & (F.col("level") == 1)).cast("int")).over(so_far)).withColumn("segment", F.sum(F.col("is_head").cast("int")).over(so_far))
     inside = Window.partitionBy(*keys, "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

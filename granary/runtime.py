@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 1_000_000
 
 _shipped: set[str] = set()
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +43,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as parquet into the shared folder and read it back: survives lost executors, compresses, prunes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(discard, spark)
+    _stored.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove what stored() wrote. Done at the end of the application; results that are still read need it until then."""
+    try:
+        for path in _stored:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; the shared folder is the cluster's to clear then
+        pass
+    _stored.clear()
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,5 +75,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
+
+
+#: Tables with long texts, whose rows take time.
+TEXTS = ("documents", "scheme_chunks", "aif_activities")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
