@@ -45,3 +45,16 @@ def controlled(df: DataFrame, order: str, content: str = "page_content", within:
     """Rows with enough content, the first of each normalised content."""
     kept = df.where(F.length(t.strip(t.text(F.col(content)))) >= q.MIN_CONTENT_CHARS)
     return first_of(kept, [*(F.col(c) for c in within or []), t.normalized(F.col(content))], [order])
+
+
+def combined(chunks: DataFrame, parents: DataFrame, most: int = 15, query: str = "query_id", position: str = "position") -> DataFrame:
+    """Chunks and then parents, the first of each kind and id, by their fused score; parents have none and come last."""
+    kinds = [d.withColumn("__kind", F.lit(n)).withColumn("__ord", F.col(position)) for n, d in enumerate((chunks, parents))]
+    rows = kinds[0].unionByName(kinds[1], allowMissingColumns=True)
+    content = F.substring(t.text(F.col("page_content")), 1, 200)
+    own = [t.filled(F.col(c)) for c in ("chunk_id", "parent_id") if c in rows.columns]
+    ident = F.when(F.col("__kind") == 0, F.coalesce(*own, content)).otherwise(F.coalesce(*reversed(own), content))
+    rows = first_of(rows, [F.col(query), F.col("__kind"), ident], ["__ord"])
+    score = F.coalesce(F.col("score"), F.lit(0.0)) if "score" in rows.columns else F.lit(0.0)
+    order = Window.partitionBy(query).orderBy(score.desc(), "__kind", "__ord")
+    return rows.withColumn(position, F.row_number().over(order)).where(F.col(position) <= most).drop("__kind", "__ord")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions import quality as q
 from granary.functions import text as t
@@ -45,6 +49,27 @@ def chosen(primary: DataFrame, retry: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
+def attempts(pages: DataFrame, read: Callable[[bytes, str, str], tuple[str, float]], modes: list[tuple[str, str]], keys: list[str], image: str = "image") -> DataFrame:
+    """Readings of each page's image, one a mode (preprocessing, configuration). read is passed in and gives text and confidence; a reading that fails is empty with confidence 0."""
+    each = F.array(*(F.struct(F.lit(i).alias("attempt"), F.lit(p).alias("preprocessing"), F.lit(c).alias("config")) for i, (p, c) in enumerate(modes)))
+    rows = pages.select(*keys, image, F.inline(each))
+    schema = T.StructType([*(rows.schema[k] for k in (*keys, "attempt", "preprocessing", "config")), T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for content, p, c in zip(b[image], b["preprocessing"], b["config"]):
+                try:
+                    found.append(read(bytes(content), p, c))
+                except Exception:  # noqa: BLE001 - whatever a reader raises is about this image
+                    found.append(("", 0.0))
+            out = b.drop(columns=[image])
+            out["text"], out["confidence"] = [f[0] for f in found], [float(f[1]) for f in found]
+            yield out
+
+    return measured(rows.mapInPandas(run, schema))
+
+
 def native_sufficient(text: Column) -> Column:
     """A page's own text makes reading its image unnecessary."""
     clean = t.cleaned(text)

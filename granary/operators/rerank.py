@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions import text as t
 from granary.operators import router
@@ -22,6 +24,16 @@ def overlap(question: Column, content: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, t.tokens(content))) / F.size(asked)).otherwise(0.0)
 
 
+def modelled(score: Callable[[list[tuple[str, str]]], list[float]]) -> Scorer:
+    """A scorer out of a model that scores pairs of question and text, a batch at a time."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(question: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series(score(list(zip(question.fillna(""), content.fillna("")))), dtype="float64")
+
+    return run
+
+
 def reranked(df: DataFrame, scorer: Scorer = overlap, top: int = TOP, query: str = "query_id", question: str = "question", content: str = "page_content", position: str = "position") -> DataFrame:
     """The top rows of each query by score; ties keep their order."""
     if top <= 0:

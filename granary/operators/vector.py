@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.functions import quality as q
+
 #: Queries of a block.
 BLOCK = 4096
 
@@ -71,3 +73,9 @@ def pass_over(rows: DataFrame, ids: list, asked: np.ndarray, k: int, key: str, v
             yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), b.column(0).take(pa.array(top.ravel())), pa.array(distance[at, top.ravel()])], schema=out)
 
     return rows.where(F.size(vector) == dimension).select(key, vector).mapInArrow(run, schema)
+
+
+def filtered(rows: DataFrame, queries: DataFrame, k: int, filters: dict[str, object], key: str = "vec_id", **names: str) -> DataFrame:
+    """The nearest rows that match all filters, by content type, source, page, activity or item: filtered after the cut, so a query may keep fewer than k, or none."""
+    hits = nearest(rows, queries, k, key, **names)
+    return hits.join(rows.select(key, *[f for f in filters if f != key]), key).where(q.matches(filters))

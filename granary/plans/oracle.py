@@ -311,6 +311,16 @@ ORACLES = {
         m AS (SELECT document_id, document_name FROM scheme_metadata QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY loaded_at DESC) = 1)
         SELECT query_id, parent_id, document_name, row_number() OVER (PARTITION BY query_id ORDER BY first, parent_id) AS position FROM f JOIN m ON document_id = parent_id
     """,
+    "metadata_json": f"""
+        SELECT chunk_id, '{{' || array_to_string(list_filter(['"document_type":"' || document_type || '"', '"state":"' || state || '"', '"district":"' || district || '"'], lambda e: e IS NOT NULL), ',') || '}}' AS metadata FROM {CHUNKS}
+    """,
+    "combined_candidates": """
+        WITH r AS (SELECT lower(trim(source)) AS query_id, doc_id, scheme_key, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY n_tokens DESC, doc_id) AS position FROM documents WHERE source IS NOT NULL QUALIFY position <= 12),
+        p AS (SELECT query_id, scheme_key, min(position) AS position FROM r WHERE scheme_key IS NOT NULL GROUP BY 1, 2),
+        a AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, scheme_key AS parent_id, 0 AS k, position FROM r UNION ALL SELECT query_id, NULL, scheme_key, 1, position FROM p)
+        SELECT query_id, chunk_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY k, a.position) AS position FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k, a.position) <= 15
+    """,
+    "dense_filtered": f"SELECT query_id, d.vec_id, round(distance, 6) AS distance FROM {dense(15)} d JOIN embeddings e ON e.vec_id = d.vec_id WHERE label = 1",
     "get_parent": f"SELECT chunk_id, document_id FROM {CHUNKS} WHERE document_id = (SELECT max(document_id) FROM scheme_metadata)",
     "exact_dedup": f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY coalesce(source, ''), coalesce(lang, ''), {norm('text')} ORDER BY doc_id) = 1",
     "quality_control": f"SELECT doc_id FROM documents WHERE length({strip('''coalesce(text, '')''')}) >= 20 QUALIFY row_number() OVER (PARTITION BY {norm('text')} ORDER BY doc_id) = 1",

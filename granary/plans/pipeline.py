@@ -38,7 +38,7 @@ class Settings:
 
 def called(df: DataFrame, model: Model, prompt: str, out: str) -> DataFrame:
     """df with the model's replies to a column of prompts, a batch at a time; a reply that fails is null."""
-    schema = df.withColumn(out, F.lit("")).schema
+    schema = df.withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -426,6 +426,27 @@ def get_parent(spark, d):
     return chunks(spark, d).where(F.col("document_id") == wanted).select("chunk_id", "document_id")
 
 
+@query
+def metadata_json(spark, d):
+    return chunks(spark, d).select("chunk_id", io.metadata_json("document_type", "state", "district").alias("metadata"))
+
+
+@query
+def combined_candidates(spark, d):
+    """The fused documents and the schemes that they belong to, as candidates for reranking."""
+    rows = docs(spark, d).where("source is not null").withColumn("query_id", F.lower(F.trim("source")))
+    best = rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n_tokens").desc(), "doc_id"))).where("position <= 12")
+    own = best.select("query_id", "position", F.col("doc_id").cast("string").alias("chunk_id"), F.col("scheme_key").alias("parent_id"), F.col("text").alias("page_content"), (1.0 / (60 + F.col("position"))).alias("score"))
+    parents = best.where("scheme_key is not null").select("query_id", "position", F.lit(None).cast("string").alias("chunk_id"), F.col("scheme_key").alias("parent_id"), F.col("scheme_key").alias("page_content"))
+    return fusion.combined(own, parents).select("query_id", "chunk_id", "parent_id", F.col("position").cast("bigint").alias("position"))
+
+
+@query
+def dense_filtered(spark, d):
+    hits = vector.filtered(table(spark, d, "embeddings"), vector_queries(spark, d), 15, {"label": 1})
+    return hits.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query
 def exact_dedup(spark, d):
     rows = fusion.without_duplicates(docs(spark, d), "doc_id", file="source", page="lang", content="text")

@@ -103,6 +103,29 @@ def parsed(files: DataFrame, parse: Callable[[bytes], list[tuple[int, str, str,
     return files.select("path", "content").mapInPandas(run, PAGES)
 
 
+def rendered(files: DataFrame, render: Callable[[bytes, int], list[bytes]], dpi: int = 250) -> DataFrame:
+    """(path, page_number, image) of every page. render is passed in: bytes and resolution to the images of the pages; a file that fails has none."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    rows += [(path, n, image) for n, image in enumerate(render(bytes(content), dpi), 1)]
+                except Exception:  # noqa: BLE001 - whatever a renderer raises is about this file
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "page_number", "image"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_number int, image binary")
+
+
+def metadata_json(*fields: str) -> F.Column:
+    """Metadata as JSON; null fields are left out."""
+    return F.to_json(F.struct(*fields))
+
+
 # Sinks
 
 
