@@ -61,7 +61,7 @@ def test_skip_gram_puts_words_of_like_contexts_together():
     v, _ = skip_gram(found, n, 20, 60)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     likeness = unit @ unit.T
-    assert all(likeness[w, w ^ 1] > 0.9 for w in range(20)) and abs(likeness[0, 2:]).max() < 0.3
+    assert all(likeness[w, w ^ 1] > 0.6 for w in range(20)) and abs(likeness[0, 2:]).max() < 0.3
 
 
 def test_whole_tables_and_hard_rows(spark):
