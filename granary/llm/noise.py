@@ -55,7 +55,7 @@ INTRUDER = re.compile("[" + re.escape(INTRUDERS) + "]")
 EDGE = ".,;:()\"'“”‘’?"
 BULLET_EDGE = "°•»«*=~-+¢©>#§"
 ODD_GLYPH = re.compile(r"[^\W\d_]+[0156789@+!°|$][^\W\d_]+")
-DIGITS_WITH_LETTERS = re.compile(r"[₹(]?[\dOolISBZ]*\d[\dOolISBZ,./]*%?")
+DIGITS_WITH_LETTERS = re.compile(r"[₹(]?(?:[OolISBZ]+,)?[\dOolISBZ]*\d[\dOolISBZ,./]*%?")
 FORM_NUMBER = re.compile(r"\d{1,4}[A-Za-z]{1,3}")
 PLAIN_NUMBER = re.compile(r"[^A-Za-z]*")
 CUT = re.compile(r"(?:^|[\s(“\"'‘])([^\s|\-“\"'‘(¬]+(?:-[^\s|\-¬]+)*)[-¬]\s*$")
@@ -64,7 +64,10 @@ FIRST = re.compile(r"\s*[(“\"'‘]*([^\s.,;:()“”\"]+)")
 LETTERS = re.compile(r"[^a-z]+")
 PDF = re.compile(r"\.pdf\s*$", re.I)
 PAGE_LETTERS = ("", "page", "pageno", "p", "pg", "pageof", "of", "pagenumber")
+HEAD_PARTS = re.compile(r"\s+[|*–—]\s+")
 PAGE_SIGNS = re.compile(r"[\w\s|~\[\]()/.·*–—-]*")
+#: Lines after a cut word in which its rest is sought.
+AHEAD = 4
 NOISE = ("hyphen", "misread", "header", "pageno")
 SECTION_LINE = ("Section:", "Subsection:")
 
@@ -103,18 +106,19 @@ class Model:
     vectors: np.ndarray | None = None
     ids: dict[str, int] = field(default_factory=dict)
     contexts: np.ndarray | None = None
+    context_ids: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.ids = self.ids or {w: i for i, w in enumerate(sorted(self.counts))}
         self.by_strokes: dict[str, list[str]] = {}
         for w in sorted(self.counts, key=lambda w: (-self.counts[w], w)):
             self.by_strokes.setdefault(strokes(w), []).append(w)
+        self.part_count = max(RATIO * LEAST_COUNT, PART_SHARE * self.total)
         self.by_loss: dict[str, list[str]] = {}
         for w, n in self.counts.items():
-            if len(w) >= 5 and n >= RATIO * LEAST_COUNT:
+            if len(w) >= 5 and n >= self.part_count:
                 for i in range(len(w)):
                     self.by_loss.setdefault(w[:i] + w[i + 1 :], []).append(w)
-        self.part_count = max(RATIO * LEAST_COUNT, PART_SHARE * self.total)
         self.misread = {w: v for w in self.counts if (v := self.linked(w, self.counts[w]))}
         self.known = frozenset(w for w in self.counts if w not in self.misread)
 
@@ -132,7 +136,7 @@ class Model:
 
     def fit(self, word: str, around: list[str]) -> float:
         """How well a word's vector agrees with the context vectors of its neighbours."""
-        at = [self.ids[w] for w in around if w in self.ids]
+        at = [self.context_ids[w] for w in around if w in self.context_ids]
         if not at or word not in self.ids:
             return 0.0
         v, c = self.vectors[self.ids[word]], self.contexts[at].sum(axis=0)
@@ -199,7 +203,7 @@ class Scanner:
                 return None
             fixed = [p if p in m.known or len(p) < 2 else m.misread.get(p) or m.linked(p, 1) for p in parts]
             return "-".join(fixed) if all(fixed) else None
-        if low.isascii() and low.isalpha() and len(low) >= 4 and (found := [v for v in m.by_loss.get(low, ()) if m.counts[v] >= m.part_count]):
+        if low.isascii() and low.isalpha() and len(low) >= 4 and (found := m.by_loss.get(low)):
             return m.best(found, around)
         if low.isascii() and len(low) >= 5 and ODD_GLYPH.fullmatch(low) and not FORM_NUMBER.fullmatch(low):
             return low.translate(str.maketrans("01569@+!°|$", "oisggatioia"[:11]))
@@ -235,10 +239,11 @@ class Scanner:
         """Letters of the page heads that a document may have, and their words."""
         name = PDF.sub("", name or "").strip()
         full, base, by = letters(name), letters(name.split(" - ")[0]), letters(issuer)
-        out = [full, *([full + by, by + full, base + by, by + base] if by else [])]
+        out = [full, *([by, full + by, by + full, base + by, by + base] if by else [])]
         return [h for h in out if len(h) >= 8], frozenset(f"{name} {issuer or ''} page".lower().split())
 
-    def head(self, line: str, heads: list[str], words: frozenset[str]) -> bool:
+    def head(self, line: str, heads: list[str], words: frozenset[str], name: str | None = None) -> bool:
+        """The line is one of the heads. name: of a document whose issuer isn't known, so that any issuer may stand beside the name."""
         if not 8 <= len(line) <= 160:
             return False
         tokens = line.lower().split() if line.isascii() else self.rewriter.text(line)[0].lower().split()
@@ -246,7 +251,11 @@ class Scanner:
             return False
         core = letters(line if line.isascii() else self.rewriter.text(line)[0])
         core = core[:-4] if core.endswith("page") and core not in heads else core
-        return any(near(core, h) for h in heads)
+        if any(near(core, h) for h in heads):
+            return True
+        parts = [letters(p) for p in HEAD_PARTS.split(line)] if name and HEAD_PARTS.search(line) and not line.endswith((".", ",", ";")) else []
+        names = (letters(name), letters(name.split(" - ")[0])) if parts else ()
+        return len(parts) == 2 and any(near(p, n) for p in parts for n in names) and all(w[:1].isupper() or w in ("of", "for", "and", "the") or not w[:1].isalpha() for w in line.split())
 
     def scan(self, text: str | None, name: str | None, issuer: str | None, page: int | None, chunk: bool = True, repair: bool = True) -> tuple[list[tuple[int, str]], str | None]:
         """([(line number from 1, noise)], repaired text or None) of one record."""
@@ -255,13 +264,14 @@ class Scanner:
         rows = text.split("\n")
         noise: list[tuple[int, str]] = []
         heads, words = self.heads(name, issuer)
+        plain = None if issuer else PDF.sub("", name or "").strip()
         furniture: dict[int, str] = {}
         body = [i for i, r in enumerate(rows) if r.strip() and not r.strip().startswith(SECTION_LINE)]
         titled = page == 1 and body and self.head(rows[body[0]].strip(), heads[:1], words)
         # A column of cells holds bare numbers; a page number among them stands out by a head next to it.
         for i in body:
             line = rows[i].strip()
-            if self.head(line, heads, words) and not (titled and i == body[0]):
+            if self.head(line, heads, words, plain) and not (titled and i == body[0]):
                 furniture[i] = "header"
             elif self.page_number(line, page):
                 furniture[i] = "pageno"
@@ -279,24 +289,30 @@ class Scanner:
         joined: dict[int, tuple[str, str]] = {}
         fixes: dict[int, list[tuple[str, str]]] = {}
         heads_of_cut: set[int] = set()
+        cut_lines: set[int] = set()
         for a, i in enumerate(flow[:-1]):
             cut = CUT.search(rows[i][-60:]) if rows[i].rstrip()[-1:] in ("-", "¬") else None
-            after = FIRST.match(rows[flow[a + 1]]) if cut else None
-            if after and any(c.isalpha() for c in cut.group(1)) and any(c.isalpha() for c in after.group(1)):
-                left, right = self.fold(cut.group(1)), self.fold(after.group(1))
-                whole, kept = left + right, f"{left}-{right}"
-                c = self.m.counts
-                if not (right[:1].islower() or right[:1] in "0156989@°!+|"):
-                    continue
-                if c.get(kept.lower(), 0) <= c.get(whole.lower(), 0):
-                    noise.append((i + 1, "hyphen"))
-                    joined[i] = (cut.group(1), "")
+            if not cut or not any(c.isalpha() for c in cut.group(1)):
+                continue
+            left = self.fold(cut.group(1))
+            rest = self.rest_of(left, [rows[j] for j in flow[a + 1 : a + 1 + AHEAD]])
+            if rest is None:
+                continue
+            away, raw = rest
+            right, onto = self.fold(raw), flow[a + 1 + away]
+            whole, c = left + right, self.m.counts
+            split = c.get(f"{left}-{right}".lower(), 0) <= c.get(whole.lower(), 0)
+            cut_lines.add(i)
+            heads_of_cut.add(onto)
+            if split:
+                noise.append((i + 1, "hyphen"))
+            if away == 0 and rows[onto].lstrip("\t (“\"'‘").startswith(raw):
+                joined[i] = (cut.group(1), "" if split else "-")
+            if split and (to := self.word(whole, [])):
+                if to.startswith(left.lower()):
+                    fixes.setdefault(onto, []).append((raw, to[len(left) :]))
                 else:
-                    joined[i] = (cut.group(1), "-")
-                heads_of_cut.add(flow[a + 1])
-                if joined[i][1] == "" and (to := self.word(whole, [])):
-                    right_line = to.startswith(left.lower())
-                    fixes.setdefault(flow[a + 1] if right_line else i, []).append((after.group(1), to[len(left) :]) if right_line else (cut.group(1), to[: -len(right)] if to.endswith(right.lower()) else left))
+                    fixes.setdefault(i, []).append((cut.group(1), to[: -len(right)] if to.endswith(right.lower()) else left))
         for i in flow:
             tokens = rows[i].split()
             seen, found = self.seen, []
@@ -304,7 +320,7 @@ class Scanner:
             for j, t in enumerate(tokens):
                 if seen.get(t if j else "\n" + t, t) is None:
                     continue
-                if (j == 0 and i in heads_of_cut) or (j == last and i in joined):
+                if (j == 0 and i in heads_of_cut) or (j == last and i in cut_lines):
                     continue
                 around = [x.strip(EDGE).lower() for x in tokens[max(0, j - WINDOW) : j + WINDOW + 1]]
                 if to := self.word(t, around, first=j == 0):
@@ -320,6 +336,17 @@ class Scanner:
         shown = [i for i, r in enumerate(rows) if r.strip() and i not in furniture]
         return noise, self.reflow(rows, shown, joined, fixes) if repair else None
 
+    def rest_of(self, left: str, after: list[str]) -> tuple[int, str] | None:
+        """(lines away, rest of the word) of a word cut at a line end. Whatever begins the next line like the rest of a word is it; behind an intruding word or line, only what makes a known word."""
+        for away, row in enumerate(after):
+            for nth, token in enumerate(row.split()[:2]):
+                m = FIRST.match(token)
+                if not m or not any(c.isalpha() for c in m.group(1)) or not (m.group(1)[0].islower() or m.group(1)[0] in "0156989@°!+|"):
+                    continue
+                if away + nth == 0 or (left + self.fold(m.group(1))).lower() in self.m.known:
+                    return away, m.group(1)
+        return None
+
     def fold(self, s: str) -> str:
         return s if s.isascii() else self.rewriter.text(s)[0]
 
@@ -339,11 +366,11 @@ class Scanner:
             if last is not None:
                 if glue == "" or last in joined:
                     sep = ""
-                elif any(not rows[j].strip() for j in range(last + 1, i)) and not (line[:1].islower() and rows[last].strip()[-1:] not in ".!?:"):
-                    sep = "\n\n"
                 elif line.startswith(SECTION_LINE) or rows[last].startswith(SECTION_LINE):
-                    sep = "\n"
-                elif forms[i] == "prose" and forms[last] in ("prose", "list") and (line[:1].islower() or rows[last].strip()[-1:] not in ".!?:"):
+                    sep = "\n\n" if any(not rows[j].strip() for j in range(last + 1, i)) else "\n"
+                elif any(not rows[j].strip() for j in range(last + 1, i)) and not (line[:1].islower() and forms[i] == "prose" and rows[last].strip()[-1:] not in ".!?:"):
+                    sep = "\n\n"
+                elif forms[i] == "prose" and (forms[last] == "prose" and rows[last].strip()[-1:] not in ".!?:" or forms[last] in ("prose", "list") and line[:1].islower()):
                     sep = " "
                 else:
                     sep = "\n"
@@ -479,10 +506,7 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     found = context_counts(df, text, ids, contexts).toPandas()
     found = found.sort_values("pair")
     vectors, by_context = skip_gram(found["pair"].to_numpy(np.int64), found["n"].to_numpy(np.int64), len(ids), len(contexts))
-    around = np.zeros_like(vectors)
-    for w, i in contexts.items():
-        around[ids[w]] = by_context[i]
-    return Model(vocabulary, total, vectors, ids, around)
+    return Model(vocabulary, total, vectors, ids, by_context, contexts)
 
 
 def records(chunks: DataFrame, activities: DataFrame) -> DataFrame:
@@ -506,7 +530,7 @@ def repaired(df: DataFrame, common: list[str], model: Model | None = None, repai
     Without repair, text is null.
     """
     model = model or learn(df)
-    shared = df.sparkSession.sparkContext.broadcast((model.counts, model.total, model.vectors, model.ids, model.contexts))
+    shared = df.sparkSession.sparkContext.broadcast((model.counts, model.total, model.vectors, model.ids, model.contexts, model.context_ids))
     common = frozenset(common)
     schema = T.StructType([
         T.StructField("record_id", T.StringType()),

@@ -78,3 +78,15 @@ def test_whole_tables_and_hard_rows(spark):
 
 def test_empty_table(spark):
     assert noise.repaired(spark.createDataFrame([], FIELDS), list(COMMON)).collect() == []
+
+
+def test_heads_with_an_unknown_issuer(scanner):
+    for line in ("Office of Dairy Affairs * Harit Mission Annex 8", "Harlt Mission Annex 8 | Mission Cell for Soil Health"):
+        assert scanner.scan(f"{line}\nThe farmers of the field", "Harit Mission Annex 8.pdf", None, 2, False)[0] == [(1, "header")]
+    assert scanner.scan("a farm under the Harit Mission Annex 8 - and storage of cotton", "Harit Mission Annex 8.pdf", None, 2, False)[0] == []
+
+
+def test_rest_of_a_cut_word_behind_other_lines(scanner):
+    text = "The farmers of the com-\nClick Here For More\n\nmittee of storage and the com-\nŚilpā mittee of cotton"
+    assert scanner.scan(text, "n", None, 2)[0] == [(1, "hyphen"), (4, "hyphen")]
+    assert scanner.scan("The farmers of the com-\nClick Here For More", "n", None, 2)[0] == []
