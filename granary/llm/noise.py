@@ -247,13 +247,14 @@ class Scanner:
         if not 8 <= len(line) <= 160:
             return False
         tokens = line.lower().split() if line.isascii() else self.rewriter.text(line)[0].lower().split()
-        if 2 * sum(t in words for t in tokens) < len(tokens) - 1:
+        parted = name is not None and HEAD_PARTS.search(line) is not None
+        if 2 * sum(t in words for t in tokens) < len(tokens) - 1 and not parted:
             return False
         core = letters(line if line.isascii() else self.rewriter.text(line)[0])
         core = core[:-4] if core.endswith("page") and core not in heads else core
         if any(near(core, h) for h in heads):
             return True
-        parts = [letters(p) for p in HEAD_PARTS.split(line)] if name and HEAD_PARTS.search(line) and not line.endswith((".", ",", ";")) else []
+        parts = [letters(p) for p in HEAD_PARTS.split(line)] if parted and not line.endswith((".", ",", ";")) else []
         names = (letters(name), letters(name.split(" - ")[0])) if parts else ()
         return len(parts) == 2 and any(near(p, n) for p in parts for n in names) and all(w[:1].isupper() or w in ("of", "for", "and", "the") or not w[:1].isalpha() for w in line.split())
 

@@ -30,9 +30,9 @@ WIDTH, MIN_WORDS, THRESHOLD = 3, 40, 0.5
 TREES, BRANCHES, SIGNATURE = 6, 2, 64
 #: A node up to this size is compared exhaustively; a child must be SHRINK times its parent or less to go on.
 SMALL, SHRINK, MAX_DEPTH = 256, 0.5, 12
-SKETCHED, SKETCH_BITS, PER_NUMBER = 48, 4, 16
-#: Equal nibbles of the sketch that a pair must have. At similarity 0.5 25.5 of 48 are expected, with a deviation of 3.5.
-SKETCH_MATCHES = 15
+SKETCHED, SKETCH_BITS, PER_NUMBER = 64, 4, 16
+#: Equal nibbles of the sketch that a pair must have. At similarity 0.5 34 of 64 are expected, with a deviation of 4.
+SKETCH_MATCHES = 22
 #: Bytes of texts handled at once, and of shingle sets that go to every task.
 SLICE, BROADCAST_SETS = 1 << 19, 48 << 20
 #: Copies of one text are all paired with each other up to this number, and with their representative beyond it.
