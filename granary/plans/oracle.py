@@ -371,3 +371,25 @@ ORACLES = {
     """,
 }
 ORACLES["memory_stream"] = ORACLES["history_format"]
+ORACLES["parent_chunks"] = f"""
+    WITH s AS ({ORACLES['page_sections']})
+    SELECT doc_id AS document_id, 1 AS page_number, index, section, subsection, substr(sha1(doc_id || '_1_' || index || '_' || section || '_' || subsection), 1, 16) AS parent_id, 'parent' AS chunk_type,
+        'Section: ' || section || chr(10) || chr(10) || 'Subsection: ' || subsection || chr(10) || chr(10) || text AS page_content FROM s
+"""
+ORACLES["annex_text"] = f"""
+    WITH a AS (SELECT document, page_number, table_no, string_agg(coalesce(marker, '') || ' ' || coalesce(text, ''), chr(10) ORDER BY activity_number, activity_id) AS t FROM {ACTIVITIES} GROUP BY 1, 2, 3),
+    c AS (SELECT document, page_number, table_no, string_agg('Item ' || item_number || ': ' || coalesce(description, '') || chr(10) || 'Cost Norm: ' || coalesce(cost, ''), chr(10) ORDER BY item_number) AS t
+        FROM (SELECT DISTINCT document, page_number, table_no, item_number, description, cost FROM aif_cost_rows) GROUP BY 1, 2, 3)
+    SELECT document, page_number, table_no, 'DOCUMENT: ' || document || chr(10) || 'PAGE: ' || page_number || chr(10) || chr(10) || 'SECTION: Eligible Activities' || chr(10) || a.t || chr(10) || chr(10) || 'SECTION: Cost Norms' || coalesce(chr(10) || c.t, '') AS text
+    FROM a LEFT JOIN c USING (document, page_number, table_no)
+"""
+ORACLES["roman_values"] = rf"""
+    SELECT activity_id, CAST(nullif(list_position([{", ".join(map(literal, x.ROMAN))}], lower(trim(regexp_replace(marker, '[()]', '', 'g')))), 0) AS INTEGER) AS value,
+        coalesce({listed(rf"list_filter([{strip('e')} FOR e IN string_split(regexp_replace(text || ' (iv) and (v)' || text, '(^|[^\w])(\((?i:{ROMAN})\))', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda e: e <> '')")}, '') AS rows FROM {ACTIVITIES}
+"""
+ORACLES["chosen_reading"] = rf"""
+    WITH a AS (SELECT activity_id, extracted_at, epoch_us(extracted_at) % 2 = 1 AS late, {RECORDS} AS confidence, {cleaned('text')} AS s FROM aif_activities),
+    b AS (SELECT *, len(list_filter(regexp_extract_all(s, '{WORD}+'), lambda e: regexp_matches(e, '^[A-Za-z0-9]+$'))) AS w FROM a),
+    p AS (SELECT * FROM b WHERE NOT late QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY round(confidence * 0.55 + least(length(s) / 1000.0, 1) * 0.25 + least(w / 150.0, 1) * 0.2 - CASE WHEN s = '' THEN 1 ELSE 0 END, 12) DESC, extracted_at) = 1)
+    SELECT activity_id, s AS text, confidence, confidence < 0.65 OR length(s) < 80 AS retried, 'tesseract_ocr' AS extraction_method FROM p
+"""
