@@ -147,6 +147,15 @@ def oracle_sql() -> dict[str, str]:
             FROM keyed JOIN counted USING (source_url, k) JOIN sites USING (source_url)
             WHERE counted.n >= 5 AND counted.n >= 0.02 * sites.n
         """,
+        "p4_cleaned": """
+            WITH texts AS (SELECT page_content, source_url, document_id, chunk_id, row_number() OVER () AS n FROM scheme_chunks),
+            lines AS (SELECT n, source_url, document_id, unnest(string_split(page_content, chr(10))) AS line, generate_subscripts(string_split(page_content, chr(10)), 1) AS i FROM texts WHERE page_content IS NOT NULL),
+            keyed AS (SELECT *, CASE WHEN starts_with(line, 'Section:') OR starts_with(line, 'Subsection:') THEN '' ELSE regexp_replace(lower(line), '[^a-z]', '', 'g') END AS k FROM lines),
+            counted AS (SELECT source_url, k FROM keyed WHERE length(k) >= 20 AND source_url IS NOT NULL GROUP BY 1, 2
+                HAVING count(DISTINCT document_id) >= 5 AND count(DISTINCT document_id) >= 0.02 * (SELECT count(DISTINCT s.document_id) FROM scheme_chunks s WHERE s.source_url = keyed.source_url)),
+            kept AS (SELECT n, string_agg(line, chr(10) ORDER BY i) AS t FROM keyed LEFT JOIN counted c ON c.source_url = keyed.source_url AND c.k = keyed.k WHERE c.k IS NULL GROUP BY n)
+            SELECT chunk_id, CASE WHEN page_content IS NULL THEN NULL ELSE coalesce(t, '') END AS page_content FROM texts LEFT JOIN kept USING (n)
+        """,
         "p5_found": """
             WITH texts AS (
                 SELECT DISTINCT chunk_id, regexp_extract_all(lower(page_content), '[a-z0-9]+') AS w FROM scheme_chunks WHERE page_content IS NOT NULL),

@@ -340,16 +340,26 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
 
 
 def expanded(classes: DataFrame, links: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Pairs of keys, the smaller first. Within a class of copies all pairs, or beyond ALL_PAIRS_OF_COPIES each copy with its representative."""
-    a = classes.select(F.col("id").alias("a"), F.col(key).alias("x"))
-    b = classes.select(F.col("id").alias("b"), F.col(key).alias("y"))
-    between = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    sizes = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    copies = classes.join(sizes, "id").select("id", "n", "representative", F.col(key).alias("x"))
-    few = copies.where(F.col("n") <= ALL_PAIRS_OF_COPIES)
-    within = few.select("id", "x").join(few.select("id", F.col("x").alias("y")), "id").where("x < y").select("x", "y")
+    """Pairs of keys, the smaller first.
+
+    Copies are expanded into all pairs, of one class or of two that are linked, as
+    long as no class is larger than ALL_PAIRS_OF_COPIES. A larger class is a star:
+    its representative is paired with each copy, and alone with linked classes.
+    """
+    sizes = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("representative").alias("r"))
+    ends = [sizes.select(F.col("id").alias(e), F.col("n").alias(f"n_{e}"), F.col("r").alias(f"r_{e}")) for e in "ab"]
+    between = links.select("a", "b").join(ends[0], "a").join(ends[1], "b")
+    single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    several = ~single & (F.greatest("n_a", "n_b") <= ALL_PAIRS_OF_COPIES)
+    direct = between.where(~several).select(F.col("r_a").alias("x"), F.col("r_b").alias("y"))
+    copies = classes.join(sizes.where(F.col("n") > 1).select("id", "n"), "id").select("id", "n", "representative", F.col(key).alias("x"))
+    few = classes.join(sizes.where(F.col("n") <= ALL_PAIRS_OF_COPIES).select("id"), "id").select("id", F.col(key).alias("x"))
+    a, b = few.select(F.col("id").alias("a"), "x"), few.select(F.col("id").alias("b"), F.col("x").alias("y"))
+    crossed = between.where(several).select("a", "b").join(a, "a").join(b, "b").select("x", "y")
+    own = copies.where(F.col("n") <= ALL_PAIRS_OF_COPIES).select("id", "x")
+    within = own.join(own.select("id", F.col("x").alias("y")), "id").where("x < y").select("x", "y")
     stars = copies.where((F.col("n") > ALL_PAIRS_OF_COPIES) & (F.col("x") != F.col("representative"))).select(F.col("representative").alias("x"), F.col("x").alias("y"))
-    pairs = between.unionByName(within).unionByName(stars)
+    pairs = direct.unionByName(crossed).unionByName(within).unionByName(stars)
     return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
 
 
