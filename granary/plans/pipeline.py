@@ -96,10 +96,19 @@ def ask(questions: DataFrame, documents: DataFrame, registry: DataFrame, model:
     index = index or lexical.index(documents, "doc", "page_content")
     questions = standalone(questions.withColumn("question", t.strip(t.text(F.col("question")))), model)
     rows = selected(retrieved(questions.where("standalone_question <> ''"), documents, index, registry, s), s)
-    found = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
-    texts = context.contexts(rows)
-    cited = context.references(rows).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "file_name", "page", "content_type", "rerank_score"))), lambda x: x.dropFields("position")).alias("sources"))
-    out = questions.join(found, "query_id", "left").join(texts, "query_id", "left").join(cited, "query_id", "left")
+    cited = rows.select("query_id", F.struct(
+        "position", context.formatted(rows.columns, F.col("position")).alias("block"), context.chain(rows.columns, context.FILE_NAMES).alias("file_name"),
+        context.chain(rows.columns, context.PAGES).alias("page"), context.chain(rows.columns, context.TYPES).alias("content_type"), "rerank_score",
+    ).alias("item"))
+    # One group holds the few documents of one answer.
+    items = cited.groupBy("query_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    most = F.slice("items", 1, context.MAX_DOCUMENTS)
+    again = lambda x: F.exists("items", lambda y: (y["position"] < x["position"]) & (y["file_name"] == x["file_name"]) & (y["page"] == x["page"]))
+    items = items.select(
+        "query_id", F.size("items").alias("documents"), F.concat(F.lit("\n\n"), F.array_join(F.transform(most, lambda x: x["block"]), "\n\n")).alias("context"),
+        F.transform(F.filter(F.slice("items", 1, context.MAX_SOURCES), lambda x: ~again(x)), lambda x: x.dropFields("position", "block")).alias("sources"),
+    )
+    out = questions.join(items, "query_id", "left")
     enough = F.coalesce("documents", F.lit(0)) >= s.least_documents
     out = out.withColumn("prompt", F.when(enough, context.answer_prompt(F.col("question"), F.col("context"))))
     if model is None:
