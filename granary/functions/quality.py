@@ -108,6 +108,10 @@ def metadata_errors(columns: list[str]) -> Column:
     return errors(*found)
 
 
+def known_type(c: Column) -> Column:
+    return F.coalesce(c.isin(*CONTENT_TYPES), F.lit(False))
+
+
 def missing(columns: list[str], needed: tuple[str, ...], content: Column) -> Column:
     """Missing fields of a row, and blank content."""
     get = lambda n: F.col(n) if n in columns else F.lit(None)

@@ -393,3 +393,30 @@ ORACLES["chosen_reading"] = rf"""
     p AS (SELECT * FROM b WHERE NOT late QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY round(confidence * 0.55 + least(length(s) / 1000.0, 1) * 0.25 + least(w / 150.0, 1) * 0.2 - CASE WHEN s = '' THEN 1 ELSE 0 END, 12) DESC, extracted_at) = 1)
     SELECT activity_id, s AS text, confidence, confidence < 0.65 OR length(s) < 80 AS retried, 'tesseract_ocr' AS extraction_method FROM p
 """
+
+ORACLES["chunk_errors"] = f"""
+    SELECT CASE WHEN c IS NULL THEN 'Missing field: ocr_confidence' ELSE '' END AS errors, true AS known, count(*) AS n
+    FROM (SELECT confidence AS c FROM {ACTIVITIES} UNION ALL SELECT confidence FROM aif_cost_rows) GROUP BY 1
+"""
+
+
+def activity_name(c: str) -> str:
+    """An activity's name of a text with single spaces, of at most 25 words."""
+    bare = rf"trim(regexp_replace({c}, '(^|\W)\((?i:{ROMAN})\)\s*', '\1'))"
+    name = rf"regexp_replace(CASE WHEN regexp_matches({bare}, '[0-9]') THEN regexp_extract({bare}, '^(.*?)₹?\s*[0-9]', 1) ELSE {bare} END, '^[ :|\-]+|[ :|\-]+$', '', 'g')"
+    words = f"string_split({name}, ' ')"
+    return f"CASE WHEN len({words}) > 25 THEN array_to_string({words}[1:25], ' ') || '...' ELSE {name} END"
+
+
+def values(c: str, pattern: str) -> str:
+    return rf"list_filter([trim(regexp_replace(m, '\s+', ' ', 'g')) FOR m IN regexp_extract_all({c}, {literal(pattern)})], lambda e: e <> '')"
+
+
+ORACLES["semantic_rows"] = f"""
+    WITH a AS (SELECT document, page_number, table_no, item_number, extracted_at, {squeezed("concat_ws(' ', raw_description, raw_cost)")} AS s, {squeezed("'(i) ' || raw_description")} AS d FROM aif_cost_rows),
+    b AS (SELECT *, {activity_name('s')} AS name, {values('s', MONEY)} AS m, {values('s', PERCENT)} AS p, {values('s', CAPACITY)} AS c FROM a),
+    e AS (SELECT *, list_filter([CASE WHEN name <> '' THEN 'Activity: ' || name END, CASE WHEN len(m) > 0 THEN 'Cost/Financial values: ' || array_to_string(m, ', ') END,
+        CASE WHEN len(p) > 0 THEN 'Percentages: ' || array_to_string(p, ', ') END, CASE WHEN len(c) > 0 THEN 'Capacity: ' || array_to_string(c, ', ') END,
+        CASE WHEN length(s) > length(array_to_string([name] || m || p || c, ' ')) + 40 THEN 'OCR text: ' || s END], lambda x: x IS NOT NULL) AS parts FROM b)
+    SELECT document, page_number, table_no, item_number, extracted_at, {activity_name('d')} AS activity, CASE WHEN s = '' THEN '' WHEN len(parts) = 0 THEN 'Original OCR: ' || s ELSE array_to_string(parts, ' | ') END AS row FROM e
+"""

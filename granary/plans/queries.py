@@ -37,8 +37,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks without the rows that were loaded twice."""
-    return table(spark, d, "scheme_chunks").drop("loaded_at").distinct()
+    """Chunks without the rows that were loaded twice. Keyed by chunk, so columns that a query doesn't use are neither read nor moved."""
+    return table(spark, d, "scheme_chunks").drop("loaded_at").dropDuplicates(["chunk_id"])
 
 
 def activities(spark: SparkSession, d: str) -> DataFrame:
@@ -277,6 +277,14 @@ def document_chunks(spark, d):
     return chunking.chunks(docs(spark, d).select("doc_id", kind.alias("content_type"), F.col("text").alias("page_content")))
 
 
+@query
+def chunk_errors(spark, d):
+    """Chunks of annex documents that lack a field, by what they lack and whether their kind is known."""
+    made = documents.documents(activities(spark, d), table(spark, d, "aif_cost_rows"))
+    rows = chunking.chunks(made)
+    return rows.groupBy(joined(q.missing(rows.columns, q.CHUNK_FIELDS, F.col("page_content"))).alias("errors"), q.known_type(F.col("content_type")).alias("known")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def annex_chunks(spark, d):
     """Atomic documents stay whole: those that don't have exactly one chunk."""
