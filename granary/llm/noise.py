@@ -68,7 +68,6 @@ HEAD_PARTS = re.compile(r"\s+[|*–—]\s+")
 PAGE_SIGNS = re.compile(r"[\w\s|~\[\]()/.·*–—-]*")
 #: Lines after a cut word in which its rest is sought.
 AHEAD = 4
-NOISE = ("hyphen", "misread", "header", "pageno")
 SECTION_LINE = ("Section:", "Subsection:")
 
 
@@ -427,7 +426,6 @@ def context_counts(df: DataFrame, text: str, ids: dict[str, int], contexts: dict
         context_of = np.full(len(ids) + 1, -1, dtype=np.int64)
         for w, c in contexts.items():
             context_of[ids[w]] = c
-        sums: dict[str, np.ndarray] = {}
         pairs, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
         schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
         for b in batches:
@@ -457,7 +455,6 @@ def context_counts(df: DataFrame, text: str, ids: dict[str, int], contexts: dict
             if len(pairs) > 2_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(numbers)], schema=schema)
                 pairs, numbers = pairs[:0], numbers[:0]
-        del sums
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(numbers)], schema=schema)
 
     return df.select(text).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))

@@ -138,7 +138,7 @@ def signed(df: DataFrame, text: str, key: str, width: int, min_words: int, size:
             numbers, identity, rows = signatures(b.column(1).to_pylist(), width, min_words, size)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(numbers)), pa.array(identity.view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=schema.names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, schema)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -322,8 +322,8 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
     """(classes, links): key, id and representative of each text that takes part; a, b and similarity of each pair of classes.
 
     A class holds the texts of the same words in the same order; its id stands for
-    it in the links, which reach the threshold exactly. Null and short texts take no
-    part. Rows that occur twice are one text. Other columns of df are ignored.
+    it in the links, which reach the threshold exactly. Null and short texts, and
+    rows without a key, take no part. Rows that occur twice are one text. Other columns of df are ignored.
     """
     members = stored(signed(df, text, key, width, min_words, 0).select(key, "id").distinct(), "members")
     classes = members.groupBy("id").agg(F.min(key).alias("representative"))

@@ -42,7 +42,7 @@ def test_join_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(simjoin, "SMALL", small)  # 8: trees of several levels, and blocks for nodes that don't shrink
     rows = [(f"k{i:03}", t) for i, t in enumerate(corpus())]
     rows += [("copy1", rows[0][1]), ("copy2", rows[0][1].upper()), ("none", None), ("empty", ""), ("short", "a few words")]
-    df = spark.createDataFrame([(*r, "x") for r in rows + rows[:3]], "chunk_id string, page_content string, id string")
+    df = spark.createDataFrame([(*r, "x") for r in [*rows, *rows[:3], (None, rows[0][1])]], "chunk_id string, page_content string, id string")
     classes, links = simjoin.joined(df)
     found = {tuple(r) for r in simjoin.expanded(classes, links).collect()}
     assert found == brute(rows)
