@@ -160,7 +160,7 @@ def valid_documents(spark, d):
 @query
 def metadata_filter(spark, d):
     wanted = q.matches({"document_type": "circular", "extraction_method": "ocr", "state": None})
-    return chunks(spark, d).where(wanted).select("chunk_id", "document_id")
+    return spark.read.parquet(f"{d}/scheme_chunks.parquet").where(wanted).select("chunk_id", "document_id").distinct()  # the filter reaches the files
 
 
 @query
@@ -431,7 +431,7 @@ def parent_expand(spark, d):
 @query
 def get_parent(spark, d):
     wanted = table(spark, d, "scheme_metadata").agg(F.max("document_id")).first()[0]
-    return chunks(spark, d).where(F.col("document_id") == wanted).select("chunk_id", "document_id")
+    return spark.read.parquet(f"{d}/scheme_chunks.parquet").where(F.col("document_id") == wanted).select("chunk_id", "document_id").distinct()
 
 
 @query
