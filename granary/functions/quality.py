@@ -13,7 +13,10 @@ from granary.functions import text as t
 MIN_CHARS, MIN_WORDS, LOW_CONFIDENCE = 80, 15, 0.65
 MIN_PAGE_CHARS, MIN_PAGE_WORDS, MIN_DISTINCT, MIN_LETTERS = 100, 20, 5, 40
 MIN_DOCUMENT_CHARS, MIN_CONTENT_CHARS, THRESHOLD = 30, 20, 0.1
-# Field lists and the kinds of content.
+# Field lists, the kinds of content, and the wording of errors.
+MISSING_FIELD, EMPTY_FIELD = "Missing required metadata field: {}", "Metadata '{}' cannot be empty."
+NOT_INTEGER, TOO_SMALL = "Metadata '{}' must be an integer.", "Metadata '{}' must be >= 1."
+NOT_SHARE, NOT_NUMERIC, NOT_BOOLEAN = "Metadata '{}' must be between 0.0 and 1.0.", "Metadata '{}' must be numeric.", "Metadata '{}' must be boolean."
 CONTENT_TYPES = ("activity", "cost_norm", "paragraph", "table", "heading", "list", "other")
 METADATA_FIELDS = ("source", "file_name", "document_type", "page", "page_number", "section", "content_type", "ocr_confidence", "has_ocr_warning", "parser", "extraction_method", "language", "version")
 CHUNK_FIELDS = (*METADATA_FIELDS, "chunk_index", "total_chunks")
@@ -97,14 +100,14 @@ def metadata_errors(columns: list[str]) -> Column:
     def get(name: str) -> Column:
         return F.col(name) if name in columns else F.lit(None)
 
-    found = [(get(f).isNull(), f"Missing required metadata field: {f}") for f in METADATA_FIELDS]
-    found += [(get(f).isNotNull() & (t.strip(get(f).cast("string")) == ""), f"Metadata '{f}' cannot be empty.") for f in ("source", "file_name")]
+    found = [(get(f).isNull(), MISSING_FIELD.format(f)) for f in METADATA_FIELDS]
+    found += [(get(f).isNotNull() & (t.strip(get(f).cast("string")) == ""), EMPTY_FIELD.format(f)) for f in ("source", "file_name")]
     for f in ("page", "page_number"):
         whole = get(f).cast("string").rlike(r"^-?\d+$")
-        found += [(get(f).isNotNull() & ~whole, f"Metadata '{f}' must be an integer."), (whole & (get(f).try_cast("int") < 1), f"Metadata '{f}' must be >= 1.")]
+        found += [(get(f).isNotNull() & ~whole, NOT_INTEGER.format(f)), (whole & (get(f).try_cast("int") < 1), TOO_SMALL.format(f))]
     number = get("ocr_confidence").cast("string").try_cast("double")
-    found += [(number.isNotNull() & ~number.between(0.0, 1.0), "Metadata 'ocr_confidence' must be between 0.0 and 1.0."), (get("ocr_confidence").isNotNull() & number.isNull(), "Metadata 'ocr_confidence' must be numeric.")]
-    found += [(get("has_ocr_warning").isNotNull() & ~get("has_ocr_warning").cast("string").isin("true", "false"), "Metadata 'has_ocr_warning' must be boolean.")]
+    found += [(number.isNotNull() & ~number.between(0.0, 1.0), NOT_SHARE.format("ocr_confidence")), (get("ocr_confidence").isNotNull() & number.isNull(), NOT_NUMERIC.format("ocr_confidence"))]
+    found += [(get("has_ocr_warning").isNotNull() & ~get("has_ocr_warning").cast("string").isin("true", "false"), NOT_BOOLEAN.format("has_ocr_warning"))]
     return errors(*found)
 
 

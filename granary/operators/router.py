@@ -25,6 +25,9 @@ CONTENT_TERMS = (
     "how much", "how many", "number", "total", "amount", "quantity", "percentage", "percent", "rate", "insured", "insurance", "coverage", "covered",
     "beneficiaries", "beneficiary", "financial year",
 )
+#: What further questions add to a scheme's name or a year.
+DATED_TERMS, DATED_MORE, NAME_TERMS = " total number beneficiaries insured covered amount percentage", " total insured number quantity coverage", " total number amount percentage beneficiaries insured coverage"
+YEAR_WORDS = "financial year "
 FACT_PATTERN = r"\bfy\s*20\d{2}\b|\bfinancial year\b|\b\d+(?:\.\d+)?\s*(?:lakh|crore|million|billion|percent)?\b"
 #: Years as they are written, which normalisation makes unfindable, and as they look after it.
 YEARS = {"actual": r"(\b20\d{2}\s*[-/]\s*(?:20)?\d{2}\b)", "intended": r"(\b20\d{2}\s+(?:20)?\d{2}\b)"}
@@ -80,9 +83,9 @@ def variants(question: Column, key: Column, name: Column, years: str = "actual",
     """
     found = F.array_join(F.regexp_extract_all(t.normalized(question), F.lit(YEARS[years]), 1), " ")
     known, dated = t.text(name) != "", found != ""
-    both = F.array(F.concat(name, F.lit(" financial year "), found, F.lit(" total number beneficiaries insured covered amount percentage")), F.concat(name, F.lit(" "), found, F.lit(" total insured number quantity coverage")))
-    own = F.array(F.concat(name, F.lit(" total number amount percentage beneficiaries insured coverage")))
-    when = F.array(F.concat(F.lit("financial year "), found, F.lit(" total number amount percentage beneficiaries insured coverage")))
+    both = F.array(F.concat(name, F.lit(" " + YEAR_WORDS), found, F.lit(DATED_TERMS)), F.concat(name, F.lit(" "), found, F.lit(DATED_MORE)))
+    own = F.array(F.concat(name, F.lit(NAME_TERMS)))
+    when = F.array(F.concat(F.lit(YEAR_WORDS), found, F.lit(NAME_TERMS)))
     none = F.array().cast("array<string>")
     more = F.when(known & dated, both).when(known, own).when(dated, when).otherwise(none)
     for k, templates in (extra or {}).items():

@@ -9,6 +9,15 @@ from granary.functions import extract as x
 from granary.functions import text as t
 
 LONG_LINE, LOW, MEDIUM = 300, 0.6, 0.8
+# The wording of notes.
+NO_LINES = "No raw table lines detected."
+NO_ROWS = "No semantic rows could be reconstructed."
+ONE_LINE = "Only one table-like OCR line detected; table structure may be incomplete."
+DETECTED = {"markers": " numbered table-row markers.", "money": " financial value(s).", "percent": " percentage value(s).", "capacity": " capacity value(s)."}
+LONG_LINES = "One or more OCR lines are very long. Possible multi-column OCR interleaving detected."
+LOW_NOTE = "Low normalization confidence. Do not rely on reconstructed column relationships without validation."
+MEDIUM_NOTE = "Medium normalization confidence. Review reconstructed rows before production ingestion."
+HIGH_NOTE = "High heuristic confidence."
 
 
 def blocks(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -52,19 +61,10 @@ def confidence(lines: Column, rows: Column, n: dict[str, Column]) -> Column:
 
 
 def notes(lines: Column, rows: Column, score: Column, n: dict[str, Column]) -> Column:
-    said = lambda k, least, before, after: F.when(n[k] >= least, F.concat(F.lit(before), n[k].cast("string"), F.lit(after)))
+    said = (F.when(n[k] >= (2 if k == "markers" else 1), F.concat(F.lit("Detected "), n[k].cast("string"), F.lit(after))) for k, after in DETECTED.items())
     return F.array_compact(F.array(
-        F.when(F.size(lines) == 0, "No raw table lines detected."),
-        F.when(F.size(rows) == 0, "No semantic rows could be reconstructed."),
-        F.when(F.size(lines) == 1, "Only one table-like OCR line detected; table structure may be incomplete."),
-        said("markers", 2, "Detected ", " numbered table-row markers."),
-        said("money", 1, "Detected ", " financial value(s)."),
-        said("percent", 1, "Detected ", " percentage value(s)."),
-        said("capacity", 1, "Detected ", " capacity value(s)."),
-        F.when(F.exists(lines, lambda s: F.length(s) > LONG_LINE), "One or more OCR lines are very long. Possible multi-column OCR interleaving detected."),
-        F.when(score < LOW, "Low normalization confidence. Do not rely on reconstructed column relationships without validation.")
-        .when(score < MEDIUM, "Medium normalization confidence. Review reconstructed rows before production ingestion.")
-        .otherwise("High heuristic confidence."),
+        F.when(F.size(lines) == 0, NO_LINES), F.when(F.size(rows) == 0, NO_ROWS), F.when(F.size(lines) == 1, ONE_LINE), *said,
+        F.when(F.exists(lines, lambda s: F.length(s) > LONG_LINE), LONG_LINES), F.when(score < LOW, LOW_NOTE).when(score < MEDIUM, MEDIUM_NOTE).otherwise(HIGH_NOTE),
     ))
 
 
