@@ -68,6 +68,8 @@ HEAD_PARTS = re.compile(r"\s+[|*–—]\s+")
 PAGE_SIGNS = re.compile(r"[\w\s|~\[\]()/.·*–—-]*")
 #: Lines after a cut word in which its rest is sought.
 AHEAD = 4
+#: A line of this share of the widest one was wrapped, even if it ends a sentence.
+FULL = 0.8
 SECTION_LINE = ("Section:", "Subsection:")
 
 
@@ -355,6 +357,7 @@ class Scanner:
         out: list[str] = []
         last, glue = None, "\n"
         forms = {i: self.lines.form(rows[i].strip()) for i in flow}
+        width = max((len(rows[i]) for i in flow if forms[i] == "prose"), default=0)
         for i in flow:
             line = rows[i].strip()
             for old, new in fixes.get(i, ()):
@@ -370,7 +373,7 @@ class Scanner:
                     sep = "\n\n" if any(not rows[j].strip() for j in range(last + 1, i)) else "\n"
                 elif any(not rows[j].strip() for j in range(last + 1, i)) and not (line[:1].islower() and forms[i] == "prose" and rows[last].strip()[-1:] not in ".!?:"):
                     sep = "\n\n"
-                elif forms[i] == "prose" and (forms[last] == "prose" and rows[last].strip()[-1:] not in ".!?:" or forms[last] in ("prose", "list") and line[:1].islower()):
+                elif forms[i] == "prose" and (forms[last] == "prose" and (rows[last].strip()[-1:] not in ".!?:" or line[:1].isdigit() or len(rows[last]) >= FULL * width) or forms[last] in ("prose", "list") and line[:1].islower()):
                     sep = " "
                 else:
                     sep = "\n"

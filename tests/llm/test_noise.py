@@ -90,3 +90,8 @@ def test_rest_of_a_cut_word_behind_other_lines(scanner):
     text = "The farmers of the com-\nClick Here For More\n\nmittee of storage and the com-\nŚilpā mittee of cotton"
     assert scanner.scan(text, "n", None, 2)[0] == [(1, "hyphen"), (4, "hyphen")]
     assert scanner.scan("The farmers of the com-\nClick Here For More", "n", None, 2)[0] == []
+
+
+def test_wrapped_paragraphs_become_one_line(scanner):
+    text = "The farmers of the committee may claim the storage for Rs.\n276,500 and the tenant growers of the field may claim it.\nThe committee of the branch may claim pumps.\n\nThe growers may claim support.\nThe growers may claim storage."
+    assert scanner.scan(text, "n", None, 2)[1] == text.replace("Rs.\n", "Rs. ").replace("it.\nThe", "it. The")
