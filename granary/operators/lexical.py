@@ -4,22 +4,32 @@ The index is three tables: postings (term, doc, length, tf), lengths (doc, lengt
 and terms (term, df). A search joins the queries' few terms with the postings, so
 only postings of asked terms move; they hold their document's length, so scores
 are summed map-side before the one shuffle, and each query keeps its best k in a
-window over its own matches.
+window over its own matches. Many or long queries, whose words match most documents,
+are scored document by document instead: the asked postings meet by document, the
+queries' weights go to every task, and each task passes on only its best k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions import quality as q
 from granary.functions import text as t
 from granary.runtime import BROADCAST_ROWS
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Words of all queries from which a search goes by document; the results are the same.
+MANY = 2_000
+#: Words and queries of a pass by document, and postings and queries scored at once.
+PASS_WORDS, PASS_QUERIES, POSTINGS, BLOCK = 500_000, 4096, 1 << 16, 1024
 
 
 @dataclass
@@ -57,15 +67,19 @@ def search(ix: Index, queries: DataFrame, k: int, query: str = "query_id", text:
     have no result.
     """
     asked = queries.select(F.col(query).alias("query"), F.explode(t.tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
-    few = asked.count() <= BROADCAST_ROWS
+    number = asked.count()
+    few = number <= BROADCAST_ROWS
     documents, mean_length, mean_idf = ix.statistics
     raw = raw_idf(F.lit(documents), F.col("df"))
     weights = ix.terms.join(F.broadcast(asked) if few else asked, "term").select("term", "query", "times", F.when(raw < 0, EPSILON * mean_idf).otherwise(raw).alias("idf"))
-    hits = ix.postings.join(F.broadcast(weights) if few else weights, "term")
-    if allowed is not None:
-        hits = hits.join(allowed.select(F.col(query).alias("query"), "doc"), ["query", "doc"], "left_semi")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean_length or 1.0))
-    scores = hits.groupBy("query", "doc").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    if allowed is None and number > MANY:
+        scores = by_document(ix, weights, k, mean_length, number)
+    else:
+        hits = ix.postings.join(F.broadcast(weights) if few else weights, "term")
+        if allowed is not None:
+            hits = hits.join(allowed.select(F.col(query).alias("query"), "doc"), ["query", "doc"], "left_semi")
+        norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean_length or 1.0))
+        scores = hits.groupBy("query", "doc").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
     if pad:
         scores = scores.unionByName(padding(ix, asked, scores, k, allowed, query))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc").asc())
@@ -73,6 +87,85 @@ def search(ix: Index, queries: DataFrame, k: int, query: str = "query_id", text:
     return ranked.select(F.col("query").alias(query), "doc", "score", "rank")
 
 
+def by_document(ix: Index, weights: DataFrame, k: int, mean_length: float, number: int) -> DataFrame:
+    """(query, doc, score) of the best k matches of each query in each task, of whole queries: weights has a row for each of their number words."""
+    weights = weights.select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    passes = max(-(-number // PASS_WORDS), -(-weights.select("query").distinct().count() // PASS_QUERIES), 1)
+    parts = [scored(ix, weights.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == p) if passes > 1 else weights, k, mean_length) for p in range(passes)]
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def scored(ix: Index, weights: DataFrame, k: int, mean_length: float) -> DataFrame:
+    """One pass over the postings of the words of weights (query, term, weight)."""
+    held = weights.orderBy("query", "term").toArrow()
+    names, terms = (held.column(c).combine_chunks().dictionary_encode() for c in ("query", "term"))
+    order = np.argsort(at := terms.indices.to_numpy(), kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(terms.dictionary) + 1))
+    queries, values = names.indices.to_numpy()[order], held.column("weight").to_numpy()[order]
+    spark = ix.postings.sparkSession
+    shared = spark.sparkContext.broadcast((names.dictionary.to_pylist(), starts, queries, values))
+    numbers = spark.createDataFrame(pa.table({"term": terms.dictionary, "number": pa.array(np.arange(len(terms.dictionary), dtype=np.int32))}))
+    schema = T.StructType([T.StructField("query", weights.schema["query"].dataType), T.StructField("doc", ix.postings.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out, (ids, starts, queries, values) = to_arrow_schema(schema), shared.value
+        best, where = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        docs, seen = [], 0
+
+        def add(rows: pa.Table) -> None:
+            """Score whole documents; documents come in order, so the first of equal scores is the smaller."""
+            nonlocal seen
+            code = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            used, term = np.unique(rows.column(1).to_numpy(), return_inverse=True)
+            tf, length = rows.column(3).to_numpy().astype(float), rows.column(2).to_numpy()
+            own = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean_length or 1.0)))
+            sizes = starts[used + 1] - starts[used]
+            line = np.repeat(np.arange(len(used)), sizes)
+            cell = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[used], sizes)
+            ends = np.r_[begin[1:], len(code)]
+            for first in range(0, len(ids), BLOCK):
+                last = min(first + BLOCK, len(ids))
+                inside = (queries[cell] >= first) & (queries[cell] < last)
+                table = np.zeros((len(used), last - first))
+                table[line[inside], queries[cell[inside]] - first] = values[cell[inside]]
+                new = np.stack([own[i:j] @ table[term[i:j]] for i, j in zip(begin, ends)], axis=1).round(9)
+                new[new == 0] = -np.inf
+                both = np.concatenate([best[first:last], new], axis=1)
+                top = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                place = np.concatenate([where[first:last], np.broadcast_to(seen + np.arange(len(begin)), new.shape)], axis=1)
+                best[first:last], where[first:last] = np.take_along_axis(both, top, 1), np.take_along_axis(place, top, 1)
+            docs.append(rows.column(0).combine_chunks().take(pa.array(begin)))
+            seen += len(begin)
+
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n < POSTINGS:
+                continue
+            rows = pa.Table.from_batches(waiting)
+            code = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            whole = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0  # the last document may go on in the next batch
+            if whole:
+                add(rows.slice(0, whole))
+            waiting = rows.slice(whole).to_batches()
+            n = sum(b.num_rows for b in waiting)
+        if n:
+            add(pa.Table.from_batches(waiting))
+        if seen:
+            query, column = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, out.field(0).type).take(pa.array(query)), pa.concat_arrays(docs).take(pa.array(where[query, column])), pa.array(best[query, column])], schema=out)
+
+    asked = ix.postings.join(F.broadcast(numbers) if len(terms.dictionary) <= BROADCAST_ROWS else numbers, "term").select("doc", "number", "length", "tf")
+    return asked.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, schema)
+
+
 def padding(ix: Index, asked: DataFrame, scores: DataFrame, k: int, allowed: DataFrame | None, query: str) -> DataFrame:
     """First documents of score 0. At most k are missing, so of each query's documents the first 2k hold enough that don't match."""
     short = asked.select("query").distinct().join(scores.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < k).select("query")

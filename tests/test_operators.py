@@ -41,6 +41,28 @@ def test_bm25(spark, query):
     assert lexical.search(ix, asked, 4, pad=False).count() == sum(s != 0 for _, s in plain_bm25(query)[:4])
 
 
+@pytest.mark.parametrize("small", [1, 1000])
+def test_bm25_by_document(spark, monkeypatch, small):
+    ix = lexical.index(corpus(spark), "doc", "page_content")
+    texts = [*DOCS, "farms farms seeds unknown", "for storage", "?!"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, question string")
+    plain = {tuple(r) for r in lexical.search(ix, asked, 3).collect()}
+    for name, value in (("MANY", 0), ("POSTINGS", small), ("BLOCK", small), ("PASS_WORDS", 3 * small)):
+        monkeypatch.setattr(lexical, name, value)
+    assert {tuple(r) for r in lexical.search(ix, asked, 3).collect()} == plain and len(plain) == 18
+
+
+def test_hybrid_asks_whole_texts(spark, tmp_path):
+    from granary.plans import queries
+
+    words = [f"w{i}" for i in range(20)]
+    rows = [(0, " ".join(words)), *((i, f"x{i} y{i}") for i in range(1, 59)), (59, "w19 w19 w18 other")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [0.0]), (7, [1.0])], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.doc_id: r.rank for r in queries.NAMES["hybrid_topk"](spark, str(tmp_path)).collect()}
+    assert found[0] == 1 and found.get(59) == 3  # document 59 shares only words behind the twelfth
+
+
 def test_index_round_trip(spark, tmp_path):
     ix = lexical.index(corpus(spark), "doc", "page_content")
     back = io.read_index(spark, io.write_index(ix, str(tmp_path / "ix"), 2))
