@@ -3,7 +3,7 @@
 rewrite -> scheme -> variants -> retrieval -> deduplication -> scheme first ->
 rerank -> boost -> threshold -> control -> context -> answer. Every window is
 partitioned by query. Models are passed in: a scorer as a function of columns, the
-language model as a function of prompts.
+embedder as one of a column of texts, the language model as a function of prompts.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import quality as q
 from granary.functions import text as t
 from granary.operators import context, fusion, lexical, rerank, router, vector
+from granary.runtime import stored
 
 Model = Callable[[list[str]], list[str]]
+Embed = Callable[[Column], Column]
 NO_QUESTION = "Please enter a question."
 NOT_FOUND = "The available documents hold nothing that answers this question."
 NO_ANSWER = "The available documents don't allow a reliable answer."
@@ -61,13 +63,20 @@ def standalone(questions: DataFrame, model: Model | None, text: str = "question"
     return made.withColumn("standalone_question", F.coalesce(F.nullif(t.strip(F.col("__reply")), F.lit("")), F.col(text))).drop("__prompt", "__reply")
 
 
-def retrieved(questions: DataFrame, documents: DataFrame, index: lexical.Index, registry: DataFrame, s: Settings) -> DataFrame:
-    """(query_id, position, doc, scheme_match, ...): base and variant results, the first of each duplicate, the scheme's documents first."""
+def retrieved(questions: DataFrame, documents: DataFrame, index: lexical.Index | None, registry: DataFrame, s: Settings, vectors: DataFrame | None = None, embed: Embed | None = None) -> DataFrame:
+    """(query_id, position, doc, scheme_match, ...): base and variant results, the first of each duplicate, the scheme's documents first.
+
+    With vectors (doc, embedding) and embed both kinds of results are the nearest vectors of the question and its variants, else the best by BM25.
+    """
     asked = router.detected(questions.select("query_id", F.col("standalone_question").alias("question")), registry)
     every = router.variants(F.col("question"), F.col("scheme_key"), F.col("scheme_name"), s.years, s.extra_variants)
     several = F.when(router.fact(F.col("question")), F.slice(every, 1, s.variants + 1)).otherwise(F.array("question"))
     single = asked.select("query_id", F.posexplode(several).alias("branch", "question")).withColumn("part", F.concat_ws("/", F.col("query_id").cast("string"), F.col("branch").cast("string")))
-    hits = lexical.search(index, single, s.retrieved, query="part").join(single.select("part", "query_id", "branch"), "part")
+    if vectors is None:
+        hits = lexical.search(index, single, s.retrieved, query="part")
+    else:
+        hits = vector.nearest(vectors, stored(single.select("part", embed(F.col("question")).alias("embedding")), "asked"), s.retrieved, key="doc", query="part")
+    hits = hits.join(single.select("part", "query_id", "branch"), "part")
     order = Window.partitionBy("query_id").orderBy("branch", "rank")
     hits = hits.withColumn("position", F.row_number().over(order))
     rows = hits.select("query_id", "doc", "position").join(documents, "doc")
@@ -85,17 +94,21 @@ def selected(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("position")))
 
 
-def ask(questions: DataFrame, documents: DataFrame, registry: DataFrame, model: Model | None = None, settings: Settings | None = None, index: lexical.Index | None = None) -> DataFrame:
+def ask(questions: DataFrame, documents: DataFrame, registry: DataFrame, model: Model | None = None, settings: Settings | None = None, index: lexical.Index | None = None, vectors: DataFrame | None = None, embed: Embed | None = None) -> DataFrame:
     """(query_id, question, standalone_question, answer, context, sources) of each question.
 
     questions: query_id, question and perhaps history. documents: doc, page_content,
     file_name, source, page, content_type. Without a model the answer is the context's
-    prompt. Empty questions and those without documents get a fixed answer.
+    prompt. Empty questions and those without documents get a fixed answer. vectors
+    (doc, embedding) with embed, by which they were made: documents are retrieved by
+    them; without both they are retrieved by BM25.
     """
+    if (vectors is None) != (embed is None):
+        raise ValueError("vectors and embed belong together")
     s = settings or Settings()
-    index = index or lexical.index(documents, "doc", "page_content")
+    index = index or (lexical.index(documents, "doc", "page_content") if vectors is None else None)
     questions = standalone(questions.withColumn("question", t.strip(t.text(F.col("question")))), model)
-    rows = selected(retrieved(questions.where("standalone_question <> ''"), documents, index, registry, s), s)
+    rows = selected(retrieved(questions.where("standalone_question <> ''"), documents, index, registry, s, vectors, embed), s)
     cited = rows.select("query_id", F.struct(
         "position", context.formatted(rows.columns, F.col("position")).alias("block"), context.chain(rows.columns, context.FILE_NAMES).alias("file_name"),
         context.chain(rows.columns, context.PAGES).alias("page"), context.chain(rows.columns, context.TYPES).alias("content_type"), "rerank_score",

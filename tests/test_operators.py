@@ -249,6 +249,19 @@ def test_ask(spark):
     assert {r.query_id: r.answer for r in pipeline.ask(asked, docs, registry(spark), broken).collect()}[1] == pipeline.NO_ANSWER
 
 
+def test_ask_by_vectors(spark):
+    rows = [(i, f"Text {i} of the village office", f"{i}.pdf", "s", i, "paragraph") for i in range(1, 31)]
+    docs = spark.createDataFrame(rows, "doc int, page_content string, file_name string, source string, page int, content_type string")
+    vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(1, 31)], "doc int, embedding array<double>")
+    asked = spark.createDataFrame([(1, "Tractors?"), (2, "How many tractors were insured?")], "query_id int, question string")
+    embed = lambda c: F.when(F.length(c) < 20, F.array(F.lit(30.0), F.lit(0.0))).when(F.length(c) < 40, F.array(F.lit(25.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    s = pipeline.Settings(retrieved=3, scorer=lambda *_: F.lit(0.9))
+    out = {r.query_id: {int(x.page) for x in r.sources} for r in pipeline.ask(asked, docs, registry(spark), settings=s, vectors=vectors, embed=embed).collect()}
+    assert out == {1: {28, 29, 30}, 2: {24, 25, 26}}  # no question shares a word with its documents
+    with pytest.raises(ValueError):
+        pipeline.ask(asked, docs, registry(spark), vectors=vectors)
+
+
 def test_models_are_passed_in(spark):
     df = spark.createDataFrame([(1, "q", "a", 1), (1, "q", "bbb", 2), (1, None, None, 3)], "query_id int, question string, page_content string, position int")
     rows = rerank.reranked(df, scorer=rerank.modelled(lambda pairs: [len(c) for _, c in pairs]), top=2).orderBy("position").collect()
