@@ -35,7 +35,7 @@ SKETCHED, SKETCH_BITS, PER_NUMBER = 64, 4, 16
 SKETCH_MATCHES = 22
 #: Bytes of texts handled at once, and of shingle sets that go to every task.
 SLICE, BROADCAST_SETS = 1 << 19, 48 << 20
-#: Copies of one text are all paired with each other up to this number, and with their representative beyond it.
+#: Exact copies of one text are all paired with each other up to this number, and with their representative beyond it.
 ALL_PAIRS_OF_COPIES = 50
 
 U = np.uint64
@@ -130,15 +130,15 @@ def signatures(texts: list[str | None], width: int, min_words: int, size: int =
 
 
 def signed(df: DataFrame, text: str, key: str, width: int, min_words: int, size: int = SIGNATURE) -> DataFrame:
-    """(key, id, signature) of each text of at least min_words words; the signature has size tokens."""
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("id", T.LongType()), T.StructField("signature", T.BinaryType())])
+    """(key, id, copy, signature) of each text of at least min_words words; exact copies have the same copy, the signature has size tokens."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("id", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("signature", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             numbers, identity, rows = signatures(b.column(1).to_pylist(), width, min_words, size)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(numbers)), pa.array(identity.view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(numbers)), pa.array(identity.view(np.int64)), b.column(2).take(pa.array(numbers)), pa.array([r.tobytes() for r in rows], pa.binary())], names=schema.names)
 
-    return df.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, schema)
+    return df.where(F.col(key).isNotNull()).select(key, text, F.xxhash64(text).alias("copy")).mapInArrow(run, schema)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -319,13 +319,13 @@ def exact(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", width: int = WIDTH, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): key, id and representative of each text that takes part; a, b and similarity of each pair of classes.
+    """(classes, links): key, id, copy and representative of each text that takes part; a, b and similarity of each pair of classes.
 
     A class holds the texts of the same words in the same order; its id stands for
     it in the links, which reach the threshold exactly. Null and short texts, and
     rows without a key, take no part. Rows that occur twice are one text. Other columns of df are ignored.
     """
-    members = stored(signed(df, text, key, width, min_words, 0).select(key, "id").distinct(), "members")
+    members = stored(signed(df, text, key, width, min_words, 0).groupBy(key, "id").agg(F.min("copy").alias("copy")), "members")
     classes = members.groupBy("id").agg(F.min(key).alias("representative"))
     records = stored(signed(df, text, key, width, min_words).groupBy("id").agg(F.first("signature").alias("signature")), "records")
     pairs = stored(candidates(records), "pairs")
@@ -342,23 +342,25 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
 def expanded(classes: DataFrame, links: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Pairs of keys, the smaller first.
 
-    Copies are expanded into all pairs, of one class or of two that are linked, as
-    long as no class is larger than ALL_PAIRS_OF_COPIES. A larger class is a star:
-    its representative is paired with each copy, and alone with linked classes.
+    Exact copies are expanded into all pairs, of one text or of two that are linked
+    or of the same words, as long as no text has more than ALL_PAIRS_OF_COPIES. A
+    text with more is a star: its representative is paired with each copy, and
+    alone with other texts. Texts of a class that differ are no copies.
     """
-    sizes = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("representative").alias("r"))
-    ends = [sizes.select(F.col("id").alias(e), F.col("n").alias(f"n_{e}"), F.col("r").alias(f"r_{e}")) for e in "ab"]
-    between = links.select("a", "b").join(ends[0], "a").join(ends[1], "b")
+    texts = classes.groupBy("id", "copy").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("r"))
+    ends = [texts.select(F.col("id").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("copy", "n", "r"))) for e in "ab"]
+    mixed = texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    between = links.select("a", "b").unionByName(mixed).join(ends[0], "a").join(ends[1], "b").where("a <> b or copy_a < copy_b")
     single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
     several = ~single & (F.greatest("n_a", "n_b") <= ALL_PAIRS_OF_COPIES)
     direct = between.where(~several).select(F.col("r_a").alias("x"), F.col("r_b").alias("y"))
-    copies = classes.join(sizes.where(F.col("n") > 1).select("id", "n"), "id").select("id", "n", "representative", F.col(key).alias("x"))
-    few = classes.join(sizes.where(F.col("n") <= ALL_PAIRS_OF_COPIES).select("id"), "id").select("id", F.col(key).alias("x"))
-    a, b = few.select(F.col("id").alias("a"), "x"), few.select(F.col("id").alias("b"), F.col("x").alias("y"))
-    crossed = between.where(several).select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    own = copies.where(F.col("n") <= ALL_PAIRS_OF_COPIES).select("id", "x")
-    within = own.join(own.select("id", F.col("x").alias("y")), "id").where("x < y").select("x", "y")
-    stars = copies.where((F.col("n") > ALL_PAIRS_OF_COPIES) & (F.col("x") != F.col("representative"))).select(F.col("representative").alias("x"), F.col("x").alias("y"))
+    rows = classes.select("id", "copy", F.col(key).alias("x"))
+    copies = rows.join(texts.where(F.col("n") > 1), ["id", "copy"])
+    a, b = rows.toDF("a", "copy_a", "x"), rows.toDF("b", "copy_b", "y")
+    crossed = between.where(several).select("a", "copy_a", "b", "copy_b").join(a, ["a", "copy_a"]).join(b, ["b", "copy_b"]).select("x", "y")
+    own = copies.where(F.col("n") <= ALL_PAIRS_OF_COPIES).select("id", "copy", "x")
+    within = own.join(own.withColumnRenamed("x", "y"), ["id", "copy"]).where("x < y").select("x", "y")
+    stars = copies.where((F.col("n") > ALL_PAIRS_OF_COPIES) & (F.col("x") != F.col("r"))).select(F.col("r").alias("x"), F.col("x").alias("y"))
     pairs = direct.unionByName(crossed).unionByName(within).unionByName(stars)
     return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
 

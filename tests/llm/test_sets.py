@@ -75,6 +75,14 @@ def test_a_large_group_of_copies_is_a_star(spark, monkeypatch):
     assert found == {("k0", f"k{i}") for i in range(1, 6)} | {("z1", "z2"), ("k0", "z1")}
 
 
+def test_texts_of_the_same_words_are_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "ALL_PAIRS_OF_COPIES", 3)
+    text = corpus()[0]
+    rows = [(f"k{i}", text + "." * i) for i in range(5)] + [("l0", text.upper()), ("l1", text.upper()), ("z1", text + " more"), ("z2", text + " more")]
+    found = {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()}
+    assert found == brute(rows) and len(found) == 36
+
+
 def test_join_of_an_empty_table(spark):
     df = spark.createDataFrame([], "chunk_id string, page_content string")
     classes, links = simjoin.joined(df)
