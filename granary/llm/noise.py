@@ -4,13 +4,17 @@
    vocabulary; the share bounds its size whatever the input.
 2. Skip-gram vectors of the vocabulary: context counts within a window over all
    records, then the factorisation of their shifted log ratios that skip-gram
-   with negative sampling optimises. Context words are a bounded number.
-3. A rare word is linked to a frequent one by plausible glyph edits: both are
-   written as pen strokes, so that confusable glyphs become equal; or it holds an
-   intruding sign, lost a letter, or is two words run together. Of several
-   frequent words the one that fits the context best is taken.
+   with negative sampling optimises. Rows of the matrix stay in the cluster; the
+   driver sees a square matrix over the context words and the finished vectors.
+3. A rare word is linked to a frequent neighbour by plausible glyph edits. The
+   edit (both words as pen strokes, an intruding sign, a lost letter) has a weight
+   that grows with the length of the word; the vectors add how close the two words
+   are (or, for words too rare for a vector, how well the frequent one fits the
+   words around the place). Only what reaches BAR in sum is a misreading. Of several
+   frequent words the one that fits best at the place is taken, each time anew.
 4. Page heads and page numbers go, words cut at line ends are joined, lines of a
-   paragraph become one.
+   paragraph become one. Heads are known from a document's name and issuer, or
+   learned: lines that stand first or last on most pages of a document.
 
 Steps 3 and 4 are row by row against broadcast tables of bounded size.
 """
@@ -24,12 +28,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.lookalike import Rewriter, classes
 from granary.llm.quality import Lines
+from granary.runtime import BROADCAST_ROWS, stored
 
 #: A word is in the vocabulary from this share of all tokens on: at most 500,000 words.
 VOCABULARY_SHARE = 2e-6
@@ -39,6 +45,12 @@ RATIO = 20
 #: Parts of words run together must be frequent words.
 PART_SHARE = 2e-5
 WINDOW, CONTEXTS, DIMENSIONS, NEGATIVES = 2, 512, 32, 5
+#: Weight of an edit for each letter beyond so many, that of an edit no letter word can stand for, and what edit and vectors must reach in sum.
+LETTER, FREE_LETTERS, SURE, BAR = 0.15, 2, 2.0, 0.2
+#: The more often a rare word occurs, the more its vector says: the bar rises by DOUBT up to ENOUGH occurrences.
+DOUBT, ENOUGH = 0.2, 40
+#: A head is learned from a line that is first or last on so many pages, and on this share of the document's pages.
+HEAD_PAGES, HEAD_SHARE, EDGE_LINES = 3, 0.5, 2
 CACHE = 300_000
 #: No word is longer; such tokens are addresses, codes or rows without spaces.
 LONGEST = 80
@@ -100,7 +112,7 @@ def letters(s: str | None) -> str:
 
 @dataclass
 class Model:
-    """Vocabulary with counts, stroke index and skip-gram vectors."""
+    """Vocabulary with counts, stroke index and skip-gram vectors; the links of its rare words."""
 
     counts: dict[str, int]
     total: int
@@ -120,27 +132,42 @@ class Model:
             if len(w) >= 5 and n >= self.part_count:
                 for i in range(len(w)):
                     self.by_loss.setdefault(w[:i] + w[i + 1 :], []).append(w)
-        self.misread = {w: v for w in self.counts if (v := self.linked(w, self.counts[w]))}
+        self.misread = {w: v for w in self.counts if (v := self.links(w))}
         self.known = frozenset(w for w in self.counts if w not in self.misread)
 
-    def linked(self, word: str, count: int, around: list[str] = ()) -> str | None:
-        """The frequent word with the same strokes."""
+    def links(self, word: str) -> list[tuple[float, str]]:
+        """(weight, frequent word) of the neighbours of a vocabulary word in glyphs and vectors, past the bar already."""
+        found = self.same_strokes(word, self.counts[word])
+        bar = BAR + DOUBT * min(1.0, self.counts[word] / ENOUGH)
+        return [(SURE, v) for weight, v in found if weight + self.closeness(word, v) >= bar]
+
+    def same_strokes(self, word: str, count: int) -> list[tuple[float, str]]:
+        """(weight of the edit, frequent word with the same strokes)."""
         found = [v for v in self.by_strokes.get(strokes(word), ()) if v != word and self.counts[v] >= RATIO * max(count, 1)]
-        return self.best(found, around)
+        return [(SURE if not word.isascii() or not word.isalpha() else LETTER * (len(word) - FREE_LETTERS), v) for v in found]
 
-    def best(self, found: list[str], around: list[str]) -> str | None:
-        if not found:
-            return None
-        if len(found) > 1 and self.vectors is not None:
-            return max(found, key=lambda v: (self.fit(v, around) + 0.1 * np.log(self.counts[v]), v))
-        return max(found, key=lambda v: (self.counts[v], v))
+    def closeness(self, a: str, b: str) -> float:
+        """Cosine of two words' vectors."""
+        if self.vectors is None or a not in self.ids or b not in self.ids:
+            return 0.0
+        p, q = self.vectors[self.ids[a]], self.vectors[self.ids[b]]
+        size = float(np.linalg.norm(p) * np.linalg.norm(q))
+        return float(p @ q) / size if size else 0.0
+
+    def chosen(self, options: list[tuple[float, str]], around: list[str]) -> str | None:
+        """The best of the options (weight, word) at this place, or None if none reaches the bar."""
+        fits = {v: self.fit(v, around) for _, v in options}
+        past = [(fits[v] + 0.1 * np.log(self.counts[v]), v) for weight, v in options if weight + fits[v] >= BAR]
+        return max(past)[1] if past else None
 
     def fit(self, word: str, around: list[str]) -> float:
-        """How well a word's vector agrees with the context vectors of its neighbours."""
-        at = [self.context_ids[w] for w in around if w in self.context_ids]
-        if not at or word not in self.ids:
+        """How well a word's vector agrees with those of its neighbours: as contexts where they are context words, else as words."""
+        if self.vectors is None or word not in self.ids:
             return 0.0
-        v, c = self.vectors[self.ids[word]], self.contexts[at].sum(axis=0)
+        near = [self.contexts[self.context_ids[w]] if w in self.context_ids else self.vectors[self.ids[w]] for w in around if w in self.ids]
+        if not near:
+            return 0.0
+        v, c = self.vectors[self.ids[word]], np.sum(near, axis=0)
         size = float(np.linalg.norm(v) * np.linalg.norm(c))
         return float(v @ c) / size if size else 0.0
 
@@ -152,21 +179,26 @@ class Scanner:
         self.m = model
         self.lines = Lines(common)
         self.rewriter = Rewriter(classes({}))
-        self.seen: dict[str, str | None] = {}
+        self.seen: dict[str, str | list | None] = {}
 
     # words
 
     def word(self, token: str, around: list[str], first: bool = False) -> str | None:
-        """None if the token is sound, else what it should be. around only decides between several frequent words."""
+        """None if the token is sound at this place, else what it should be. Only what no context can change is kept by token."""
         key = "\n" + token if first else token
         if key in self.seen:
-            return self.seen[key]
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        out = self.seen[key] = self.judge(token, around, first)
-        return out
-
-    def judge(self, token: str, around: list[str], first: bool) -> str | None:
+            out = self.seen[key]
+        else:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            out = self.judge(token, first)
+            if isinstance(out, list) and len(out) == 1 and out[0][0] >= 1 + BAR:
+                out = out[0][1]  # past the bar whatever stands around it
+            self.seen[key] = out
+        return self.m.chosen(out, around) if isinstance(out, list) else out
+
+    def judge(self, token: str, first: bool) -> str | list[tuple[float, str]] | None:
+        """None if the token is sound, else what it should be, or the frequent words that it may be with the weights of the edits."""
         m = self.m
         if len(token) > LONGEST:
             return None
@@ -188,24 +220,24 @@ class Scanner:
             return core.translate(str.maketrans("OolISBZ", "0011582"))
         if sum(c.isalpha() for c in low) < 2:
             return None
-        if to := m.linked(low, 1, around):
-            return to
+        if found := m.same_strokes(low, 1):
+            return found
         if INTRUDER.search(low):
             bare = INTRUDER.sub("", low)
             if bare in m.known:
                 return bare
-            if to := m.misread.get(bare) or m.linked(bare, 1, around):
-                return to
+            if found := m.misread.get(bare) or m.same_strokes(bare, 1):
+                return [(SURE, v) for _, v in found]
         if to := self.run_together(low):
             return to
         if "-" in low or "/" in low or "'" in low or "’" in low:
             parts = [p for p in re.split(r"[-/'’]", low) if p]
             if all(p in m.known or len(p) < 2 for p in parts):
                 return None
-            fixed = [p if p in m.known or len(p) < 2 else m.misread.get(p) or m.linked(p, 1) for p in parts]
+            fixed = [p if p in m.known or len(p) < 2 else m.chosen(m.misread.get(p) or m.same_strokes(p, 1), []) for p in parts]
             return "-".join(fixed) if all(fixed) else None
         if low.isascii() and low.isalpha() and len(low) >= 4 and (found := m.by_loss.get(low)):
-            return m.best(found, around)
+            return [(LETTER * (len(low) - 1), v) for v in found]
         if low.isascii() and len(low) >= 5 and ODD_GLYPH.fullmatch(low) and not FORM_NUMBER.fullmatch(low):
             return low.translate(str.maketrans("01569@+!°|$", "oisggatioia"[:11]))
         if INTRUDER.search(low) and sum(c.isalpha() for c in low) >= 4 and len(INTRUDER.findall(low)) == 1 and low[0].isalpha() and low[-1].isalpha():
@@ -259,7 +291,7 @@ class Scanner:
         names = (letters(name), letters(name.split(" - ")[0])) if parts else ()
         return len(parts) == 2 and any(near(p, n) for p in parts for n in names) and all(w[:1].isupper() or w in ("of", "for", "and", "the") or not w[:1].isalpha() for w in line.split())
 
-    def scan(self, text: str | None, name: str | None, issuer: str | None, page: int | None, chunk: bool = True, repair: bool = True) -> tuple[list[tuple[int, str]], str | None]:
+    def scan(self, text: str | None, name: str | None, issuer: str | None, page: int | None, chunk: bool = True, learned: list[int] | None = None, repair: bool = True) -> tuple[list[tuple[int, str]], str | None]:
         """([(line number from 1, noise)], repaired text or None) of one record."""
         if not text:
             return [], text
@@ -277,6 +309,12 @@ class Scanner:
                 furniture[i] = "header"
             elif self.page_number(line, page):
                 furniture[i] = "pageno"
+        if learned:  # heads that stand on most pages of the document
+            free = [i for i in body if i not in furniture]
+            for i in {*free[:EDGE_LINES], *free[-EDGE_LINES:]} if len(free) > EDGE_LINES else ():
+                if head_key(name, rows[i]) in learned and not (page == 1 and i == body[0]):
+                    own = any(len(h) >= 8 and (h in letters(rows[i]) or letters(rows[i]) in h) for h in heads)
+                    furniture[i] = "header" if own else "repeated"
         bare = [i for i, k in furniture.items() if k == "pageno" and rows[i].strip().isdigit()]
         kind = None
         if bare and sum(rows[i].strip().isdigit() for i in body) > 3:
@@ -293,7 +331,7 @@ class Scanner:
         heads_of_cut: set[int] = set()
         cut_lines: set[int] = set()
         for a, i in enumerate(flow[:-1]):
-            cut = CUT.search(rows[i][-60:]) if rows[i].rstrip()[-1:] in ("-", "¬") else None
+            cut = CUT.search(rows[i].split()[-1]) if rows[i].rstrip()[-1:] in ("-", "¬") else None
             if not cut or not any(c.isalpha() for c in cut.group(1)):
                 continue
             left = self.fold(cut.group(1))
@@ -324,17 +362,15 @@ class Scanner:
                     continue
                 if (j == 0 and i in heads_of_cut) or (j == last and i in cut_lines):
                     continue
-                around = [x.strip(EDGE).lower() for x in tokens[max(0, j - WINDOW) : j + WINDOW + 1]]
+                around = [x.strip(EDGE).lower() for x in (*tokens[max(0, j - WINDOW) : j], *tokens[j + 1 : j + WINDOW + 1])]
                 if to := self.word(t, around, first=j == 0):
                     found.append((t, to))
             if found:
                 fixes.setdefault(i, []).extend(found)
-        if fixes and chunk:
-            kind = kind or self.lines.kind(text, name)[0]
-            if kind in ("table", "junk"):
-                fixes = {}
-        if fixes:
-            noise += [(i + 1, "misread") for i in fixes]
+        if fixes:  # cells are mended, but only words of running text and lists count; junk stays as it is
+            kind = (kind or self.lines.kind(text, name)[0]) if chunk else "prose"
+            fixes = {} if kind == "junk" else fixes
+            noise += [(i + 1, "misread") for i in fixes if kind != "table"]
         shown = [i for i, r in enumerate(rows) if r.strip() and i not in furniture]
         return noise, self.reflow(rows, shown, joined, fixes) if repair else None
 
@@ -383,6 +419,53 @@ class Scanner:
         return "".join(out)
 
 
+def head_key(name: str | None, line: str) -> int:
+    """A hash of a document's name and a line's letters."""
+    h = xxhash.xxh3_64_intdigest(f"{name}\n{letters(line)}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def edge_lines(text: str) -> set[str]:
+    """Letters of the first and last lines of a text that may be heads: no sentences, no section lines, 8 letters at least."""
+    rows = text.split("\n")
+    found: set[str] = set()
+    for order in (rows, reversed(rows)):
+        n = 0
+        for r in order:
+            r = r.strip()
+            if r and not r.startswith(SECTION_LINE):
+                n += 1
+                if len(r) <= 160 and r[-1] not in ".,:;!?-":
+                    found.add(letters(r))
+                if n == EDGE_LINES:
+                    break
+        if n < EDGE_LINES:
+            return set()
+    return {x for x in found if len(x) >= 8}
+
+
+def heads(df: DataFrame) -> DataFrame:
+    """(name, learned): hashes of the lines that are first or last on HEAD_SHARE of a document's pages, and on HEAD_PAGES at least.
+
+    Only chunks are parts of pages. Only hashes move; pages are made distinct before they are counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: set[tuple[str, int, int | None]] = set()
+            for name, page, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                found.add((name, page, None))
+                found.update((name, page, head_key(name, x)) for x in edge_lines(text))
+            columns = list(zip(*found)) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()))], names=["name", "page", "mark"])
+
+    rows = df.where("chunk and name is not null and page is not null and text <> ''").select("name", "page", "text")
+    counts = rows.mapInArrow(run, "name string, page int, mark bigint").distinct().groupBy("name", "mark").agg(F.count(F.lit(1)).alias("pages"))
+    marks = F.collect_list(F.when(F.col("mark").isNotNull() & (F.col("pages") >= HEAD_PAGES), F.struct("mark", "pages")))
+    found = counts.groupBy("name").agg(F.max(F.when(F.col("mark").isNull(), F.col("pages"))).alias("all"), marks.alias("m"))
+    return found.select("name", F.transform(F.filter("m", lambda x: x["pages"] >= HEAD_SHARE * F.col("all")), lambda x: x["mark"]).alias("learned")).where(F.size("learned") > 0)
+
+
 def folded(counts: Counter) -> Counter:
     """Lower-case words without their edges, in their plain form, of raw tokens."""
     rewriter, out = Rewriter(classes({})), Counter()
@@ -419,7 +502,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def context_counts(df: DataFrame, text: str, ids: dict[str, int], contexts: dict[str, int]) -> DataFrame:
-    """(pair, n): how often a context word stands within the window of a vocabulary word. pair = word id * CONTEXTS + context id."""
+    """(word, contexts, numbers): how often each context word stands within the window of a vocabulary word. A row is bounded by the context words."""
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast((ids, contexts))
 
@@ -430,7 +513,10 @@ def context_counts(df: DataFrame, text: str, ids: dict[str, int], contexts: dict
         for w, c in contexts.items():
             context_of[ids[w]] = c
         pairs, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((pairs // CONTEXTS).astype(np.int32)), pa.array((pairs % CONTEXTS).astype(np.int32)), pa.array(numbers)], names=["word", "context", "n"])
+
         for b in batches:
             row: list[int] = []
             for t in b.column(0).to_pylist():
@@ -456,57 +542,94 @@ def context_counts(df: DataFrame, text: str, ids: dict[str, int], contexts: dict
             pairs, where = np.unique(both, return_inverse=True)
             numbers = np.bincount(where, weights=np.concatenate([numbers, n]), minlength=len(pairs)).astype(np.int64)
             if len(pairs) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(numbers)], schema=schema)
+                yield out()
                 pairs, numbers = pairs[:0], numbers[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(numbers)], schema=schema)
+        yield out()
 
-    return df.select(text).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    # Summed in each task already, so the rows move once, by word, for both aggregations.
+    counts = df.select(text).mapInArrow(run, "word int, context int, n bigint").repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    return counts.groupBy("word").agg(F.collect_list("context").alias("contexts"), F.collect_list("n").alias("numbers"))
 
 
-def skip_gram(pairs: np.ndarray, numbers: np.ndarray, words: int, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word and context vectors from counts of (word, context).
+def log_ratios(batch: pa.RecordBatch, by_context: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, row, context, value) of the positive log(#(w,c) N / (#w #c)) - log k, row after row; rows without one are left out of the last three."""
+    contexts, numbers = batch.column(1), batch.column(2)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(contexts.offsets.to_numpy()))
+    c, n = contexts.flatten().to_numpy(), numbers.flatten().to_numpy().astype(float)
+    by_word = np.bincount(row, weights=n, minlength=batch.num_rows)
+    values = np.log(n * total / (by_word[row] * by_context[c])) - np.log(NEGATIVES)
+    ok = values > 0
+    return batch.column(0).to_numpy(), row[ok], c[ok], values[ok]
+
+
+def skip_gram(counts: DataFrame, words: int, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and context vectors from counts (word, contexts, numbers).
 
     Skip-gram with k negative samples has its optimum where word times context is
     log(#(w,c) N / (#w #c)) - log k; the best vectors of a given length are the
     truncated singular vectors of that matrix. Its columns are the bounded context
-    words, so the eigenvectors of a small square matrix suffice.
+    words, so the eigenvectors of a small square matrix suffice. That matrix is
+    summed in the cluster, and the words' vectors are made there.
     """
-    w, c = pairs // CONTEXTS, pairs % CONTEXTS
-    total = max(1, numbers.sum())
-    by_word = np.bincount(w, weights=numbers, minlength=words)
-    by_context = np.bincount(c, weights=numbers, minlength=contexts)
-    values = np.log(numbers * total / (by_word[w] * by_context[c])) - np.log(NEGATIVES)
-    ok = values > 0
-    w, c, values = w[ok], c[ok], values[ok]
+    by_context = np.zeros(contexts)
+    for r in counts.select(F.explode(F.arrays_zip("contexts", "numbers")).alias("p")).groupBy("p.contexts").agg(F.sum("p.numbers").alias("n")).collect():
+        by_context[r.contexts] = r.n
+    total = max(1, int(by_context.sum()))
+    band = 64
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, any_row = np.zeros((contexts, contexts)), False
+        for b in batches:
+            _, row, c, values = log_ratios(b, by_context, total)
+            for first in range(0, b.num_rows, 1024):  # dense rows of a bounded number of words
+                inside = (row >= first) & (row < first + 1024)
+                part = np.zeros((min(1024, b.num_rows - first), contexts))
+                part[row[inside] - first, c[inside]] = values[inside]
+                gram += part.T @ part
+                any_row = True
+        if any_row:
+            at = np.arange(0, contexts, band)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([gram[i : i + band].tobytes() for i in at], pa.binary())], names=["at", "rows"])
+
+    def added(batch):  # noqa: ANN001, ANN202
+        total_of = sum(np.frombuffer(x, np.float64) for x in batch["rows"])
+        return batch[:1].assign(rows=[total_of.astype(np.float32).tobytes()])
+
     gram = np.zeros((contexts, contexts))
-    order = np.argsort(w, kind="stable")
-    w, c, values = w[order], c[order], values[order]
-    starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, int)
-    for s, e in zip(starts, np.r_[starts[1:], len(w)]):
-        gram[np.ix_(c[s:e], c[s:e])] += np.outer(values[s:e], values[s:e])
-    scale, vectors = np.linalg.eigh(gram)
+    for r in counts.mapInArrow(products, "at int, rows binary").groupBy("at").applyInPandas(added, "at int, rows binary").collect():
+        gram[r["at"] : r["at"] + band] = np.frombuffer(r["rows"], np.float32).reshape(-1, contexts)
+    scale, vectors = np.linalg.eigh((gram + gram.T) / 2)
     top = np.argsort(-scale)[:DIMENSIONS]
-    top = top[scale[top] > 1e-9 * max(1e-9, scale.max(initial=0))]
+    top = top[scale[top] > 1e-6 * max(1e-9, scale.max(initial=0))]
     basis, size = vectors[:, top], np.sqrt(np.sqrt(scale[top]))
-    out = np.zeros((words, len(top)))
-    np.add.at(out, w, values[:, None] * basis[c])
-    return (out / size).astype(np.float32), (basis * size).astype(np.float32)
+    if not len(top):
+        return np.zeros((words, 1), np.float32), np.zeros((contexts, 1), np.float32)
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, row, c, values = log_ratios(b, by_context, total)
+            made = np.zeros((b.num_rows, len(top)))
+            np.add.at(made, row, values[:, None] * basis[c])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array([v.tobytes() for v in (made / size).astype(np.float16)], pa.binary())], names=["word", "vector"])
+
+    out = np.zeros((words, len(top)), np.float32)
+    found = counts.mapInArrow(projected, "word int, vector binary").toArrow()
+    if found.num_rows:
+        out[found.column("word").to_numpy()] = np.frombuffer(b"".join(found.column("vector").to_pylist()), np.float16).reshape(-1, len(top))
+    return out, (basis * size).astype(np.float32)
 
 
 def learn(df: DataFrame, text: str = "text") -> Model:
-    """Vocabulary and vectors from all rows of df. The vocabulary's share bounds what comes to the driver."""
-    counts = word_counts(df, text).cache()
+    """Vocabulary and vectors from all rows of df. The vocabulary's share bounds what comes to the driver: a count and a vector for each of its words."""
+    counts = stored(word_counts(df, text), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, VOCABULARY_SHARE * total)
     vocabulary = {r.word: r.n for r in counts.filter(F.col("n") >= least).collect()}
-    counts.unpersist()
     ids = {w: i for i, w in enumerate(sorted(vocabulary))}
     contexts = {w: i for i, w in enumerate(sorted(sorted(vocabulary, key=lambda w: (-vocabulary[w], w))[:CONTEXTS]))}
     if not ids:
         return Model({}, total)
-    found = context_counts(df, text, ids, contexts).toPandas()
-    found = found.sort_values("pair")
-    vectors, by_context = skip_gram(found["pair"].to_numpy(np.int64), found["n"].to_numpy(np.int64), len(ids), len(contexts))
+    vectors, by_context = skip_gram(stored(context_counts(df, text, ids, contexts), "contexts"), len(ids), len(contexts))
     return Model(vocabulary, total, vectors, ids, by_context, contexts)
 
 
@@ -525,12 +648,15 @@ def repaired(df: DataFrame, common: list[str], model: Model | None = None, repai
     """record_id, noise (array of line_no and noise) and repaired text of each row of df (as from records()).
 
     Misread words count only in records that are no chunks, and in chunks of prose or
-    lists. Null text stays null, empty stays empty, both without noise. Null name, issuer
-    or page only make heads and page numbers of that record unrecognisable. Whole
-    texts are read; each row is repaired by itself, so repeated rows come out twice.
-    Without repair, text is null.
+    lists; in tables they are mended without being counted. Null text stays null, empty
+    stays empty, both without noise. Null name, issuer or page only make heads and page
+    numbers of that record unrecognisable. Whole texts are read; each row is repaired by
+    itself, so repeated rows come out twice. Without repair, text is null.
     """
     model = model or learn(df)
+    learned = stored(heads(df), "heads")
+    small = learned.count() <= BROADCAST_ROWS
+    rows = df.join(F.broadcast(learned) if small else learned, "name", "left")
     shared = df.sparkSession.sparkContext.broadcast((model.counts, model.total, model.vectors, model.ids, model.contexts, model.context_ids))
     common = frozenset(common)
     schema = T.StructType([
@@ -543,8 +669,8 @@ def repaired(df: DataFrame, common: list[str], model: Model | None = None, repai
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(Model(*shared.value), common)
         for b in batches:
-            found = [scanner.scan(*row, repair) for row in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
+            found = [scanner.scan(*row, repair) for row in zip(*(b.column(i).to_pylist() for i in range(1, 7)))]
             noise = [[{"line_no": i, "noise": k} for i, k in sorted(set(f[0]))] for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(noise, kind), pa.array([f[1] for f in found], pa.string())], names=schema.names)
 
-    return df.select("record_id", "text", "name", "issuer", "page", "chunk").mapInArrow(run, schema)
+    return rows.select("record_id", "text", "name", "issuer", "page", "chunk", "learned").mapInArrow(run, schema)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from granary.llm import noise
@@ -50,20 +51,80 @@ def test_near():
     assert near("klsankoshdigest", "kisankoshdigest") and not near("abcdefgh", "hgfedcba") and not near("", "abc")
 
 
-def test_skip_gram_puts_words_of_like_contexts_together():
-    import numpy as np
-
-    rng, pairs = np.random.default_rng(0), []
+def test_skip_gram_puts_words_of_like_contexts_together(spark):
+    rng, rows = np.random.default_rng(0), []
     for w in range(20):  # two words for each of ten groups of contexts
-        for _ in range(400):
-            pairs.append(w * noise.CONTEXTS + w // 2 * 6 + rng.integers(0, 6))
-    found, n = np.unique(pairs, return_counts=True)
-    v, _ = skip_gram(found, n, 20, 60)
+        found, n = np.unique(w // 2 * 6 + rng.integers(0, 6, 400), return_counts=True)
+        rows.append((w, found.tolist(), n.tolist()))
+    v, _ = skip_gram(spark.createDataFrame(rows, "word int, contexts array<int>, numbers array<bigint>"), 20, 60)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     likeness = unit @ unit.T
     assert all(likeness[w, w ^ 1] > 0.6 for w in range(20)) and abs(likeness[0, 2:]).max() < 0.3
 
 
+def test_skip_gram_agrees_with_the_whole_matrix(spark):
+    rng = np.random.default_rng(1)
+    counts = rng.integers(1, 60, (150, 24)) * (rng.random((150, 24)) < 0.5)
+    rows = [(w, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for w, r in enumerate(counts)]
+    v, c = skip_gram(spark.createDataFrame(rows, "word int, contexts array<int>, numbers array<bigint>").repartition(3), 150, 24)
+    with np.errstate(divide="ignore"):
+        goal = np.maximum(0, np.log(counts * counts.sum() / np.outer(counts.sum(1), counts.sum(0))) - np.log(noise.NEGATIVES))
+    assert np.abs(v @ c.T - goal).max() < 0.02
+
+
+def corpus():
+    """A word for dry land that has the strokes of `and`, and a building that scanning shortens to a rare word."""
+    rng, rows = np.random.default_rng(2), []
+    lands, things = "zones tracts soils belts regions".split(), "seeds pumps loans tools goats ponds carts hens".split()
+    for i in range(900):
+        a, b = rng.choice(things, 2)
+        rows.append(f"farmers buy {a} and {b} from traders here every season")
+    for i in range(30):
+        rows.append(f"rainfall stays low across arid {lands[i % 5]} where millet survives drought")
+        rows += [f"rainfall stays low across {x} {lands[i % 5]} where millet survives drought" for x in ("semidry", "parched")]
+    for i in range(200):
+        rows.append("store harvested grain inside barn lofts behind village granary")
+    return rows
+
+
+def test_vectors_decide_which_rare_words_are_misread(spark):
+    extra = [("odd", "store harvested grain inside bam lofts behind village granary"), ("other", "farmers buy bam from traders here every season")]
+    rows = [(f"r{i}", t, None, None, None, False, None) for i, t in enumerate(corpus())] + [(k, t, None, None, None, False, None) for k, t in extra]
+    df = spark.createDataFrame(rows, FIELDS)
+    model = noise.learn(df)
+    assert "arid" in model.known and model.closeness("arid", "and") < 0.1
+    with_vectors = {r.record_id for r in noise.repaired(df, list(COMMON), model).where("size(noise) > 0").collect()}
+    blind = Model(model.counts, model.total)
+    without = {r.record_id for r in noise.repaired(df, list(COMMON), blind).where("size(noise) > 0").collect()}
+    assert with_vectors == {"odd"} and without == set()  # `arid` is a word of its own; `bam` is misread in the barn's place alone
+
+
+def test_closeness_decides_which_vocabulary_words_are_linked():
+    counts, near = {"and": 9000, "arid": 40}, np.eye(2, dtype=np.float32)
+    assert Model(counts, 2_000_000, near[[0, 0]], {"and": 0, "arid": 1}).misread and not Model(counts, 2_000_000, near, {"and": 0, "arid": 1}).misread
+
+
+def test_the_place_decides_between_frequent_words():
+    ids = {"modern": 0, "modem": 1, "tools": 2, "router": 3}
+    unit = np.eye(2, dtype=np.float32)
+    m = Model({"modern": 5000, "modem": 5000, "tools": 9000, "router": 9000}, 2_000_000, np.stack([unit[0], unit[1], unit[0], unit[1]]), ids, np.stack([unit[0], unit[1]]), {"tools": 0, "router": 1})
+    for order in (1, -1):  # whatever was asked before
+        s = Scanner(m, COMMON)
+        asked = [(["tools"], "modern"), (["router"], "modem")][::order]
+        assert [s.word("modcrn", near) for near, _ in asked] == [to for _, to in asked]
+
+
+def test_heads_are_learned_from_most_pages_of_a_document(spark, scanner):
+    body = "The farmers of the committee\nmay claim storage of cotton\nfrom the branch of the field"
+    rows = [(f"c{p}", f"Handbook for Field Staff\n{body}\n{p}" if p != 9 else body, "Harit Mission", None, p, True, None) for p in range(1, 10)]
+    rows += [(f"d{p}", f"Handbook for Field Staff\n{body}" if p == 1 else body, "Other Mission", None, p, True, None) for p in range(1, 10)]
+    df = spark.createDataFrame(rows, FIELDS)
+    learned = {r.name: r.learned for r in noise.heads(df).collect()}
+    found = scanner.scan(f"Handbook for Field Staff\n{body}", "Harit Mission", None, 4, True, learned["Harit Mission"])[0]
+    assert (1, "repeated") in found
+    assert (1, "repeated") not in scanner.scan(f"Handbook for Field Staff\n{body}", "Other Mission", None, 4, True, learned.get("Other Mission"))[0]
+
+
 def test_whole_tables_and_hard_rows(spark):
     clean = "The committee of farmers may claim support for solar pumps in the field"
     rows = [(f"r{i}", clean, "Harit Mission Annex 1.pdf", None, 7, False, None) for i in range(120)]
