@@ -180,6 +180,7 @@ class Scanner:
         self.lines = Lines(common)
         self.rewriter = Rewriter(classes({}))
         self.seen: dict[str, str | list | None] = {}
+        self.sound: set[str] = set()  # those of them that are sound anywhere
 
     # words
 
@@ -191,10 +192,13 @@ class Scanner:
         else:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
+                self.sound.clear()
             out = self.judge(token, first)
             if isinstance(out, list) and len(out) == 1 and out[0][0] >= 1 + BAR:
                 out = out[0][1]  # past the bar whatever stands around it
             self.seen[key] = out
+            if out is None:
+                self.sound.add(key)
         return self.m.chosen(out, around) if isinstance(out, list) else out
 
     def judge(self, token: str, first: bool) -> str | list[tuple[float, str]] | None:
@@ -281,7 +285,7 @@ class Scanner:
             return False
         tokens = line.lower().split() if line.isascii() else self.rewriter.text(line)[0].lower().split()
         parted = name is not None and HEAD_PARTS.search(line) is not None
-        if 2 * sum(t in words for t in tokens) < len(tokens) - 1 and not parted:
+        if not parted and (words.isdisjoint(tokens) and len(tokens) > 1 or 2 * sum(map(words.__contains__, tokens)) < len(tokens) - 1):
             return False
         core = letters(line if line.isascii() else self.rewriter.text(line)[0])
         core = core[:-4] if core.endswith("page") and core not in heads else core
@@ -355,10 +359,12 @@ class Scanner:
                     fixes.setdefault(i, []).append((cut.group(1), to[: -len(right)] if to.endswith(right.lower()) else left))
         for i in flow:
             tokens = rows[i].split()
-            seen, found = self.seen, []
+            if "\n" + tokens[0] in self.sound and self.sound.issuperset(tokens[1:]):
+                continue
+            sound, found = self.sound, []
             last = len(tokens) - 1
             for j, t in enumerate(tokens):
-                if seen.get(t if j else "\n" + t, t) is None:
+                if (t if j else "\n" + t) in sound:
                     continue
                 if (j == 0 and i in heads_of_cut) or (j == last and i in cut_lines):
                     continue
@@ -644,6 +650,16 @@ def records(chunks: DataFrame, activities: DataFrame) -> DataFrame:
     )
 
 
+_held: dict[str, object] = {}
+
+
+def held(shared) -> Model:  # noqa: ANN001
+    """The broadcast model with its indexes, made once by each worker and not by each task."""
+    if _held.get("of") is not shared.value:  # a worker reads a broadcast once
+        _held.update(of=shared.value, model=Model(*shared.value))
+    return _held["model"]
+
+
 def repaired(df: DataFrame, common: list[str], model: Model | None = None, repair: bool = True) -> DataFrame:
     """record_id, noise (array of line_no and noise) and repaired text of each row of df (as from records()).
 
@@ -667,7 +683,7 @@ def repaired(df: DataFrame, common: list[str], model: Model | None = None, repai
     kind = pa.list_(pa.struct([("line_no", pa.int32()), ("noise", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Model(*shared.value), common)
+        scanner = Scanner(held(shared), common)
         for b in batches:
             found = [scanner.scan(*row, repair) for row in zip(*(b.column(i).to_pylist() for i in range(1, 7)))]
             noise = [[{"line_no": i, "noise": k} for i, k in sorted(set(f[0]))] for f in found]
