@@ -33,7 +33,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lookalike.consistent_form(table(spark, sf_dir, "scheme_chunks"))
-    return found.select("chunk_id", F.explode("deviations").alias("deviation")).distinct()
+    return found.select("chunk_id", F.explode("deviations").alias("deviation")).where(F.col("deviation").isin(*lookalike.DEVIATIONS)).distinct()
 
 
 def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:

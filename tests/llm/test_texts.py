@@ -41,6 +41,33 @@ def test_long_runs_of_invisible_characters(rewriter):
     assert rewriter.text("a" + "​" * 200_000 + "b")[0] == "ab"
 
 
+def test_marks_in_any_order_are_one_letter(rewriter):
+    assert {rewriter.text(s)[0] for s in ("a\u0323\u0302", "a\u0302\u0323", "\u00e2\u0323", "\u1ea1\u0302")} == {"\u1ead"}
+    assert rewriter.text("a" + "\u0301" * 8)[0] == "\u00e1" + "\u0301" * 7
+
+
+def test_counts_choose_between_letters_of_one_class(spark):
+    """The palochka looks like I and l: the pairs of letters of all texts choose."""
+    rows = [("1", "Indian lentil fields. India and lentils " * 50, ""), ("2", "\u04c0ndia \u04c0entil", ""), ("3", "fie\u04cfd", "")]
+    out = {r.chunk_id: r.page_content for r in lookalike.consistent_form(spark.createDataFrame(rows, "chunk_id string, page_content string, x string")).collect()}
+    assert out["2"] == "India lentil" and out["3"] == "field"
+
+
+def test_counts_decide_in_which_script_a_mixed_word_is(spark):
+    """Cyrillic with Latin look-alikes stays Cyrillic where such words are frequent, and isn't reported as a Latin word."""
+    odd = ("odd", "\u0422e\u0441\u0442", "")  # the second letter is Latin
+    latin, cyrillic = ("1", "Tecton and other plain Latin text for the tests", ""), ("2", "\u0442\u0435\u0441\u0442 \u0422\u0435\u0441\u0442 \u043f\u0440\u043e\u0442\u0435\u0441\u0442 " * 200, "")
+    schema = "chunk_id string, page_content string, x string"
+    for rows, to, kind in (([latin, cyrillic, odd], "\u0422\u0435\u0441\u0442", "foreign"), ([latin, odd], "Tect", "lookalike")):
+        found = {r.chunk_id: r for r in lookalike.consistent_form(spark.createDataFrame(rows, schema)).collect()}["odd"]
+        assert found.page_content == to and found.deviations == [kind]
+
+
+def test_letters_of_the_public_table(spark):
+    more = lookalike.confusables(spark)
+    assert more["\u0430"] == ("a",) and set(more["\u04c0"]) == {"I", "l"} and len(more) > 200
+
+
 def test_consistent_form_of_a_table(spark):
     df = spark.createDataFrame([("1", "sоlar", "x"), ("1", "sоlar", "x"), ("2", None, None), ("3", "", "")], "chunk_id string, page_content string, deviations string")
     out = lookalike.consistent_form(df).collect()
