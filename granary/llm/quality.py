@@ -2,8 +2,12 @@
 
 Every line is sorted by its form: a row of cells, a list item, unreadable, or
 running text. Running text must hold function words; a line of four words
-without any counts as unreadable. The kind is what most characters are. Rows
-are independent, so the plan is one pass over the text without a shuffle.
+without any counts as unreadable. The kind comes from these forms and from the
+repetition statistics together: running text that was said before in the same text
+is boilerplate and counts for no kind, so a list under lines that return again and
+again is a list; and a text that is boilerplate for the most part, by repeated
+lines and paragraphs or by one n-gram that covers it, is of the kind `boilerplate`.
+Rows are independent, so the plan is one pass over the text without a shuffle.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ EDGE = "(\"“‘'[)”’],.;:!?%"
 ENDINGS = (".", "!", "?", ":", ";", "”", '"', "।")
 SECTION_LINE = ("Section:", "Subsection:")
 NGRAMS = (2, 3, 4)
+#: A text of so many words is boilerplate if this share of it is repeated running text, or one 4-gram covers it.
+MIN_WORDS, BOILERPLATE = 20, 0.6
 CACHE, LONGEST = 200_000, 100
 
 KIND = T.StructType([
@@ -45,6 +51,7 @@ KIND = T.StructType([
     T.StructField("list_share", T.DoubleType()),
     T.StructField("table_share", T.DoubleType()),
     T.StructField("junk_share", T.DoubleType()),
+    T.StructField("boilerplate_share", T.DoubleType()),
     T.StructField("kind", T.StringType()),
 ])
 
@@ -114,15 +121,27 @@ class Lines:
             return "junk"
         return "prose"
 
-    def kind(self, text: str, title: str | None = None) -> tuple[str, dict[str, int]]:
-        """Kind of the text, and the characters of each form. Section lines and the title count for nothing."""
-        sizes = {"prose": 0, "list": 0, "table": 0, "junk": 0}
+    def kind(self, text: str, title: str | None = None, coverage: float = 0.0) -> tuple[str, dict[str, int]]:
+        """Kind of the text, and the characters of each form. Section lines and the title count for nothing, repeated running text only as boilerplate. coverage: of the dominant n-gram."""
+        sizes = {"prose": 0, "list": 0, "table": 0, "junk": 0, "boilerplate": 0}
+        said: set[str] = set()
         for raw in text.split("\n"):
             line = raw.strip()
             if line and not line.startswith(SECTION_LINE) and line != title:
-                sizes[self.form(line)] += len(line) + 1
-        best = max(sizes, key=sizes.__getitem__)
-        return (best if sizes[best] else "prose" if text.strip() else "empty"), sizes
+                form = self.form(line)
+                if form == "prose":
+                    if line in said:
+                        form = "boilerplate"
+                    said.add(line)
+                sizes[form] += len(line) + 1
+        total = sum(sizes.values())
+        if not total:
+            return ("prose" if text.strip() else "empty"), sizes
+        content = {k: n for k, n in sizes.items() if k != "boilerplate"}
+        best = max(content, key=content.__getitem__)
+        if len(text.split(None, MIN_WORDS)) > MIN_WORDS and (sizes["boilerplate"] >= BOILERPLATE * total or best == "prose" and coverage >= BOILERPLATE):
+            best = "boilerplate"
+        return best, sizes
 
 
 def shares(items: list[str]) -> float:
@@ -133,7 +152,6 @@ def shares(items: list[str]) -> float:
 
 def statistics(text: str | None, lines: Lines, title: str | None = None) -> tuple:
     text = text or ""
-    kind, sizes = lines.kind(text, title)
     words = WORD.findall(text.lower())
     rows = [x for x in (r.strip() for r in text.split("\n")) if x]
     count, chars = len(words), sum(map(len, words))
@@ -144,13 +162,14 @@ def statistics(text: str | None, lines: Lines, title: str | None = None) -> tupl
         times = max(grams.values(), default=0)
         longest = max((sum(map(len, g)) for g, k in grams.items() if k == times), default=0) if times > 1 else 0
         top.append(min(1.0, longest * times / chars) if chars else 0.0)
+    kind, sizes = lines.kind(text, title, top[-1])
     total = max(1, sum(sizes.values()))
     return (
         count, chars / count if count else 0.0, len(SIGN.findall(text)) / dense if dense else 0.0,
         sum(r.endswith(ENDINGS) for r in rows) / len(rows) if rows else 0.0,
         sum(w in lines.common for w in words) / count if count else 0.0,
         shares(rows), shares([p.strip() for p in text.split("\n\n") if p.strip()]), *top,
-        sizes["list"] / total, sizes["table"] / total, sizes["junk"] / total, kind,
+        sizes["list"] / total, sizes["table"] / total, sizes["junk"] / total, sizes["boilerplate"] / total, kind,
     )
 
 

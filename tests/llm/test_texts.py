@@ -88,6 +88,17 @@ def test_kind(text, kind):
     assert quality.Lines(COMMON).kind(text)[0] == kind
 
 
+def test_repetition_decides_the_kind(spark):
+    """A list under a line that returns again and again is a list; a text that says one thing over and over is boilerplate."""
+    said = "The notice of the office is for all of the farmers in the block."
+    items = "\n".join(f"{i}) bags of rice and {w} pumps" for i, w in enumerate("few many old new red cheap".split(), 1))
+    rows = {"list": "\n".join([items, *[said] * 4]), "prose": "\n".join([items, *[said.replace("notice", w) for w in ("notice", "letter", "order", "word")]]), "over": "\n".join([said] * 200), "line": "pay the fee to the office " * 60}
+    df = spark.createDataFrame([(k, t, None) for k, t in rows.items()], "chunk_id string, page_content string, document_name string")
+    found = {r.chunk_id: r for r in quality.text_statistics(df, COMMON).collect()}
+    assert {k: r.kind for k, r in found.items()} == {"list": "list", "prose": "prose", "over": "boilerplate", "line": "boilerplate"}
+    assert found["over"].boilerplate_share > 0.99 and found["list"].boilerplate_share > 0.4 and found["line"].top_4gram_share > 0.6
+
+
 def test_statistics_of_a_table(spark):
     df = spark.createDataFrame([("1", "The farm of the farm.\nThe farm of the farm.", None, "x"), ("2", None, None, None), ("3", "", "t", ""), ("4", "word " * 100_000, "t", "")], "chunk_id string, page_content string, document_name string, kind string")
     rows = {r.chunk_id: r for r in quality.text_statistics(df, COMMON).collect()}
