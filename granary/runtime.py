@@ -19,10 +19,12 @@ _stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a folder of this machine serves a session that runs on this machine alone; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(spark.sparkContext, "_granary_shared", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="granary-")
@@ -47,7 +49,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         atexit.register(discard, spark)
     _stored.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more, before the session ends."""
+    for df in tables:
+        path = getattr(df, "_granary_path", None)
+        if path in _stored:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _stored.remove(path)
 
 
 def discard(spark: SparkSession) -> None:
@@ -67,7 +81,9 @@ def ship(spark: SparkSession) -> None:
     if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp()) / "granary.zip"  # on the driver only; Spark serves it to the executors
+    folder = tempfile.mkdtemp(prefix="granary-zip-")  # on the driver only; Spark serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "granary.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("granary") / p.relative_to(root))
