@@ -3,10 +3,10 @@
 Documents get ordinals within their site: a container of bounded size and a place
 in it. A first pass bounds each line's documents from above, summed before the
 shuffle; only lines that may reach the thresholds go on. Each variant of such a
-line keeps the places of its documents per container; variants are united per
-line into compressed bitmaps (an array while a container is sparse, bits once it
-is dense), exact cardinalities meet the thresholds, and a line of a document is
-deleted if its line's bitmap has the document.
+line has a bitmap of its documents per container; the bitmaps of a line's variants
+are united, exact cardinalities meet the thresholds, and a line of a document is
+deleted if its line's bitmap has the document. For the lookup bitmaps are compressed
+(an array while a container is sparse, bits once it is dense).
 
 No shuffled group exceeds a container, however many documents share a line. The
 excessive lines are few whatever the input: each holds at least MIN_SHARE of its
@@ -17,8 +17,10 @@ the bounds they are joined instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -30,18 +32,24 @@ from granary.runtime import BROADCAST_ROWS, stored
 MIN_DOCUMENTS, MIN_SHARE, MIN_LETTERS = 5, 0.02, 20
 #: Places of a container: as many as Spark's bitmaps have bits.
 CONTAINER = 32_768
-#: Places up to which an array is smaller than the bits.
-SPARSE = CONTAINER // 16
+#: Bytes of a bitmap, and places up to which an array is smaller.
+DENSE, SPARSE = CONTAINER // 8, CONTAINER // 16
+#: What a bitmap takes in Python's memory beside its bytes.
+OVERHEAD = 256
 #: Lines, and bytes of bitmaps, up to which they go to every task.
 MOST_LINES, MOST_BYTES = 200_000, 128 << 20
 SKIPPED = ("Section:", "Subsection:")
 DROP = bytes(c for c in range(256) if not (97 <= c <= 122 or c == 10))
+NO_LETTER = re.compile(r"[\W\d_]+")
 
 
-def keys(text: str, min_letters: int = MIN_LETTERS) -> list[bytes]:
-    """Letters a to z of each line, lower-cased; empty where the line doesn't count."""
-    kept = text.lower().encode("ascii", "ignore").translate(None, DROP).split(b"\n")
-    return [k if len(k) >= min_letters and not r.startswith(SKIPPED) else b"" for k, r in zip(kept, text.split("\n"))]
+def keys(text: str, every: bool = False, min_letters: int = MIN_LETTERS) -> list[bytes]:
+    """Letters a to z of each line, lower-cased; empty where the line doesn't count. every: the letters of all scripts instead."""
+    low, rows = text.lower(), text.split("\n")
+    kept = [NO_LETTER.sub("", r) for r in low.split("\n")] if every and not text.isascii() else None
+    if kept is None or len(kept) != len(rows):
+        kept = low.encode("ascii", "ignore").translate(None, DROP).split(b"\n")
+    return [(k if isinstance(k, bytes) else k.encode()) if len(k) >= min_letters and not r.startswith(SKIPPED) else b"" for k, r in zip(kept, rows)]
 
 
 def signed(n: int) -> int:
@@ -68,7 +76,7 @@ def ordinals(df: DataFrame, site: str, document: str) -> DataFrame:
     )
 
 
-def bounds(rows: DataFrame) -> DataFrame:
+def bounds(rows: DataFrame, every: bool) -> DataFrame:
     """(site, k1, k2, most): a line's documents, bounded from above by the sum of those in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +84,7 @@ def bounds(rows: DataFrame) -> DataFrame:
         for b in batches:
             found: dict[tuple[str, bytes], set] = {}
             for t, s, c, p in zip(*(b.column(i).to_pylist() for i in range(4))):
-                for key in keys(t):
+                for key in keys(t, every):
                     if key:
                         found.setdefault((s, key), set()).add((c, p))
             hashed = [halves(k) for _, k in found]
@@ -87,7 +95,7 @@ def bounds(rows: DataFrame) -> DataFrame:
     return lines.groupBy("site", "k1", "k2").agg(F.sum("n").alias("most"))
 
 
-def variants(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def variants(rows: DataFrame, candidates: DataFrame, every: bool) -> DataFrame:
     """(site, k1, k2, variant, container, place) of every line that is a candidate."""
     few = candidates.count() <= MOST_LINES
     shared = rows.sparkSession.sparkContext.broadcast({(r.site, r.k1, r.k2) for r in candidates.collect()} if few else None)
@@ -99,7 +107,7 @@ def variants(rows: DataFrame, candidates: DataFrame) -> DataFrame:
         for b in batches:
             found, cache = set(), {}
             for t, s, c, p in zip(*(b.column(i).to_pylist() for i in range(4))):
-                for key, row in zip(keys(t), t.split("\n")):
+                for key, row in zip(keys(t, every), t.split("\n")):
                     if key:
                         at = cache.get(key) or cache.setdefault(key, halves(key))
                         if wanted is None or (s, *at) in wanted:
@@ -112,19 +120,30 @@ def variants(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def bitmaps(facts: DataFrame) -> DataFrame:
-    """(site, k1, k2, container, cardinality, bits, places): the variants' places of each container, united."""
-    by_variant = facts.groupBy("site", "k1", "k2", "variant", "container").agg(F.collect_set(F.col("place").cast("smallint")).alias("places"))
-    return (
-        by_variant.select("site", "k1", "k2", "container", F.explode("places").alias("place"))
-        .groupBy("site", "k1", "k2", "container")
-        .agg(F.bitmap_construct_agg(F.col("place").cast("bigint")).alias("bits"), F.array_sort(F.collect_set("place")).alias("places"))
-        .withColumn("cardinality", F.bitmap_count("bits"))
-        .withColumn("bits", F.when(F.col("cardinality") > SPARSE, F.col("bits")))
-        .withColumn("places", F.when(F.col("cardinality") <= SPARSE, F.col("places")))
-    )
+    """(site, k1, k2, container, bits, cardinality): a bitmap of documents for each variant and container, united over the variants of a line."""
+    line = ["site", "k1", "k2", "container"]
+    by_variant = facts.groupBy(*line, "variant").agg(F.bitmap_construct_agg(F.col("place").cast("bigint")).alias("bits"))
+    return by_variant.groupBy(*line).agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("cardinality", F.bitmap_count("bits"))
+
+
+def compressed(maps: DataFrame) -> DataFrame:
+    """The same with the places of sparse bitmaps as an array of two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [pack(x, n) for x, n in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], names=["site", "k1", "k2", "container", "data"])
+
+    return maps.select("site", "k1", "k2", "container", "bits", "cardinality").mapInArrow(run, "site string, k1 bigint, k2 bigint, container int, data binary")
+
+
+def pack(bits: bytes, cardinality: int) -> bytes:
+    if cardinality >= SPARSE:
+        return bits
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")).astype(np.uint16).tobytes()
 
 
-def excessive(df: DataFrame, text: str, site: str, document: str, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+def excessive(df: DataFrame, text: str, site: str, document: str, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows of df with the ordinals of their documents, bitmaps of the excessive lines)."""
     at = stored(ordinals(df.select(F.col(site).alias("site"), F.col(document).alias("document")), "site", "document"), "ordinals")
     sizes = at.groupBy("site").agg(F.count(F.lit(1)).alias("documents"))
@@ -133,36 +152,40 @@ def excessive(df: DataFrame, text: str, site: str, document: str, min_documents:
     counted = rows.where(F.col("container").isNotNull() & F.col("text").isNotNull())
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     enough = (F.col("most") >= min_documents) & (F.col("most") >= F.col("documents") * min_share)
-    candidates = stored(bounds(counted).where(F.col("most") >= min_documents).join(sizes, "site").where(enough).select("site", "k1", "k2"), "candidates")
-    maps = stored(bitmaps(variants(counted, candidates)), "bitmaps")
+    candidates = stored(bounds(counted, every).where(F.col("most") >= min_documents).join(sizes, "site").where(enough).select("site", "k1", "k2"), "candidates")
+    maps = stored(bitmaps(variants(counted, candidates, every)), "bitmaps")
     lines = maps.groupBy("site", "k1", "k2").agg(F.sum("cardinality").alias("cardinality")).join(sizes, "site")
     lines = lines.where((F.col("cardinality") >= min_documents) & (F.col("cardinality") >= F.col("documents") * min_share)).select("site", "k1", "k2")
     return rows, maps.join(lines, ["site", "k1", "k2"], "left_semi")
 
 
-def has(container: tuple[bytes | None, frozenset | None] | None, place: int) -> bool:
-    if container is None:
+def has(data: bytes | None, place: int) -> bool:
+    if data is None:
         return False
-    bits, places = container
-    return place in places if bits is None else bool(bits[place >> 3] >> (place & 7) & 1)
+    if len(data) == DENSE:
+        return bool(data[place >> 3] >> (place & 7) & 1)
+    places = np.frombuffer(data, np.uint16)
+    at = int(places.searchsorted(place))
+    return at < len(places) and int(places[at]) == place
 
 
-def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url", document: str = "document_id", key: str = "chunk_id", min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, most_bytes: int = MOST_BYTES) -> DataFrame:
+def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url", document: str = "document_id", key: str = "chunk_id", min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, most_bytes: int = MOST_BYTES, every_script: bool = False) -> DataFrame:
     """key, the text without lines repeated too often within its site, and the numbers (from 1) of the lines removed.
 
     A row whose site or document is null belongs to no site: nothing is counted or
     removed. Null and empty texts stay as they are. Documents count once per line,
-    so repeated rows add nothing; they come out as often as they came in. Other
+    so repeated rows add nothing; they come out as often as they came in. Lines are
+    compared by their letters a to z, with every_script by those of all scripts. Other
     columns of df are ignored, whatever their names. An empty df gives no rows.
     """
-    rows, lines = excessive(df.select(F.col(key).alias("__key"), text, site, document), text, site, document, min_documents, min_share)
-    size = lines.agg(F.sum(F.coalesce(F.octet_length("bits"), 2 * F.size("places")) + 64)).first()[0] or 0
+    rows, lines = excessive(df.select(F.col(key).alias("__key"), text, site, document), text, site, document, min_documents, min_share, every_script)
+    size = lines.agg(F.sum(F.least(2 * F.col("cardinality"), F.lit(DENSE)) + OVERHEAD)).first()[0] or 0
     out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(text, T.StringType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
     if size > most_bytes:
-        return joined(rows, lines, out)
+        return joined(rows, lines, out, every_script)
     held: dict[tuple, dict] = {}
-    for r in lines.select("site", "k1", "k2", "container", "bits", "places").toLocalIterator():
-        held.setdefault((r.site, r.k1, r.k2), {})[r.container] = (bytes(r.bits) if r.bits is not None else None, frozenset(r.places or ()))
+    for r in compressed(lines).toLocalIterator():
+        held.setdefault((r.site, r.k1, r.k2), {})[r.container] = bytes(r.data)
     shared = df.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +195,7 @@ def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url",
             for t, s, c, p in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
                 found = []
                 if t and c is not None:
-                    for i, k in enumerate(keys(t), 1):
+                    for i, k in enumerate(keys(t, every_script), 1):
                         if k:
                             if len(cache) > MOST_LINES:
                                 cache.clear()
@@ -189,22 +212,21 @@ def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url",
     return rows.select("__key", "text", "site", "container", "place").mapInArrow(run, out)
 
 
-def joined(rows: DataFrame, lines: DataFrame, out: T.StructType) -> DataFrame:
+def joined(rows: DataFrame, lines: DataFrame, out: T.StructType, every: bool = False) -> DataFrame:
     """The same by joins, where the bitmaps are too large for every task to hold."""
     key, text, _ = out.names
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(r, i, *halves(k)) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for i, k in enumerate(keys(t), 1) if k]
+            found = [(r, i, *halves(k)) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for i, k in enumerate(keys(t, every), 1) if k]
             columns = list(zip(*found)) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "line_no", "k1", "k2"])
 
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     found = rows.select("row", "text").mapInArrow(run, "row bigint, line_no int, k1 bigint, k2 bigint").join(rows.select("row", "site", "container", "place"), "row")
     bit = F.expr("shiftright(conv(hex(substring(bits, cast(place / 8 as int) + 1, 1)), 16, 10), place % 8) & 1") == 1
-    hit = F.when(F.col("bits").isNotNull(), bit).otherwise(F.array_contains("places", F.col("place").cast("smallint")))
-    gone = found.join(lines.drop("cardinality"), ["site", "k1", "k2", "container"]).where(hit).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = found.join(lines.drop("cardinality"), ["site", "k1", "k2", "container"]).where(bit).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", (i + 1).cast("int")))
     empty = F.array().cast("array<int>")
     return rows.join(gone, "row", "left").select(F.col("__key").alias(key), F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text), F.coalesce("removed", empty).alias("removed"))
