@@ -1,17 +1,20 @@
 """Near-duplicate texts with small edits: a chosen-path set similarity join (problem 5).
 
 Texts become sets of runs of WIDTH words, with a signature of minwise tokens.
-In each of TREES independent trees a record branches, at the root and at every
+In each of several independent trees a record branches, at the root and at every
 node that is too large, into BRANCHES children: the node chooses positions of the
 signature, and the record goes where its tokens at them lead. Records of small
 nodes are compared exhaustively by a sketch of the signature, and pairs that pass
 are checked exactly on their whole sets. Branching a node on 1 / threshold tokens
-keeps a similar pair together somewhere; repeated trees raise the recall.
+keeps a similar pair together somewhere with a chance that falls with the depth;
+trees are repeated until a pair at the threshold, at the depth that was reached,
+is met with the chance RECALL.
 
 Exact copies are one record from the start. Node sizes are counted with partial
 sums, so no large node is ever gathered. A node that stops shrinking holds texts
 that are all alike; it is compared in blocks, in bounded groups, without loss.
-Nothing but counts comes to the driver.
+The driver sees counts, and the numbers of large nodes (not of records) as long as
+they are few enough to go to every task; beyond HELD_NODES they are joined.
 """
 
 from __future__ import annotations
@@ -24,19 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.runtime import BROADCAST_ROWS, checkpointed, stored
+from granary.runtime import BROADCAST_ROWS, checkpointed, release, stored
 
 WIDTH, MIN_WORDS, THRESHOLD = 3, 40, 0.5
-TREES, BRANCHES, SIGNATURE = 6, 2, 64
+TREES, BRANCHES, SIGNATURE, RECALL = 6, 2, 64, 0.995
 #: A node up to this size is compared exhaustively; a child must be SHRINK times its parent or less to go on.
 SMALL, SHRINK, MAX_DEPTH = 256, 0.5, 12
 SKETCHED, SKETCH_BITS, PER_NUMBER = 64, 4, 16
 #: Equal nibbles of the sketch that a pair must have. At similarity 0.5 34 of 64 are expected, with a deviation of 4.
 SKETCH_MATCHES = 22
-#: Bytes of texts handled at once, and of shingle sets that go to every task.
-SLICE, BROADCAST_SETS = 1 << 19, 48 << 20
-#: Exact copies of one text are all paired with each other up to this number, and with their representative beyond it.
-ALL_PAIRS_OF_COPIES = 50
+#: Bytes of texts handled at once, and of shingle sets that go to every task; large nodes that do.
+SLICE, BROADCAST_SETS, HELD_NODES = 1 << 19, 48 << 20, BROADCAST_ROWS
 
 U = np.uint64
 ALNUM = np.zeros(256, dtype=bool)
@@ -166,8 +167,21 @@ SKETCH = [f"s{i}" for i in range(1, SKETCHED // PER_NUMBER + 1)]
 BRANCHED = "node bigint, id bigint, parent bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
 
-def level(records: DataFrame, large: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """The next level of all trees. large: for each level before it, the sorted nodes that go on and their sizes."""
+def met(depth: int, threshold: float = THRESHOLD) -> float:
+    """Chance that a pair at the threshold is still together at some node of a tree after so many branchings."""
+    p = 1.0
+    for _ in range(depth):
+        p = 1 - (1 - threshold * p) ** BRANCHES
+    return p
+
+
+def trees_needed(depth: int, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """Independent trees of this depth that meet a pair at the threshold with the chance recall."""
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - met(depth, threshold)))))
+
+
+def level(records: DataFrame, large: list[tuple[np.ndarray, np.ndarray]], trees: range) -> DataFrame:
+    """The next level of these trees. large: for each level before it, the sorted nodes that go on and their sizes."""
     shared = records.sparkSession.sparkContext.broadcast(large)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +189,8 @@ def level(records: DataFrame, large: list[tuple[np.ndarray, np.ndarray]]) -> Dat
             rows = matrix(b.column(1))
             ids, own = b.column(0).to_numpy(), sketch(rows)
             with np.errstate(over="ignore"):
-                start = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-            at = np.repeat(np.arange(len(rows)), TREES)
+                start = mix(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64))
+            at = np.repeat(np.arange(len(rows)), len(trees))
             node, parent = np.tile(start, len(rows)), np.zeros(len(at), np.int64)
             for depth, (going, sizes) in enumerate([(None, None), *shared.value]):
                 if depth:
@@ -254,10 +268,24 @@ def compared(rows: DataFrame) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").select("node", "id", *SKETCH).mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(records: DataFrame) -> DataFrame:
-    """Distinct pairs of ids that share a small node of some tree and agree in their sketches."""
+def candidates(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs of ids that share a small node of some tree and agree in their sketches. Trees are added until their depth allows the recall."""
+    out, done = [], 0
+    need = TREES
+    while done < need:
+        found, depth = grove(records, range(done, need))
+        out += found
+        done, need = need, max(need, trees_needed(depth, RECALL, threshold))
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
+
+
+def grove(records: DataFrame, trees: range) -> tuple[list[DataFrame], int]:
+    """(tables of pairs, depth) of some trees."""
     out, depth, held = [], 0, []
-    rows = level(records, held)
+    rows = level(records, held, trees)
     while True:
         depth += 1
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where(F.col("n") > SMALL)
@@ -265,25 +293,21 @@ def candidates(records: DataFrame) -> DataFrame:
         large = stored(counts.select("node", "n", stuck.alias("stuck")), f"large{depth}")
         kinds = {r.stuck: r["count"] for r in large.groupBy("stuck").count().collect()}
         number = sum(kinds.values())
-        side = F.broadcast(large) if number <= BROADCAST_ROWS else large
+        side = F.broadcast(large) if number <= HELD_NODES else large
         small = rows.join(side.select("node"), "node", "left_anti") if number else rows
         out.append(compared(small.select("node", "id", *SKETCH)))
         if kinds.get(True):
             out.append(compared(blocks(rows.join(side.where("stuck"), "node"))))
         if not kinds.get(False):
-            break
-        if held is not None and kinds[False] <= BROADCAST_ROWS:
-            going = large.where("not stuck").select("node", "n").toPandas().sort_values("node")
-            held = [*held, (going["node"].to_numpy(np.int64), going["n"].to_numpy(np.int64))]
-            rows = level(records, held)
+            return out, depth
+        if held is not None and kinds[False] <= HELD_NODES:
+            going = large.where("not stuck").select("node", "n").toArrow().sort_by("node")
+            held = [*held, (going["node"].to_numpy(), going["n"].to_numpy())]
+            rows = level(records, held, trees)
         else:  # too many nodes for every task to hold
             held = None
             frontier = stored(rows.select("node", "id").join(large.where("not stuck"), "node").select("node", "id", "n"), f"frontier{depth}")
             rows = grown(frontier, records, depth)
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
 
 
 def sets(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
@@ -325,14 +349,19 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
     it in the links, which reach the threshold exactly. Null and short texts, and
     rows without a key, take no part. Rows that occur twice are one text. Other columns of df are ignored.
     """
-    members = stored(signed(df, text, key, width, min_words, 0).groupBy(key, "id").agg(F.min("copy").alias("copy")), "members")
-    classes = members.groupBy("id").agg(F.min(key).alias("representative"))
-    records = stored(signed(df, text, key, width, min_words).groupBy("id").agg(F.first("signature").alias("signature")), "records")
-    pairs = stored(candidates(records), "pairs")
+    texts = stored(signed(df, text, key, width, min_words), "texts")  # the one pass over all texts
+    members = stored(texts.groupBy(key, "id").agg(F.min("copy").alias("copy")), "members")
+    firsts = members.groupBy("id").agg(F.min(F.struct(key, "copy")).alias("f")).select("id", F.col(f"f.{key}").alias("representative"), "f.copy")
+    classes = firsts.select("id", "representative")
+    records = stored(texts.groupBy("id").agg(F.first("signature").alias("signature")), "records")
+    release(texts)
+    pairs = stored(candidates(records, threshold), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = classes.join(wanted, "id", "left_semi")
-    rows = df.select(F.col(key).alias("representative"), F.col(text).alias("text")).join(chosen, "representative").dropDuplicates(["id"])
-    held = stored(sets(rows, "text", "id", width), "sets")
+    chosen = stored(firsts.join(wanted, "id", "left_semi"), "chosen")
+    # The sets of the few texts that are in a pair: their keys go to the texts, not the texts to the keys, while they are few.
+    few = chosen.count() <= BROADCAST_ROWS
+    rows = df.select(F.col(key).alias("representative"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")).join(F.broadcast(chosen) if few else chosen, ["representative", "copy"])
+    held = stored(sets(rows, "text", "id", width).dropDuplicates(["id"]), "sets")
     size = held.agg(F.sum(F.octet_length("set") + 24)).first()[0] or 0
     side = F.broadcast(held) if size <= BROADCAST_SETS else held
     both = pairs.join(side.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(side.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -340,28 +369,24 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
 
 
 def expanded(classes: DataFrame, links: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Pairs of keys, the smaller first.
+    """Pairs of keys, the smaller first: those of which at least one stands for all exact copies of its text.
 
-    Exact copies are expanded into all pairs, of one text or of two that are linked
-    or of the same words, as long as no text has more than ALL_PAIRS_OF_COPIES. A
-    text with more is a star: its representative is paired with each copy, and
-    alone with other texts. Texts of a class that differ are no copies.
+    Of a text's exact copies the smallest key stands for all; it is paired with each
+    of them. Of two texts that differ and are linked, or hold the same words, each
+    copy of one is paired with the representative of the other. So every link
+    between different texts is there for every copy, in pairs that grow with the
+    copies and not with their square; pairs of two others follow from them.
     """
-    texts = classes.groupBy("id", "copy").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("r"))
-    ends = [texts.select(F.col("id").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("copy", "n", "r"))) for e in "ab"]
+    texts = classes.groupBy("id", "copy").agg(F.min(key).alias("r"))
+    ends = [texts.select(F.col("id").alias(e), F.col("copy").alias(f"copy_{e}"), F.col("r").alias(f"r_{e}")) for e in "ab"]
     mixed = texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
     between = links.select("a", "b").unionByName(mixed).join(ends[0], "a").join(ends[1], "b").where("a <> b or copy_a < copy_b")
-    single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
-    several = ~single & (F.greatest("n_a", "n_b") <= ALL_PAIRS_OF_COPIES)
-    direct = between.where(~several).select(F.col("r_a").alias("x"), F.col("r_b").alias("y"))
     rows = classes.select("id", "copy", F.col(key).alias("x"))
-    copies = rows.join(texts.where(F.col("n") > 1), ["id", "copy"])
-    a, b = rows.toDF("a", "copy_a", "x"), rows.toDF("b", "copy_b", "y")
-    crossed = between.where(several).select("a", "copy_a", "b", "copy_b").join(a, ["a", "copy_a"]).join(b, ["b", "copy_b"]).select("x", "y")
-    own = copies.where(F.col("n") <= ALL_PAIRS_OF_COPIES).select("id", "copy", "x")
-    within = own.join(own.withColumnRenamed("x", "y"), ["id", "copy"]).where("x < y").select("x", "y")
-    stars = copies.where((F.col("n") > ALL_PAIRS_OF_COPIES) & (F.col("x") != F.col("r"))).select(F.col("r").alias("x"), F.col("x").alias("y"))
-    pairs = direct.unionByName(crossed).unionByName(within).unionByName(stars)
+    copies = rows.join(texts, ["id", "copy"]).where("x <> r").select("id", "copy", "x", "r")  # those that don't stand for their text
+    direct = between.select(F.col("r_a").alias("x"), F.col("r_b").alias("y"))
+    left = copies.select(F.col("id").alias("a"), F.col("copy").alias("copy_a"), "x").join(between, ["a", "copy_a"]).select("x", F.col("r_b").alias("y"))
+    right = copies.select(F.col("id").alias("b"), F.col("copy").alias("copy_b"), "x").join(between, ["b", "copy_b"]).select("x", F.col("r_a").alias("y"))
+    pairs = direct.unionByName(left).unionByName(right).unionByName(copies.select("x", F.col("r").alias("y")))
     return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
 
 

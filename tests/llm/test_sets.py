@@ -37,6 +37,15 @@ def brute(rows, width=3, least=40, threshold=0.5):
     return {(min(a, b), max(a, b)) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
 
+def represented(rows):
+    """The pairs of brute() of which one at least stands for all copies of its text."""
+    first = {}
+    for k, t in sorted(rows):
+        first.setdefault(t, k)
+    stands = set(first.values())
+    return {(a, b) for a, b in brute(rows) if a in stands or b in stands}
+
+
 @pytest.mark.parametrize("small", [256, 8])
 def test_join_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(simjoin, "SMALL", small)  # 8: trees of several levels, and blocks for nodes that don't shrink
@@ -45,7 +54,7 @@ def test_join_equals_brute_force(spark, monkeypatch, small):
     df = spark.createDataFrame([(*r, "x") for r in [*rows, *rows[:3], (None, rows[0][1])]], "chunk_id string, page_content string, id string")
     classes, links = simjoin.joined(df)
     found = {tuple(r) for r in simjoin.expanded(classes, links).collect()}
-    assert found == brute(rows)
+    assert found == represented(rows)
     groups = {r.chunk_id: r for r in simjoin.groups(classes, links).collect()}
     parent = {k: k for k in groups}
 
@@ -61,26 +70,41 @@ def test_join_equals_brute_force(spark, monkeypatch, small):
 
 def test_large_nodes_by_joins(spark, monkeypatch):
     monkeypatch.setattr(simjoin, "SMALL", 8)
-    monkeypatch.setattr(simjoin, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(simjoin, "BROADCAST_SETS", 0)
+    for name in ("BROADCAST_ROWS", "BROADCAST_SETS", "HELD_NODES"):
+        monkeypatch.setattr(simjoin, name, 0)
     rows = [(f"k{i:03}", t) for i, t in enumerate(corpus(6, 10, 30))]
-    assert {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()} == brute(rows)
+    assert {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()} == represented(rows)
+
 
+def test_trees_are_added_with_the_depth():
+    assert simjoin.met(0) == 1.0 and simjoin.met(1) == 0.75
+    for depth in (1, 2, 3, 6, 12):
+        n = simjoin.trees_needed(depth)
+        assert (1 - simjoin.met(depth)) ** n <= 1 - simjoin.RECALL + 1e-12 < (1 - simjoin.met(depth)) ** (n - 1)
 
-def test_a_large_group_of_copies_is_a_star(spark, monkeypatch):
-    monkeypatch.setattr(simjoin, "ALL_PAIRS_OF_COPIES", 3)
+
+@pytest.mark.parametrize("copies", [2, 6, 60])
+def test_copies_are_paired_with_the_one_that_stands_for_them(spark, copies):
+    """One form whatever the number of copies: a pair holds at least one representative."""
     text = corpus()[0]
-    rows = [(f"k{i}", text) for i in range(6)] + [("z1", text + " more"), ("z2", text + " more")]
+    keys = [f"k{i:02}" for i in range(copies)]
+    rows = [(k, text) for k in keys] + [("z1", text + " more"), ("z2", text + " more")]
     found = {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()}
-    assert found == {("k0", f"k{i}") for i in range(1, 6)} | {("z1", "z2"), ("k0", "z1")}
+    assert found == {("k00", k) for k in keys[1:]} | {("z1", "z2"), ("k00", "z2")} | {(k, "z1") for k in keys}
 
 
-def test_texts_of_the_same_words_are_no_copies(spark, monkeypatch):
-    monkeypatch.setattr(simjoin, "ALL_PAIRS_OF_COPIES", 3)
+def test_texts_of_the_same_words_are_no_copies(spark):
     text = corpus()[0]
-    rows = [(f"k{i}", text + "." * i) for i in range(5)] + [("l0", text.upper()), ("l1", text.upper()), ("z1", text + " more"), ("z2", text + " more")]
+    rows = [(f"k{i}", text + "." * i) for i in range(5)] + [("l0", text.upper()), ("z1", text + " more"), ("z2", text + " more")]
     found = {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()}
-    assert found == brute(rows) and len(found) == 36
+    assert found == brute(rows) and len(found) == 28
+
+
+def test_a_key_of_two_texts(spark):
+    texts = corpus(7, 4, 4)
+    rows = [("a", texts[0]), ("a", texts[4]), ("b", texts[0] + " more"), ("c", texts[4] + " more")]
+    found = {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()}
+    assert {("a", "b"), ("a", "c")} <= found
 
 
 def test_join_of_an_empty_table(spark):
@@ -145,6 +169,20 @@ def test_lower_bound_never_exceeds_the_optimum():
         assert packing.lower_bound(np.array(sizes), 20) <= optimum(sizes, 20)
 
 
+def test_bounds_of_a_histogram_are_those_of_the_sizes():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = rng.integers(0, 300, 500)
+        size, times = np.unique(sizes, return_counts=True)
+        assert packing.lower_bound(sizes, 320) == packing.lower_bound(size, 320, times)
+
+
+def test_documents_in_several_containers(spark):
+    rows = [(1, 7, 0, 2), (1, 8, 0, 3), (1, 7, 1, 2), (1, 9, 1, 3), (2, 5, 0, 1)]
+    df = spark.createDataFrame(rows, "container_id int, bin bigint, doc_id bigint, pieces int").withColumn("x", F.lit(1))
+    assert [(r.container_id, r.doc_id) for r in packing.divided(df).orderBy("doc_id").collect()] == [(1, 0), (1, 1)]
+
+
 def test_packed(spark, monkeypatch):
     monkeypatch.setattr(packing, "PARTITION", 60)
     rng = random.Random(8)
