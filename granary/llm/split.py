@@ -3,14 +3,16 @@
 A rolling hash over the characters marks landmarks that depend on the content
 alone. From the last cut on, the first landmark beyond the minimum size snaps to
 the nearest natural boundary between minimum and maximum; so an edit alters the
-neighbouring pieces only. Rows are independent: one pass, no shuffle.
+neighbouring pieces only. The kind of boundary at which a text can be cut is found
+by the same cutting, with boundaries of one kind after the other. Rows are
+independent: one pass, no shuffle.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,6 @@ PIECES = T.StructType([
 ])
 
 
-def boundary(text: str, limit: int) -> str:
-    """The first kind of boundary whose stretches, separators left out, all keep the limit; else none."""
-    for kind, pattern in PATTERNS.items():
-        if max(map(len, pattern.split(text))) <= limit:
-            return kind
-    return "none"
-
-
 def landmarks(text: str, spacing: int) -> np.ndarray:
     """Positions after which the hash of the last WINDOW characters hits; about one in spacing."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -57,21 +51,23 @@ def landmarks(text: str, spacing: int) -> np.ndarray:
     return np.flatnonzero((hashed >> np.uint64(33)) % np.uint64(max(1, spacing)) == 0) + WINDOW
 
 
-def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
-    """(position, kind) of every cut. Pieces after the first have room for the overlap before them."""
+def cuts(text: str, limit: int, overlap: int, kinds: Iterable[str] = BOUNDARIES, share: float = MIN_SHARE) -> list[tuple[int, str]]:
+    """(position, kind) of every cut, at boundaries of these kinds where there are any. Pieces after the first have room for the overlap before them."""
     overlap = max(0, min(overlap, limit - 1))
     room = limit - overlap
     at = landmarks(text, max(16, int(room * LANDMARK_SHARE)))
-    places = {k: np.array([m.end() for m in p.finditer(text)], dtype=np.int64) for k, p in PATTERNS.items()}
+    places = {k: np.array([m.span() for m in PATTERNS[k].finditer(text)], dtype=np.int64).reshape(-1, 2) for k in kinds}
+    # The separator at a cut is left out of the length where there is no minimum size.
+    ends = {k: (p[:, 1], p[:, 0] if not share else p[:, 1]) for k, p in places.items()}
     out, last, size = [], 0, len(text)
     while size - last > (limit if last == 0 else room):
         most = last + (limit if last == 0 else room)
-        least = last + max(1, int((most - last) * MIN_SHARE))
+        least = last + max(1, int((most - last) * share))
         i = int(np.searchsorted(at, least))
         aim = int(at[i]) if i < len(at) and at[i] <= most else most
         cut, kind = 0, "none"
-        for kind, where in places.items():
-            a, b = np.searchsorted(where, least), np.searchsorted(where, most, side="right")
+        for kind, (where, length) in ends.items():
+            a, b = np.searchsorted(where, least), np.searchsorted(length, most, side="right")
             if b > a:
                 near = where[a:b]
                 cut = int(near[np.argmin(np.abs(near - aim))])
@@ -86,6 +82,14 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
     return out
 
 
+def boundary(text: str, limit: int) -> str:
+    """The first kind of boundary at which alone every cut can be made, separators left out; else none."""
+    for kind in BOUNDARIES:
+        if all(k == kind for _, k in cuts(text, limit, 0, (kind,), 0.0)):
+            return kind
+    return "none"
+
+
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int, str, str]]:
     """Pieces of at most limit characters; those after the first begin with the overlap characters before them."""
     overlap = max(0, min(overlap, limit - 1))
