@@ -17,31 +17,38 @@ from pyspark.sql import functions as F
 
 from granary.runtime import stored
 
-#: Documents of a partition on average, rounds of exchange, and containers that a partition gives up for each one above its bound.
-PARTITION, ROUNDS, LOOSEST = 20_000, 3, 24
+#: Documents of a partition on average, and containers that a partition gives up in a round of exchange.
+PARTITION, LOOSEST = 20_000, 24
+#: Sizes of phi functions that are evaluated at once.
+BAND = 64
 ASSIGNED = "container_id int, bin bigint, doc_id bigint, piece_no int, pieces int, tokens int, token_from int, capacity int, part int, gap int, fill double"
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that sizes need at least: the best of several dual-feasible functions."""
-    if not len(sizes):
-        return 0
-    size, times = np.unique(sizes.astype(np.int64), return_counts=True)
-    size, times = size[size > 0], times[size > 0]
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Containers that sizes (each so many times) need at least: the best of several dual-feasible functions, over all their parameters."""
+    if times is None:
+        if not len(sizes):
+            return 0
+        sizes, times = np.unique(sizes.astype(np.int64), return_counts=True)
+    size, times = sizes[sizes > 0], times[sizes > 0]
     if not len(size):
-        return 1
+        return 1 if len(sizes) else 0
     best = -(-int((size * times).sum()) // capacity)
     for k in range(1, 21):  # u(k): x if (k+1)x is whole, else floor((k+1)x)/k; in units of 1/(k * capacity)
         scaled = (k + 1) * size
         value = np.where(scaled % capacity == 0, k * size, scaled // capacity * capacity)
         best = max(best, -(-int((value * times).sum()) // (k * capacity)))
-    for e in np.unique(np.r_[size[size * 2 <= capacity], 1]):  # U(e): 1 above 1 - e, 0 below e, else x
+    small = np.unique(np.r_[size[size * 2 <= capacity], 1])
+    for first in range(0, len(small), BAND):  # U(e): 1 above 1 - e, 0 below e, else x
+        e = small[first : first + BAND, None]
         value = np.where(size > capacity - e, capacity, np.where(size < e, 0, size))
-        best = max(best, -(-int((value * times).sum()) // capacity))
-    for e in np.unique(size[(size * 2 < capacity)])[:256]:  # phi(e), by multiples of e
+        best = max(best, -(-int((value * times).sum(axis=1).max()) // capacity))
+    small = small[small * 2 < capacity]
+    for first in range(0, len(small), BAND):  # phi(e), by multiples of e
+        e = small[first : first + BAND, None]
         whole = capacity // e
         value = np.where(size * 2 > capacity, 2 * (whole - (capacity - size) // e), np.where(size * 2 == capacity, whole, 2 * (size // e)))
-        best = max(best, -(-int((value * times).sum()) // (2 * whole)))
+        best = max(best, int((-(-(value * times).sum(axis=1) // (2 * whole[:, 0]))).max()))
     return int(best)
 
 
@@ -112,7 +119,9 @@ def packed(documents: DataFrame, specs: DataFrame, size: str = "n_tokens", key:
     # Groups are split by hash: however skewed the sizes, no group exceeds a partition by much.
     rest = blank.where(F.col("tokens") < F.col("capacity")).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts)).cast("int"))
     done = stored(full.unionByName(rest.groupBy("container_id", "part").applyInPandas(packer(0), ASSIGNED)), "packed0")
-    for turn in range(1, ROUNDS + 1):
+    turn = 0
+    while True:  # each round saves a container at least, or is the last
+        turn += 1
         open_bins = done.where("gap > 0 and fill < 1").select("container_id", "part", "gap", "bin", "fill").distinct()
         loose = open_bins.groupBy("container_id", "part", "gap").agg(F.slice(F.array_sort(F.collect_list(F.struct("fill", "bin"))), 1, LOOSEST).alias("b"))
         loose = stored(loose.select("container_id", F.explode("b.bin").alias("bin")), f"loose{turn}")
@@ -132,6 +141,11 @@ def packed(documents: DataFrame, specs: DataFrame, size: str = "n_tokens", key:
     return done.select("container_id", "bin", "doc_id", "piece_no", "pieces", "tokens", "token_from", "capacity")
 
 
+def divided(assigned: DataFrame) -> DataFrame:
+    """(container_id, doc_id) of the documents whose pieces lie in several containers. Only pieces are counted, and summed before the shuffle."""
+    return assigned.where("pieces > 1").groupBy("container_id", "doc_id").agg(F.min("bin").alias("least"), F.max("bin").alias("most")).where("least < most").select("container_id", "doc_id")
+
+
 def certificate(assigned: DataFrame) -> DataFrame:
     """container_id, bins, the bound that no packing beats, and the unused share of the capacity. Sizes come as a histogram bounded by the capacity."""
     used = assigned.groupBy("container_id", "capacity").agg(F.count_distinct("bin").alias("bins"), F.sum("tokens").alias("tokens"))
@@ -141,21 +155,9 @@ def certificate(assigned: DataFrame) -> DataFrame:
         counts = dict(zip(group["tokens"], group["n"]))
         capacity = int(group["capacity"].iloc[0])
         whole = int(counts.pop(capacity, 0))
-        sizes = np.repeat(np.fromiter(counts, np.int64, len(counts)), 1)
-        times = np.fromiter(counts.values(), np.int64, len(counts))
-        return pd.DataFrame({"container_id": [group["container_id"].iloc[0]], "bound": [whole + weighted_bound(sizes, times, capacity)]})
+        sizes, times = (np.fromiter(x, np.int64, len(counts)) for x in (counts.keys(), counts.values()))
+        order = np.argsort(sizes)
+        return pd.DataFrame({"container_id": [group["container_id"].iloc[0]], "bound": [whole + lower_bound(sizes[order], capacity, times[order])]})
 
     bounds = sizes.groupBy("container_id").applyInPandas(run, "container_id int, bound bigint")
     return used.join(bounds, "container_id").select("container_id", "bins", "bound", (1 - F.col("tokens") / (F.col("bins") * F.col("capacity"))).alias("unused_share"))
-
-
-def weighted_bound(size: np.ndarray, times: np.ndarray, capacity: int) -> int:
-    """The plain and the U(e) bounds of a histogram."""
-    size, times = size[size > 0], times[size > 0]
-    if not len(size):
-        return 0
-    best = -(-int((size * times).sum()) // capacity)
-    for e in np.unique(size[size * 2 <= capacity]):
-        value = np.where(size > capacity - e, capacity, np.where(size < e, 0, size))
-        best = max(best, -(-int((value * times).sum()) // capacity))
-    return int(best)
