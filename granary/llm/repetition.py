@@ -82,8 +82,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> float | None:
     return float(np.sqrt(max(0.0, d / 2)))
 
 
-def references(df: DataFrame, text: str, lang: str, common: list[str]) -> dict[str, np.ndarray]:
-    """For each language, counts of character classes and of function words over all its documents. Summed in each task first."""
+def references(df: DataFrame, text: str, lang: str, common: list[str]) -> DataFrame:
+    """(lang, slot, n): for each language, counts of character classes and of function words over all its documents. Summed in each task first."""
     index = {w: i for i, w in enumerate(common)}
     width = len(CLASSES) + 1 + len(common) + 1
 
@@ -99,16 +99,11 @@ def references(df: DataFrame, text: str, lang: str, common: list[str]) -> dict[s
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64())], names=["lang", "slot", "n"])
 
     rows = df.select(F.col(text), language(F.col(lang)).alias("lang")).mapInArrow(run, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    rows = stored(rows, "references")
-    out: dict[str, np.ndarray] = {}
-    most = rows.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(MOST_LANGUAGES)
-    for r in rows.join(F.broadcast(most.select("lang")), "lang", "left_semi").collect():
-        out.setdefault(r.lang, np.zeros(width))[r.slot] = r.n
-    return out
+    return stored(rows, "references")
 
 
-#: Languages that have a reference of their own; those beyond use the unknown one. Names of languages are a closed set, dirt in them isn't.
-MOST_LANGUAGES = 1000
+#: Languages up to which every task holds all references; with more each document is joined with that of its language.
+HELD_LANGUAGES = 1000
 
 
 def histogram(text: str, words: list[str], table: np.ndarray, index: dict[str, int]) -> np.ndarray:
@@ -131,7 +126,18 @@ def measured(df: DataFrame, common: list[str], text: str = "text", key: str = "d
     unknown. Other columns of df are ignored, whatever their names.
     """
     index = {w: i for i, w in enumerate(sorted({w.lower() for w in common}))}
-    shared = df.sparkSession.sparkContext.broadcast(references(df, text, lang, list(index)))
+    width = len(CLASSES) + 1 + len(index) + 1
+    found = references(df, text, lang, list(index))
+    rows = df.select(key, text, language(F.col(lang)).alias("__lang"))
+    held: dict[str, np.ndarray] = {}
+    if found.select("lang").distinct().count() <= HELD_LANGUAGES:
+        for r in found.collect():
+            held.setdefault(r.lang, np.zeros(width))[r.slot] = r.n
+        rows = rows.withColumn("__slots", F.lit(None).cast("array<struct<slot:int,n:double>>"))
+    else:
+        own = found.groupBy(F.col("lang").alias("__lang")).agg(F.collect_list(F.struct("slot", "n")).alias("__slots"))
+        rows = rows.join(own, "__lang", "left")
+    shared = df.sparkSession.sparkContext.broadcast(held)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string(RESULT).fields[1:]])
     kinds = [pa.int32(), *[pa.float64()] * 5, pa.bool_()]
     split = len(CLASSES) + 1
@@ -140,11 +146,14 @@ def measured(df: DataFrame, common: list[str], text: str = "text", key: str = "d
         table, refs = table_of_classes(), shared.value
         for b in batches:
             rows = []
-            for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for t, g, slots in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 t = t or ""
                 words = t.lower().split()
                 share = run_share(words)
-                ref = refs.get(g, refs.get(UNKNOWN))
+                ref = refs.get(g)
+                if slots:
+                    ref = np.zeros(width)
+                    ref[[x["slot"] for x in slots]] = [x["n"] for x in slots]
                 chars = common_words = None
                 if len(words) >= min_words and ref is not None:
                     own = histogram(t, words, table, index)
@@ -154,4 +163,4 @@ def measured(df: DataFrame, common: list[str], text: str = "text", key: str = "d
             columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    return df.select(key, text, language(F.col(lang)).alias("__lang")).mapInArrow(run, schema)
+    return rows.select(key, text, "__lang", "__slots").mapInArrow(run, schema)
