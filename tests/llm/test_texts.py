@@ -139,6 +139,23 @@ def test_site_lines_in_dense_containers(spark, monkeypatch):
         assert all(out[f"c{i}"] == [3] for i in range(60))
 
 
+def test_variants_of_a_line_are_united_from_bitmaps(spark):
+    facts = [("a", 1, 2, v, 0, p) for v, places in ((1, (3, 5, 32767)), (2, (5, 8))) for p in places] + [("a", 1, 2, 1, 4, 0)]
+    maps = sitelines.bitmaps(spark.createDataFrame(facts, "site string, k1 bigint, k2 bigint, variant int, container int, place int"))
+    assert {r.container: r.cardinality for r in maps.collect()} == {0: 4, 4: 1}
+    packed = {r.container: bytes(r.data) for r in sitelines.compressed(maps).collect()}
+    assert [p for p in range(32768) if sitelines.has(packed[0], p)] == [3, 5, 8, 32767] and len(packed[0]) == 8
+    full = bytes(range(256)) * 16
+    assert [sitelines.has(full, p) for p in range(64)] == [bool(full[p >> 3] >> (p & 7) & 1) for p in range(64)] and not sitelines.has(None, 3)
+
+
+def test_lines_of_other_scripts(spark):
+    line = "यह सूचना केवल सामान्य जानकारी के लिए है और कोई दायित्व नहीं है"
+    rows = [(f"c{i}", f"{line}\n{'अलग ' * (i + 1)}", "a", f"d{i}", "") for i in range(8)]
+    for every, gone in ((False, []), (True, [1])):
+        assert {tuple(r.removed) for r in sitelines.cleaned(spark.createDataFrame(rows, SITE), every_script=every).collect()} == {tuple(gone)}
+
+
 def test_no_site_lines(spark):
     df = spark.createDataFrame([], SITE)
     assert sitelines.cleaned(df).collect() == []
@@ -209,6 +226,16 @@ def test_repetition(spark):
     assert repetition.measured(spark.createDataFrame([], "doc_id bigint, text string, lang string"), COMMON).count() == 0
 
 
+def test_more_languages_than_tasks_hold(spark, monkeypatch):
+    """References of any number of languages count, by a join where they are many."""
+    rows = [(i, " ".join(f"{w}{i % 7} the" for w in "abcdefghijkl"), f"l{i % 5}" if i % 6 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    few = sorted(map(tuple, repetition.measured(df, COMMON).collect()))
+    monkeypatch.setattr(repetition, "HELD_LANGUAGES", 2)
+    many = sorted(map(tuple, repetition.measured(df, COMMON).collect()))
+    assert few == many and all(r[5] is not None and r[6] is not None for r in few)
+
+
 def test_run_share_and_distance():
     import numpy as np
 
