@@ -36,8 +36,8 @@ SMALL, SHRINK, MAX_DEPTH = 256, 0.5, 12
 SKETCHED, SKETCH_BITS, PER_NUMBER = 64, 4, 16
 #: Equal nibbles of the sketch that a pair must have. At similarity 0.5 34 of 64 are expected, with a deviation of 4.
 SKETCH_MATCHES = 22
-#: Bytes of texts handled at once, and of shingle sets that go to every task; large nodes that do.
-SLICE, BROADCAST_SETS, HELD_NODES = 1 << 19, 48 << 20, BROADCAST_ROWS
+#: Bytes of texts handled at once, and of a shingle's hash in a set; large nodes that go to every task.
+SLICE, HASH_BYTES, HELD_NODES = 1 << 19, 5, BROADCAST_ROWS
 
 U = np.uint64
 ALNUM = np.zeros(256, dtype=bool)
@@ -310,6 +310,17 @@ def grove(records: DataFrame, trees: range) -> tuple[list[DataFrame], int]:
             rows = grown(frontier, records, depth)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The highest HASH_BYTES bytes of sorted hashes. Two sets of 1,000 runs share a hash by chance once in a million pairs."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    out[:, 8 - HASH_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
 def sets(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """(key, set): sorted distinct hashes of the runs of each text."""
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("set", T.BinaryType())])
@@ -318,7 +329,7 @@ def sets(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                out.append(np.unique(shingles(*words([t or ""]), width)[0]).tobytes())
+                out.append(packed(np.unique(shingles(*words([t or ""]), width)[0])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -331,8 +342,7 @@ def exact(pairs: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             value = np.zeros(b.num_rows)
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
+                both = np.concatenate([unpacked(x), unpacked(y)])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 value[i] = shared / max(1, len(both) - shared)
@@ -362,9 +372,8 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
     few = chosen.count() <= BROADCAST_ROWS
     rows = df.select(F.col(key).alias("representative"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")).join(F.broadcast(chosen) if few else chosen, ["representative", "copy"])
     held = stored(sets(rows, "text", "id", width).dropDuplicates(["id"]), "sets")
-    size = held.agg(F.sum(F.octet_length("set") + 24)).first()[0] or 0
-    side = F.broadcast(held) if size <= BROADCAST_SETS else held
-    both = pairs.join(side.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(side.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    # Pairs move with one set only: they meet the first text's set by its id, then go with it to the second's.
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return members.join(classes, "id"), stored(exact(both, threshold), "links")
 
 

@@ -70,7 +70,7 @@ def test_join_equals_brute_force(spark, monkeypatch, small):
 
 def test_large_nodes_by_joins(spark, monkeypatch):
     monkeypatch.setattr(simjoin, "SMALL", 8)
-    for name in ("BROADCAST_ROWS", "BROADCAST_SETS", "HELD_NODES"):
+    for name in ("BROADCAST_ROWS", "HELD_NODES"):
         monkeypatch.setattr(simjoin, name, 0)
     rows = [(f"k{i:03}", t) for i, t in enumerate(corpus(6, 10, 30))]
     assert {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()} == represented(rows)
