@@ -104,7 +104,7 @@ def shingles(hashed: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndar
 
 def signatures(texts: list[str | None], width: int, min_words: int, size: int = SIGNATURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, identity of the word sequence, minwise tokens) of the texts that are long enough."""
-    numbers, identities, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((0, size), np.uint32)]
+    numbers, identities, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((0, size), np.uint16)]
     for first, part in slices(texts):
         hashed, owner = words(part)
         counts = np.bincount(owner, minlength=len(part)) if len(owner) else np.zeros(len(part), int)
@@ -126,7 +126,7 @@ def signatures(texts: list[str | None], width: int, min_words: int, size: int =
                     least[:, k] = np.minimum.reduceat((runs ^ MASKS[k]) * MULTIPLIERS[k], at) >> U(32)
         numbers.append(owner[begin] + first)
         identities.append(identity)
-        rows.append(least)
+        rows.append(least.astype(np.uint16))  # their lowest bits
     return np.concatenate(numbers), np.concatenate(identities), np.concatenate(rows)
 
 
@@ -143,12 +143,12 @@ def signed(df: DataFrame, text: str, key: str, width: int, min_words: int, size:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, SIGNATURE)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE)
 
 
 def sketch(rows: np.ndarray) -> list[np.ndarray]:
     """The lowest bits of the first tokens, in a few numbers."""
-    low = (rows[:, :SKETCHED] & np.uint32((1 << SKETCH_BITS) - 1)).astype(np.uint64)
+    low = (rows[:, :SKETCHED] & np.uint16((1 << SKETCH_BITS) - 1)).astype(np.uint64)
     shifts = (np.arange(PER_NUMBER, dtype=np.uint64) * U(SKETCH_BITS))[None, :]
     return [(low[:, i : i + PER_NUMBER] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64) for i in range(0, SKETCHED, PER_NUMBER)]
 
