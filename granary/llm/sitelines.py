@@ -143,12 +143,22 @@ def pack(bits: bytes, cardinality: int) -> bytes:
     return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")).astype(np.uint16).tobytes()
 
 
+def placed(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """rows with the container and place of their documents. Up to BROADCAST_ROWS documents go to the tasks as a hash and two numbers each, as long as no two share a hash."""
+    hashed = F.when(F.col("site").isNotNull() & F.col("document").isNotNull(), F.xxhash64("site", "document"))
+    short = at.select(hashed.alias("__hash"), "container", "place")
+    number, distinct = short.agg(F.count(F.lit(1)), F.count_distinct("__hash")).first()
+    if number > BROADCAST_ROWS or distinct < number:
+        return rows.join(at, ["site", "document"], "left")
+    return rows.withColumn("__hash", hashed).join(F.broadcast(short), "__hash", "left").drop("__hash")
+
+
 def excessive(df: DataFrame, text: str, site: str, document: str, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows of df with the ordinals of their documents, bitmaps of the excessive lines)."""
     at = stored(ordinals(df.select(F.col(site).alias("site"), F.col(document).alias("document")), "site", "document"), "ordinals")
     sizes = at.groupBy("site").agg(F.count(F.lit(1)).alias("documents"))
     keyed = df.select(F.col(text).alias("text"), F.col(site).alias("site"), F.col(document).alias("document"), *[c for c in df.columns if c.startswith("__")])
-    rows = keyed.join(F.broadcast(at) if at.count() <= BROADCAST_ROWS else at, ["site", "document"], "left")
+    rows = placed(keyed, at)
     counted = rows.where(F.col("container").isNotNull() & F.col("text").isNotNull())
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     enough = (F.col("most") >= min_documents) & (F.col("most") >= F.col("documents") * min_share)

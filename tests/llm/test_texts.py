@@ -132,6 +132,14 @@ def test_site_lines(spark, most_bytes):
     assert by["n1"].removed == [] and by["n2"].page_content is None and by["n3"].page_content == "" and by["n4"].removed == [] and by["b0"].removed == []
 
 
+def test_site_lines_of_more_documents_than_tasks_hold(spark, monkeypatch):
+    df = spark.createDataFrame(site_rows(), SITE)
+    few = sorted((r.chunk_id, r.page_content or "", r.removed) for r in sitelines.cleaned(df).collect())
+    monkeypatch.setattr(sitelines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sitelines, "MOST_LINES", 0)
+    assert sorted((r.chunk_id, r.page_content or "", r.removed) for r in sitelines.cleaned(df).collect()) == few
+
+
 def test_site_lines_in_dense_containers(spark, monkeypatch):
     monkeypatch.setattr(sitelines, "SPARSE", 8)
     for most in (1 << 20, 0):
