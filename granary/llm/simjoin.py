@@ -6,9 +6,10 @@ node that is too large, into BRANCHES children: the node chooses positions of th
 signature, and the record goes where its tokens at them lead. Records of small
 nodes are compared exhaustively by a sketch of the signature, and pairs that pass
 are checked exactly on their whole sets. Branching a node on 1 / threshold tokens
-keeps a similar pair together somewhere with a chance that falls with the depth;
-trees are repeated until a pair at the threshold, at the depth that was reached,
-is met with the chance RECALL.
+keeps a similar pair together somewhere with a chance that falls with the depth.
+Trees are repeated until a pair at the threshold is met with the chance RECALL: the
+first ones suffice down to some depth, and the records of nodes that went on beyond
+it go through further trees, as many as the depth that was reached needs.
 
 Exact copies are one record from the start. Node sizes are counted with partial
 sums, so no large node is ever gathered. A node that stops shrinking holds texts
@@ -269,21 +270,24 @@ def compared(rows: DataFrame) -> DataFrame:
 
 
 def candidates(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs of ids that share a small node of some tree and agree in their sketches. Trees are added until their depth allows the recall."""
-    out, done = [], 0
-    need = TREES
-    while done < need:
-        found, depth = grove(records, range(done, need))
-        out += found
-        done, need = need, max(need, trees_needed(depth, RECALL, threshold))
+    """Distinct pairs of ids that share a small node of some tree and agree in their sketches. Records in deep nodes go through more trees."""
+    safe = 0
+    while trees_needed(safe + 1, RECALL, threshold) <= TREES:
+        safe += 1
+    out, depth, deep = grove(records, range(TREES), safe)
+    done = TREES
+    while deep is not None and (need := trees_needed(depth, RECALL, threshold)) > done:
+        more, depth, _ = grove(records.join(deep, "id", "left_semi"), range(done, need), MAX_DEPTH)
+        out, done = out + more, need
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
     return pairs.distinct()
 
 
-def grove(records: DataFrame, trees: range) -> tuple[list[DataFrame], int]:
-    """(tables of pairs, depth) of some trees."""
+def grove(records: DataFrame, trees: range, safe: int) -> tuple[list[DataFrame], int, DataFrame | None]:
+    """(tables of pairs, depth, ids of the records in nodes that went on beyond the depth safe) of some trees."""
+    deep = None
     out, depth, held = [], 0, []
     rows = level(records, held, trees)
     while True:
@@ -299,7 +303,9 @@ def grove(records: DataFrame, trees: range) -> tuple[list[DataFrame], int]:
         if kinds.get(True):
             out.append(compared(blocks(rows.join(side.where("stuck"), "node"))))
         if not kinds.get(False):
-            return out, depth
+            return out, depth, deep
+        if depth == safe:
+            deep = stored(rows.join(side.where("not stuck"), "node", "left_semi").select("id").distinct(), "deep")
         if held is not None and kinds[False] <= HELD_NODES:
             going = large.where("not stuck").select("node", "n").toArrow().sort_by("node")
             held = [*held, (going["node"].to_numpy(), going["n"].to_numpy())]
