@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOWEL = re.compile(r"[aeiouyAEIOUY]")
@@ -121,13 +122,13 @@ class Lines:
             return "junk"
         return "prose"
 
-    def kind(self, text: str, title: str | None = None, coverage: float = 0.0) -> tuple[str, dict[str, int]]:
-        """Kind of the text, and the characters of each form. Section lines and the title count for nothing, repeated running text only as boilerplate. coverage: of the dominant n-gram."""
+    def kind(self, text: str, title: str | None = None, coverage: float = 0.0, site: Collection[int] = ()) -> tuple[str, dict[str, int]]:
+        """Kind of the text, and the characters of each form. Section and site lines and the title count for nothing, repeated running text only as boilerplate. coverage: of the dominant n-gram; site: numbers from 1 of site lines."""
         sizes = {"prose": 0, "list": 0, "table": 0, "junk": 0, "boilerplate": 0}
         said: set[str] = set()
-        for raw in text.split("\n"):
+        for number, raw in enumerate(text.split("\n"), 1):
             line = raw.strip()
-            if line and not line.startswith(SECTION_LINE) and line != title:
+            if line and number not in site and not line.startswith(SECTION_LINE) and line != title:
                 form = self.form(line)
                 if form == "prose":
                     if line in said:
@@ -150,7 +151,7 @@ def shares(items: list[str]) -> float:
     return 0.0 if not total else 1.0 - sum(map(len, set(items))) / total
 
 
-def statistics(text: str | None, lines: Lines, title: str | None = None) -> tuple:
+def statistics(text: str | None, lines: Lines, title: str | None = None, site: Collection[int] = ()) -> tuple:
     text = text or ""
     words = WORD.findall(text.lower())
     rows = [x for x in (r.strip() for r in text.split("\n")) if x]
@@ -162,7 +163,7 @@ def statistics(text: str | None, lines: Lines, title: str | None = None) -> tupl
         times = max(grams.values(), default=0)
         longest = max((sum(map(len, g)) for g, k in grams.items() if k == times), default=0) if times > 1 else 0
         top.append(min(1.0, longest * times / chars) if chars else 0.0)
-    kind, sizes = lines.kind(text, title, top[-1])
+    kind, sizes = lines.kind(text, title, top[-1], site)
     total = max(1, sum(sizes.values()))
     return (
         count, chars / count if count else 0.0, len(SIGN.findall(text)) / dense if dense else 0.0,
@@ -178,14 +179,15 @@ def common_words(words: DataFrame) -> list[str]:
     return sorted({r.word.lower() for r in words.select("word").dropna().collect()})
 
 
-def text_statistics(df: DataFrame, common: Iterable[str], text: str = "page_content", key: str = "chunk_id", title: str | None = "document_name") -> DataFrame:
-    """One row per row of df: key and the fields of KIND.
+def text_statistics(df: DataFrame, common: Iterable[str], text: str = "page_content", key: str = "chunk_id", title: str | None = "document_name", site: str | None = None) -> DataFrame:
+    """One row per row of df: key and the fields of KIND. site: a column with the numbers of the lines that are repeated over the site's documents; they count for no kind.
 
     Null and empty texts have zero statistics and the kind `empty`. Other columns
     of df are ignored, whatever their names. Whole texts are read.
     """
     common = frozenset(common)
-    cols = [key, text] + ([title] if title and title in df.columns else [])
+    title_of = F.col(title) if title and title in df.columns else F.lit(None).cast("string")
+    site_of = F.col(site) if site else F.lit(None).cast("array<int>")
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *KIND.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +195,8 @@ def text_statistics(df: DataFrame, common: Iterable[str], text: str = "page_cont
 
         out, lines = to_arrow_schema(schema), Lines(common)
         for b in batches:
-            titles = b.column(2).to_pylist() if len(cols) == 3 else [None] * b.num_rows
-            rows = [statistics(t, lines, n) for t, n in zip(b.column(1).to_pylist(), titles)]
+            rows = [statistics(t, lines, n, s or ()) for t, n, s in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             columns = list(zip(*rows)) if rows else [[]] * len(KIND)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:]))], schema=out)
 
-    return df.select(*cols).mapInArrow(run, schema)
+    return df.select(key, text, title_of.alias("__title"), site_of.alias("__site")).mapInArrow(run, schema)

@@ -50,24 +50,31 @@ def p2_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds found of the chunks that were labelled by hand."""
-    rows = quality.text_statistics(table(spark, sf_dir, "scheme_chunks"), common(spark, sf_dir))
+    rows = text_statistics(spark, sf_dir)
     return rows.join(table(spark, sf_dir, "quality_labels").select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "kind").distinct()
 
 
 def p3_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics without what the forms of lines say."""
-    rows = quality.text_statistics(table(spark, sf_dir, "scheme_chunks"), common(spark, sf_dir))
+    rows = text_statistics(spark, sf_dir)
     shares = ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share", "top_2gram_share", "top_3gram_share", "top_4gram_share")
     return rows.select("chunk_id", "word_count", *(F.round(c, 9).alias(c) for c in shares)).distinct()
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and kinds of all chunks, site lines left out of the kinds."""
+    rows = table(spark, sf_dir, "scheme_chunks").withColumn("key", F.struct("chunk_id", "document_name"))
+    marked = sitelines.cleaned(rows.drop("chunk_id"), key="key", delete=False)
+    return quality.text_statistics(marked.select("key.*", "page_content", "removed"), common(spark, sf_dir), site="removed")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.text_statistics(table(spark, sf_dir, "scheme_chunks"), common(spark, sf_dir))
+    rows = text_statistics(spark, sf_dir)
     return rows.where(F.col("kind").isin("list", "table", "junk")).select("chunk_id", "kind").distinct()
 
 
 def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_statistics(table(spark, sf_dir, "scheme_chunks"), common(spark, sf_dir))
+    return text_statistics(spark, sf_dir)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,20 +179,21 @@ def has(data: bytes | None, place: int) -> bool:
     return at < len(places) and int(places[at]) == place
 
 
-def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url", document: str = "document_id", key: str = "chunk_id", min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, most_bytes: int = MOST_BYTES, every_script: bool = False) -> DataFrame:
+def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url", document: str = "document_id", key: str = "chunk_id", min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, most_bytes: int = MOST_BYTES, every_script: bool = False, delete: bool = True) -> DataFrame:
     """key, the text without lines repeated too often within its site, and the numbers (from 1) of the lines removed.
 
     A row whose site or document is null belongs to no site: nothing is counted or
     removed. Null and empty texts stay as they are. Documents count once per line,
     so repeated rows add nothing; they come out as often as they came in. Lines are
-    compared by their letters a to z, with every_script by those of all scripts. Other
+    compared by their letters a to z, with every_script by those of all scripts. Without
+    delete the texts stay whole and only the numbers are given. key may be a struct. Other
     columns of df are ignored, whatever their names. An empty df gives no rows.
     """
     rows, lines = excessive(df.select(F.col(key).alias("__key"), text, site, document), text, site, document, min_documents, min_share, every_script)
     size = lines.agg(F.sum(F.least(2 * F.col("cardinality"), F.lit(DENSE)) + OVERHEAD)).first()[0] or 0
     out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(text, T.StringType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
     if size > most_bytes:
-        return joined(rows, lines, out, every_script)
+        return joined(rows, lines, out, every_script, delete)
     held: dict[tuple, dict] = {}
     for r in compressed(lines).toLocalIterator():
         held.setdefault((r.site, r.k1, r.k2), {})[r.container] = bytes(r.data)
@@ -212,7 +213,7 @@ def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url",
                             at = cache.get((s, k)) or cache.setdefault((s, k), (s, *halves(k)))
                             if at in held and has(held[at].get(c), p):
                                 found.append(i)
-                if found:
+                if found and delete:
                     drop = set(found)
                     t = "\n".join(r for i, r in enumerate(t.split("\n"), 1) if i not in drop)
                 texts.append(t)
@@ -222,7 +223,7 @@ def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url",
     return rows.select("__key", "text", "site", "container", "place").mapInArrow(run, out)
 
 
-def joined(rows: DataFrame, lines: DataFrame, out: T.StructType, every: bool = False) -> DataFrame:
+def joined(rows: DataFrame, lines: DataFrame, out: T.StructType, every: bool = False, delete: bool = True) -> DataFrame:
     """The same by joins, where the bitmaps are too large for every task to hold."""
     key, text, _ = out.names
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -239,4 +240,4 @@ def joined(rows: DataFrame, lines: DataFrame, out: T.StructType, every: bool = F
     gone = found.join(lines.drop("cardinality"), ["site", "k1", "k2", "container"]).where(bit).groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", (i + 1).cast("int")))
     empty = F.array().cast("array<int>")
-    return rows.join(gone, "row", "left").select(F.col("__key").alias(key), F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text), F.coalesce("removed", empty).alias("removed"))
+    return rows.join(gone, "row", "left").select(F.col("__key").alias(key), F.when(F.col("removed").isNull() | F.lit(not delete), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text), F.coalesce("removed", empty).alias("removed"))
