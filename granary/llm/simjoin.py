@@ -166,6 +166,28 @@ def children(node: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
 
 SKETCH = [f"s{i}" for i in range(1, SKETCHED // PER_NUMBER + 1)]
 BRANCHED = "node bigint, id bigint, parent bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)
+#: For a level, its large nodes in order, their sizes, and whether they stopped shrinking.
+Large = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def walked(rows: np.ndarray, trees: range, held: list[Large]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, record, size of the parent, size, stuck) of every record in every node, a level at a time; size 0 stands for small nodes, and for all of the last level."""
+    with np.errstate(over="ignore"):
+        start = mix(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64))
+    at = np.repeat(np.arange(len(rows)), len(trees))
+    node, parent = np.tile(start, len(rows)), np.zeros(len(at), np.int64)
+    for depth in range(len(held) + 1):
+        node = children(node, rows[at], depth).ravel()
+        at, parent = np.repeat(at, BRANCHES), np.repeat(parent, BRANCHES)
+        size, stuck = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        if depth < len(held) and len(held[depth][0]):
+            nodes, sizes, no_more = held[depth]
+            where = np.minimum(np.searchsorted(nodes, node.view(np.int64)), len(nodes) - 1)
+            inside = nodes[where] == node.view(np.int64)
+            size, stuck = np.where(inside, sizes[where], 0), inside & no_more[where]
+        yield node, at, parent, size, stuck
+        on = (size > 0) & ~stuck
+        node, at, parent = node[on], at[on], size[on]
 
 
 def met(depth: int, threshold: float = THRESHOLD) -> float:
@@ -181,32 +203,69 @@ def trees_needed(depth: int, recall: float = RECALL, threshold: float = THRESHOL
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - met(depth, threshold)))))
 
 
-def level(records: DataFrame, large: list[tuple[np.ndarray, np.ndarray]], trees: range) -> DataFrame:
-    """The next level of these trees. large: for each level before it, the sorted nodes that go on and their sizes."""
-    shared = records.sparkSession.sparkContext.broadcast(large)
+def node_counts(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
+    """(node, n, parent) of the next level of these trees; counted in each batch before the shuffle."""
+    shared = records.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for last in walked(matrix(b.column(0)), trees, shared.value):
+                node, _, parent, _, _ = last
+            found, first, n = np.unique(node.view(np.int64), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64)), pa.array(parent[first])], names=["node", "n", "parent"])
+
+    return records.select("signature").mapInArrow(run, "node bigint, n bigint, parent bigint").groupBy("node").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
+
+
+def level(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
+    """The next level of these trees, record by record."""
+    shared = records.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = matrix(b.column(1))
-            ids, own = b.column(0).to_numpy(), sketch(rows)
-            with np.errstate(over="ignore"):
-                start = mix(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64))
-            at = np.repeat(np.arange(len(rows)), len(trees))
-            node, parent = np.tile(start, len(rows)), np.zeros(len(at), np.int64)
-            for depth, (going, sizes) in enumerate([(None, None), *shared.value]):
-                if depth:
-                    signed_node = node.view(np.int64)
-                    where = np.minimum(np.searchsorted(going, signed_node), max(0, len(going) - 1))
-                    inside = np.flatnonzero(going[where] == signed_node) if len(going) else np.zeros(0, np.int64)
-                    node, at, parent = node[inside], at[inside], sizes[where[inside]] if len(inside) else parent[:0]
-                node = children(node, rows[at], depth).ravel()
-                at, parent = np.repeat(at, BRANCHES), np.repeat(parent, BRANCHES)
-            arrays = [node.view(np.int64), ids[at], parent, *(s[at] for s in own)]
+            own = sketch(rows)
+            for last in walked(rows, trees, shared.value):
+                node, at, parent, _, _ = last
+            arrays = [node.view(np.int64), b.column(0).to_numpy()[at], parent, *(s[at] for s in own)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["node", "id", "parent", *SKETCH])
 
     return records.select("id", "signature").mapInArrow(run, BRANCHED)
 
 
+def comparable(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
+    """(node, id, sketch) of the records in all small nodes of all levels, and of those in nodes that stopped shrinking once for each pair of blocks that they are in."""
+    shared = records.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, ids = matrix(b.column(1)), b.column(0).to_numpy()
+            own = sketch(rows)
+            for depth, (node, at, _, size, stuck) in enumerate(walked(rows, trees, shared.value)):
+                if depth == len(shared.value):
+                    break  # the level below the last one that has large nodes is empty
+                small = size == 0
+                groups, places = [node[small].view(np.int64)], [at[small]]
+                if stuck.any():
+                    number = -(-size[stuck] // (SMALL // 2))
+                    place, block = at[stuck], mix(ids[at[stuck]].view(np.uint64)) % number.astype(np.uint64)
+                    other = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+                    low, high = (f(np.repeat(block, number), other.astype(np.uint64)) for f in (np.minimum, np.maximum))
+                    with np.errstate(over="ignore"):
+                        groups.append(mix(np.repeat(node[stuck], number) ^ mix(low * STEP + high + U(1))).view(np.int64))
+                    places.append(np.repeat(place, number))
+                node, at = np.concatenate(groups), np.concatenate(places)
+                if len(node):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, ids[at], *(s[at] for s in own))], names=["node", "id", *SKETCH])
+
+    return records.select("id", "signature").mapInArrow(run, "node bigint, id bigint, " + ", ".join(f"{s} bigint" for s in SKETCH))
+
+
+def deep_ids(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
+    """Ids of the records in nodes that go on beyond these levels."""
+    return level(records, held, trees).select("id").distinct()
+
+
 def grown(frontier: DataFrame, records: DataFrame, depth: int) -> DataFrame:
     """The next level below the nodes of the frontier (node, id, n)."""
 
@@ -286,34 +345,52 @@ def candidates(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def grove(records: DataFrame, trees: range, safe: int) -> tuple[list[DataFrame], int, DataFrame | None]:
-    """(tables of pairs, depth, ids of the records in nodes that went on beyond the depth safe) of some trees."""
-    deep = None
-    out, depth, held = [], 0, []
+    """(tables of pairs, depth, ids of the records in nodes that went on beyond the depth safe) of some trees.
+
+    Levels are counted one after the other; as long as their large nodes are few enough
+    for every task, one pass over the records then brings all that is to be compared.
+    """
+    held: list[Large] = []
+    while True:
+        depth = len(held) + 1
+        large = stored(large_nodes(node_counts(records, held, trees), depth), f"large{depth}")
+        number = large.count()
+        if number > HELD_NODES:
+            break
+        found = large.toArrow().sort_by("node")
+        held.append((found["node"].to_numpy(), found["n"].to_numpy(), found["stuck"].to_numpy(zero_copy_only=False)))
+        if not number or held[-1][2].all():
+            break
+    out = [compared(comparable(records, held, trees))] if held else []
+    deep = stored(deep_ids(records, held[:safe], trees), "deep") if len(held) > safe else None
+    if number <= HELD_NODES:
+        return out, depth, deep
+    more, depth = joined_levels(records, trees, held)
+    return out + more, depth, deep if deep is not None or depth <= safe else records.select("id")
+
+
+def large_nodes(counts: DataFrame, depth: int) -> DataFrame:
+    """(node, n, stuck) of the nodes that are too large to be compared."""
+    stuck = (F.col("n") > SHRINK * F.col("parent")) & (F.col("parent") > 0) if depth < MAX_DEPTH else F.lit(True)
+    return counts.where(F.col("n") > SMALL).select("node", "n", stuck.alias("stuck"))
+
+
+def joined_levels(records: DataFrame, trees: range, held: list[Large]) -> tuple[list[DataFrame], int]:
+    """(tables of pairs, depth) of the levels below those held, by joins."""
+    out, depth = [], len(held)
     rows = level(records, held, trees)
     while True:
         depth += 1
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where(F.col("n") > SMALL)
-        stuck = (F.col("n") > SHRINK * F.col("parent")) & (F.col("parent") > 0) if depth < MAX_DEPTH else F.lit(True)
-        large = stored(counts.select("node", "n", stuck.alias("stuck")), f"large{depth}")
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"))
+        large = stored(large_nodes(counts, depth), f"large{depth}")
         kinds = {r.stuck: r["count"] for r in large.groupBy("stuck").count().collect()}
-        number = sum(kinds.values())
-        side = F.broadcast(large) if number <= HELD_NODES else large
-        small = rows.join(side.select("node"), "node", "left_anti") if number else rows
-        out.append(compared(small.select("node", "id", *SKETCH)))
+        out.append(compared(rows.join(large.select("node"), "node", "left_anti").select("node", "id", *SKETCH)))
         if kinds.get(True):
-            out.append(compared(blocks(rows.join(side.where("stuck"), "node"))))
+            out.append(compared(blocks(rows.join(large.where("stuck"), "node"))))
         if not kinds.get(False):
-            return out, depth, deep
-        if depth == safe:
-            deep = stored(rows.join(side.where("not stuck"), "node", "left_semi").select("id").distinct(), "deep")
-        if held is not None and kinds[False] <= HELD_NODES:
-            going = large.where("not stuck").select("node", "n").toArrow().sort_by("node")
-            held = [*held, (going["node"].to_numpy(), going["n"].to_numpy())]
-            rows = level(records, held, trees)
-        else:  # too many nodes for every task to hold
-            held = None
-            frontier = stored(rows.select("node", "id").join(large.where("not stuck"), "node").select("node", "id", "n"), f"frontier{depth}")
-            rows = grown(frontier, records, depth)
+            return out, depth
+        frontier = stored(rows.select("node", "id").join(large.where("not stuck"), "node").select("node", "id", "n"), f"frontier{depth}")
+        rows = grown(frontier, records, depth)
 
 
 def packed(hashes: np.ndarray) -> bytes:
