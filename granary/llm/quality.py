@@ -7,7 +7,8 @@ repetition statistics together: running text that was said before in the same te
 is boilerplate and counts for no kind, so a list under lines that return again and
 again is a list; and a text that is boilerplate for the most part, by repeated
 lines and paragraphs or by one n-gram that covers it, is of the kind `boilerplate`.
-Rows are independent, so the plan is one pass over the text without a shuffle.
+Lines repeated over the documents of a site are found first (problem 4); then rows
+are independent, and the plan is one pass over the text without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm import sitelines
+
 VOWEL = re.compile(r"[aeiouyAEIOUY]")
 ENUMERATED = re.compile(r"(?:\((?:[ivxl]{1,7}|[a-z]|\d{1,3})\)|(?:[ivxl]{1,7}|[a-z]|\d{1,3})[.)])\s+\S", re.I)
 #: A bullet is any lone sign, or a letter that scanning makes of one; or a sign stuck to the item.
@@ -32,6 +35,10 @@ NUMBERED_ROW = re.compile(r"(?:S\.No|\d+); ")
 GAPS = re.compile(r"\S {3,}\S")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 SIGN = re.compile(r"[^\w\s]")
+#: The same for text of ASCII characters alone.
+PLAIN_WORD = re.compile(r"[a-z0-9]+(?:[-'][a-z0-9]+)*")
+BLANKS = bytes(c for c in range(128) if chr(c).isspace())
+NO_SIGNS = bytes(c for c in range(128) if chr(c).isspace() or chr(c).isalnum() or chr(c) == "_")
 EDGE = "(\"“‘'[)”’],.;:!?%"
 ENDINGS = (".", "!", "?", ":", ";", "”", '"', "।")
 SECTION_LINE = ("Section:", "Subsection:")
@@ -62,17 +69,17 @@ class Lines:
 
     def __init__(self, common: Iterable[str]):
         self.common = frozenset(common)
-        self.seen: dict[str, tuple[bool, bool]] = {}
+        self.seen: dict[str, tuple[int, bool]] = {}
 
-    def token(self, tok: str) -> tuple[bool, bool]:
-        """(readable, a function word)."""
+    def token(self, tok: str) -> tuple[int, bool]:
+        """(its length if it is unreadable, else 0; a function word)."""
         known = self.seen.get(tok)
         if known is None:
             word = tok.strip(EDGE)
             clean = TOKEN.match(tok) is not None
             if clean and word.isascii() and word.isalpha():
                 clean = not (len(word) >= 3 and not VOWEL.search(word)) and not (len(word) == 1 and word not in "aAeI")
-            known = clean, word.lower() in self.common
+            known = 0 if clean else len(tok), word.lower() in self.common
             if len(tok) <= LONGEST:
                 if len(self.seen) >= CACHE:
                     self.seen.clear()
@@ -99,15 +106,16 @@ class Lines:
         tokens = line.split()
         cells = self.cells(line, len(tokens))
         size = sum(map(len, tokens))
+        get, token = self.seen.get, self.token
         if cells is not None:
             odd = 0
             for c in cells:
                 parts = c.split()
-                bad = sum(not self.token(x)[0] and not CELL_TOKEN.match(x) for x in parts)
+                bad = sum([(get(x) or token(x))[0] > 0 and not CELL_TOKEN.match(x) for x in parts])
                 odd += len(c) * (bad > len(parts) / 2)
             return "table" if odd <= 0.5 * size else "junk"
-        flags = [self.token(x) for x in tokens]
-        odd = sum(len(x) for x, f in zip(tokens, flags) if not f[0])
+        flags = [get(x) or token(x) for x in tokens]
+        odd = sum([f[0] for f in flags])
         single = len(line) <= 28 and CELL.match(line) is not None
         if odd > 0.5 * size and not (single and len(tokens) == 1):
             return "junk"
@@ -118,7 +126,7 @@ class Lines:
             return "list"
         if single and line[-1] not in ".,":
             return "table"
-        if len(tokens) >= 4 and not any(f[1] for f in flags):
+        if len(tokens) >= 4 and True not in [f[1] for f in flags]:
             return "junk"
         return "prose"
 
@@ -153,22 +161,27 @@ def shares(items: list[str]) -> float:
 
 def statistics(text: str | None, lines: Lines, title: str | None = None, site: Collection[int] = ()) -> tuple:
     text = text or ""
-    words = WORD.findall(text.lower())
+    if text.isascii():
+        plain = text.encode()
+        words, dense, signs = PLAIN_WORD.findall(text.lower()), len(plain.translate(None, BLANKS)), len(plain.translate(None, NO_SIGNS))
+    else:
+        words, dense, signs = WORD.findall(text.lower()), sum(map(len, text.split())), len(SIGN.findall(text))
     rows = [x for x in (r.strip() for r in text.split("\n")) if x]
     count, chars = len(words), sum(map(len, words))
-    dense = sum(map(len, text.split()))
-    top = []
+    top, times = [], 2
     for n in NGRAMS:
-        grams = Counter(zip(*(words[i:] for i in range(n))))
-        times = max(grams.values(), default=0)
-        longest = max((sum(map(len, g)) for g, k in grams.items() if k == times), default=0) if times > 1 else 0
+        longest = 0
+        if times > 1:  # else no longer run can be repeated
+            grams = Counter(zip(*(words[i:] for i in range(n))))
+            times = max(grams.values(), default=0)
+            longest = max([sum(map(len, g)) for g, k in grams.items() if k == times], default=0) if times > 1 else 0
         top.append(min(1.0, longest * times / chars) if chars else 0.0)
     kind, sizes = lines.kind(text, title, top[-1], site)
     total = max(1, sum(sizes.values()))
     return (
-        count, chars / count if count else 0.0, len(SIGN.findall(text)) / dense if dense else 0.0,
-        sum(r.endswith(ENDINGS) for r in rows) / len(rows) if rows else 0.0,
-        sum(w in lines.common for w in words) / count if count else 0.0,
+        count, chars / count if count else 0.0, signs / dense if dense else 0.0,
+        sum([r.endswith(ENDINGS) for r in rows]) / len(rows) if rows else 0.0,
+        sum(map(lines.common.__contains__, words)) / count if count else 0.0,
         shares(rows), shares([p.strip() for p in text.split("\n\n") if p.strip()]), *top,
         sizes["list"] / total, sizes["table"] / total, sizes["junk"] / total, sizes["boilerplate"] / total, kind,
     )
@@ -179,24 +192,36 @@ def common_words(words: DataFrame) -> list[str]:
     return sorted({r.word.lower() for r in words.select("word").dropna().collect()})
 
 
-def text_statistics(df: DataFrame, common: Iterable[str], text: str = "page_content", key: str = "chunk_id", title: str | None = "document_name", site: str | None = None) -> DataFrame:
-    """One row per row of df: key and the fields of KIND. site: a column with the numbers of the lines that are repeated over the site's documents; they count for no kind.
+def text_statistics(df: DataFrame, common: Iterable[str], text: str = "page_content", key: str = "chunk_id", title: str | None = "document_name", site: str | None = None, document: str | None = None) -> DataFrame:
+    """One row per row of df: key and the fields of KIND. With site and document (columns), lines that are repeated too often over a site's documents count for no kind.
 
     Null and empty texts have zero statistics and the kind `empty`. Other columns
     of df are ignored, whatever their names. Whole texts are read.
     """
     common = frozenset(common)
     title_of = F.col(title) if title and title in df.columns else F.lit(None).cast("string")
-    site_of = F.col(site) if site else F.lit(None).cast("array<int>")
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *KIND.fields])
+    nowhere = [F.lit(None).cast(t).alias(n) for n, t in (("site", "string"), ("container", "int"), ("place", "int"), ("removed", "array<int>"))]
+    held: dict | None = {}
+    rows = df.select(F.col(key).alias("__key"), title_of.alias("__title"), F.col(text).alias("text"), *nowhere)
+    if site and document:
+        own = df.select(F.col(key).alias("__key"), title_of.alias("__title"), F.col(text).alias("__text"), F.col(site).alias("__site"), F.col(document).alias("__document"))
+        placed, lines = sitelines.excessive(own, "__text", "__site", "__document")
+        held = sitelines.held_lines(lines)
+        rows = placed.select("__key", "__title", "text", "site", "container", "place", nowhere[3])
+        if held is None:  # too many for every task: marked by joins first
+            marked = sitelines.cleaned(own.withColumn("__row", F.struct("__key", "__title")), "__text", "__site", "__document", "__row", delete=False)
+            rows = marked.select("__row.*", F.col("__text").alias("text"), *nowhere[:3], "removed")
+    shared = df.sparkSession.sparkContext.broadcast(held or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out, lines = to_arrow_schema(schema), Lines(common)
+        out, lines, finder = to_arrow_schema(schema), Lines(common), sitelines.Finder(shared.value)
         for b in batches:
-            rows = [statistics(t, lines, n, s or ()) for t, n, s in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            each = zip(*(b.column(i).to_pylist() for i in range(1, 7)))
+            rows = [statistics(t, lines, n, gone or (finder.found(t, s, c, p) if c is not None else ())) for n, t, s, c, p, gone in each]
             columns = list(zip(*rows)) if rows else [[]] * len(KIND)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:]))], schema=out)
 
-    return df.select(key, text, title_of.alias("__title"), site_of.alias("__site")).mapInArrow(run, schema)
+    return rows.select("__key", "__title", "text", "site", "container", "place", "removed").mapInArrow(run, schema)

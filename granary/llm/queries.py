@@ -63,9 +63,7 @@ def p3_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and kinds of all chunks, site lines left out of the kinds."""
-    rows = table(spark, sf_dir, "scheme_chunks").withColumn("key", F.struct("chunk_id", "document_name"))
-    marked = sitelines.cleaned(rows.drop("chunk_id"), key="key", delete=False)
-    return quality.text_statistics(marked.select("key.*", "page_content", "removed"), common(spark, sf_dir), site="removed")
+    return quality.text_statistics(table(spark, sf_dir, "scheme_chunks"), common(spark, sf_dir), site="source_url", document="document_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

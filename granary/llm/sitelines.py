@@ -18,6 +18,7 @@ the bounds they are joined instead.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,13 +83,12 @@ def bounds(rows: DataFrame, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["site", "k1", "k2", "n"]
         for b in batches:
-            found: dict[tuple[str, bytes], set] = {}
+            seen: set[tuple[str, bytes, int, int]] = set()
             for t, s, c, p in zip(*(b.column(i).to_pylist() for i in range(4))):
-                for key in keys(t, every):
-                    if key:
-                        found.setdefault((s, key), set()).add((c, p))
+                seen.update([(s, key, c, p) for key in keys(t, every) if key])
+            found = Counter([(s, key) for s, key, _, _ in seen])
             hashed = [halves(k) for _, k in found]
-            arrays = [pa.array([s for s, _ in found], pa.string()), pa.array([h[0] for h in hashed], pa.int64()), pa.array([h[1] for h in hashed], pa.int64()), pa.array([len(v) for v in found.values()], pa.int64())]
+            arrays = [pa.array([s for s, _ in found], pa.string()), pa.array([h[0] for h in hashed], pa.int64()), pa.array([h[1] for h in hashed], pa.int64()), pa.array(list(found.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     lines = rows.select("text", "site", "container", "place").mapInArrow(run, "site string, k1 bigint, k2 bigint, n bigint")
@@ -190,29 +190,18 @@ def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url",
     columns of df are ignored, whatever their names. An empty df gives no rows.
     """
     rows, lines = excessive(df.select(F.col(key).alias("__key"), text, site, document), text, site, document, min_documents, min_share, every_script)
-    size = lines.agg(F.sum(F.least(2 * F.col("cardinality"), F.lit(DENSE)) + OVERHEAD)).first()[0] or 0
     out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(text, T.StringType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
-    if size > most_bytes:
+    held = held_lines(lines, most_bytes)
+    if held is None:
         return joined(rows, lines, out, every_script, delete)
-    held: dict[tuple, dict] = {}
-    for r in compressed(lines).toLocalIterator():
-        held.setdefault((r.site, r.k1, r.k2), {})[r.container] = bytes(r.data)
     shared = df.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cache = shared.value, {}
+        finder = Finder(shared.value, every_script)
         for b in batches:
             texts, gone = [], []
             for t, s, c, p in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                found = []
-                if t and c is not None:
-                    for i, k in enumerate(keys(t, every_script), 1):
-                        if k:
-                            if len(cache) > MOST_LINES:
-                                cache.clear()
-                            at = cache.get((s, k)) or cache.setdefault((s, k), (s, *halves(k)))
-                            if at in held and has(held[at].get(c), p):
-                                found.append(i)
+                found = finder.found(t, s, c, p)
                 if found and delete:
                     drop = set(found)
                     t = "\n".join(r for i, r in enumerate(t.split("\n"), 1) if i not in drop)
@@ -223,6 +212,41 @@ def cleaned(df: DataFrame, text: str = "page_content", site: str = "source_url",
     return rows.select("__key", "text", "site", "container", "place").mapInArrow(run, out)
 
 
+def held_lines(lines: DataFrame, most_bytes: int = MOST_BYTES) -> dict[tuple, dict[int, bytes]] | None:
+    """Bitmaps of the excessive lines by line and container for every task, or None if they take more than most_bytes."""
+    size = lines.agg(F.sum(F.least(2 * F.col("cardinality"), F.lit(DENSE)) + OVERHEAD)).first()[0] or 0
+    if size > most_bytes:
+        return None
+    held: dict[tuple, dict[int, bytes]] = {}
+    for r in compressed(lines).toLocalIterator():
+        held.setdefault((r.site, r.k1, r.k2), {})[r.container] = bytes(r.data)
+    return held
+
+
+class Finder:
+    """Finds the excessive lines of one text after another."""
+
+    def __init__(self, held: dict[tuple, dict[int, bytes]], every: bool = False):
+        self.held, self.every = held, every
+        self.cache: dict[tuple, tuple] = {}
+
+    def found(self, text: str | None, site: str | None, container: int | None, place: int | None) -> list[int]:
+        """Numbers from 1 of the lines of a document's text that are excessive in its site."""
+        out: list[int] = []
+        if text and container is not None:
+            cache, held = self.cache, self.held
+            for i, k in enumerate(keys(text, self.every), 1):
+                if k:
+                    at = cache.get((site, k))
+                    if at is None:
+                        if len(cache) > MOST_LINES:
+                            cache.clear()
+                        at = cache[site, k] = (site, *halves(k))
+                    if at in held and has(held[at].get(container), place):
+                        out.append(i)
+        return out
+
+
 def joined(rows: DataFrame, lines: DataFrame, out: T.StructType, every: bool = False, delete: bool = True) -> DataFrame:
     """The same by joins, where the bitmaps are too large for every task to hold."""
     key, text, _ = out.names
