@@ -132,6 +132,7 @@ def single_punctuation(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "!{2,}", "!"), r"\?{2,}", "?")
 
 
+# What starts a line of its own, and what ends a sentence.
 NEW_HEADING = re.compile(r"\d+(?:\.\d+)*[.)]?\s+|[A-Z][A-Z\s&/\-]{3,}")
 NEW_ITEM = re.compile(r"(?:[-*•]|\(?\d+[.)]|\(?[a-zA-Z][.)])\s+")
 SENTENCE_ENDS = (".", "!", "?", ":", ";")

@@ -30,21 +30,31 @@ def expanded(hits: DataFrame, parents: DataFrame, query: str = "query_id", paren
     return first.join(parents, parent).withColumn("position", F.row_number().over(order)).drop("first")
 
 
+def parent_of(df: DataFrame, parent: Column | str, key: str = "parent_id") -> DataFrame:
+    """The rows of one parent id, or none. The filter reaches the files where df is read from them."""
+    return df.where(F.col(key) == parent)
+
+
 def first_of(df: DataFrame, keys: list[Column], order: list) -> DataFrame:
-    """The first row, in order, of each group of equal keys."""
+    """The first row, in order, of each group of equal keys. Each task keeps only its own first of a group before the shuffle, so no group is gathered."""
     best = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__at", F.row_number().over(best)).where("__at = 1").drop("__at")
 
 
+def identity(c: Column) -> list[Column]:
+    """128 bits that stand for a text, so that texts needn't move to be compared."""
+    return [F.xxhash64(c), F.xxhash64(F.lit(1), c)]
+
+
 def without_duplicates(df: DataFrame, order: str, file: str = "file_name", page: str = "page", content: str = "page_content", within: list[str] | None = None) -> DataFrame:
     """The first of rows with equal file, page and normalised content."""
-    return first_of(df, [*(F.col(c) for c in within or []), F.coalesce(F.col(file), F.lit("")), F.coalesce(F.col(page).cast("string"), F.lit("")), t.normalized(F.col(content))], [order])
+    return first_of(df, [*(F.col(c) for c in within or []), F.coalesce(F.col(file), F.lit("")), F.coalesce(F.col(page).cast("string"), F.lit("")), *identity(t.normalized(F.col(content)))], [order])
 
 
 def controlled(df: DataFrame, order: str, content: str = "page_content", within: list[str] | None = None) -> DataFrame:
-    """Rows with enough content, the first of each normalised content."""
+    """Rows with enough content, the first of each normalised content. Texts without a letter a to z or digit are all the same to this rule, as none of them is left of them."""
     kept = df.where(F.length(t.strip(t.text(F.col(content)))) >= q.MIN_CONTENT_CHARS)
-    return first_of(kept, [*(F.col(c) for c in within or []), t.normalized(F.col(content))], [order])
+    return first_of(kept, [*(F.col(c) for c in within or []), *identity(t.normalized(F.col(content)))], [order])
 
 
 def combined(chunks: DataFrame, parents: DataFrame, most: int = 15, query: str = "query_id", position: str = "position") -> DataFrame:

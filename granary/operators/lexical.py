@@ -11,7 +11,7 @@ queries' weights go to every task, and each task passes on only its best k.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from granary.functions import quality as q
 from granary.functions import text as t
-from granary.runtime import BROADCAST_ROWS
+from granary.runtime import BROADCAST_ROWS, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words of all queries from which a search goes by document; the results are the same.
@@ -50,19 +50,64 @@ def raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def index(df: DataFrame, key: str, text: str, stored=None) -> Index:  # noqa: ANN001
-    """Index of df's texts. stored: what writes a table and reads it back, for an index that is used more than once."""
-    keep = stored or (lambda d, _: d)
+def index(df: DataFrame, key: str, text: str, keep: Callable[[DataFrame, str], DataFrame] = lambda d, _: d) -> Index:
+    """Index of df's texts. keep: what writes a table and reads it back, for an index that is used more than once."""
     words = df.select(F.col(key).alias("doc"), t.tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
     postings = keep(words.select("doc", "length", F.explode("tokens").alias("term")).groupBy("term", "doc", "length").agg(F.count(F.lit(1)).cast("int").alias("tf")), "postings")
     return Index(postings, keep(words.select("doc", "length"), "lengths"), keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"))
 
 
-def search(ix: Index, queries: DataFrame, k: int, query: str = "query_id", text: str = "question", allowed: DataFrame | None = None, pad: bool = True) -> DataFrame:
+@dataclass
+class Scope:
+    """Which documents a query may see, by state. documents: doc, scope and own state; queries: query and state. Pairs of both are never made: matches are filtered."""
+
+    documents: DataFrame
+    queries: DataFrame
+    query: str = "query_id"
+    state: str = "state"
+    scope: str = "applicable_scope"
+    own: str = "own_state"
+
+    def _documents(self) -> DataFrame:
+        return self.documents.select("doc", F.col(self.scope).alias("__scope"), F.col(self.own).alias("__own"))
+
+    def _queries(self, name: str) -> DataFrame:
+        asked = self.queries.select(F.col(self.query).alias(name), F.col(self.state).alias("__state"))
+        return F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+
+    def kept(self, matches: DataFrame, name: str) -> DataFrame:
+        """The matches (name, doc, ...) that are in scope."""
+        rows = matches.join(self._queries(name), name).join(self._documents(), "doc")
+        return rows.where(q.in_scope(F.col("__scope"), F.col("__own"), F.col("__state"))).select(*matches.columns)
+
+    def first(self, queries: DataFrame, name: str, n: int) -> DataFrame:
+        """(name, doc): documents in scope of each query, the first n of each kind of them among these. Kinds are countrywide ones, those of each state, and all."""
+        scope, own = F.lower(t.text(F.col("__scope"))), F.lower(t.text(F.col("__own")))
+        kinds = F.array_compact(F.array(F.lit("all"), F.when(scope == "india", F.lit("india")), F.when(scope == "state", F.concat(F.lit("state "), own))))
+        each = self._documents().select("doc", F.explode(kinds).alias("__kind"))
+        best = each.withColumn("__at", F.row_number().over(Window.partitionBy("__kind").orderBy("doc"))).where(F.col("__at") <= n).select("doc", "__kind")
+        asked = queries.join(self._queries(name), name)
+        state = F.lower(t.text(F.col("__state")))
+        wanted = F.when(state == "", F.array(F.lit("all"))).otherwise(F.array(F.lit("india"), F.concat(F.lit("state "), state)))
+        return asked.select(name, F.explode(wanted).alias("__kind")).join(best, "__kind").select(name, "doc").distinct()
+
+    def counts(self) -> DataFrame:
+        """(query, documents): how many documents are in scope of each query. Documents are counted by kind first."""
+        kinds = self._documents().groupBy(F.lower(t.text(F.col("__scope"))).alias("__scope"), F.lower(t.text(F.col("__own"))).alias("__own")).agg(F.count(F.lit(1)).alias("n"))
+        kind = F.when(F.col("__scope") == "india", "india").when(F.col("__scope") == "state", F.concat(F.lit("state "), "__own")).otherwise("none")
+        kinds = kinds.groupBy(kind.alias("__kind")).agg(F.sum("n").alias("n"))
+        kinds = kinds.unionByName(kinds.agg(F.lit("all").alias("__kind"), F.sum("n").alias("n")))
+        state = F.lower(t.text(F.col("__state")))
+        wanted = F.when(state == "", F.array(F.lit("all"))).otherwise(F.array(F.lit("india"), F.concat(F.lit("state "), state)))
+        asked = self._queries(self.query).select(self.query, F.explode(wanted).alias("__kind"))
+        return asked.join(kinds, "__kind").groupBy(self.query).agg(F.sum("n").alias("documents"))
+
+
+def search(ix: Index, queries: DataFrame, k: int, query: str = "query_id", text: str = "question", allowed: Scope | None = None, pad: bool = True) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query; ties go to the smaller doc.
 
-    A token that a query repeats counts again. allowed: (query, doc) pairs to which
-    the search is limited before the cut. With pad, queries with fewer matches are
+    A token that a query repeats counts again. allowed: the scope to which the
+    search is limited before the cut. With pad, queries with fewer matches are
     filled up with documents of score 0 in their order. Queries without a token
     have no result.
     """
@@ -76,17 +121,22 @@ def search(ix: Index, queries: DataFrame, k: int, query: str = "query_id", text:
         scores = by_document(ix, weights, k, mean_length, number)
     else:
         hits = ix.postings.join(F.broadcast(weights) if few else weights, "term")
-        if allowed is not None:
-            hits = hits.join(allowed.select(F.col(query).alias("query"), "doc"), ["query", "doc"], "left_semi")
         norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean_length or 1.0))
         scores = hits.groupBy("query", "doc").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+        if allowed is not None:
+            scores = allowed.kept(scores, "query")
+    ranked = best_of(scores.withColumn("score", F.round("score", 9)), k)
     if pad:
-        scores = scores.unionByName(padding(ix, asked, scores, k, allowed, query))
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc").asc())
-    ranked = scores.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        ranked = padded(ix, asked, stored(ranked, "ranked"), k, allowed)
     return ranked.select(F.col("query").alias(query), "doc", "score", "rank")
 
 
+def best_of(scores: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank; each task passes on no more than k."""
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc").asc())
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def by_document(ix: Index, weights: DataFrame, k: int, mean_length: float, number: int) -> DataFrame:
     """(query, doc, score) of the best k matches of each query in each task, of whole queries: weights has a row for each of their number words."""
     weights = weights.select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
@@ -166,20 +216,16 @@ def scored(ix: Index, weights: DataFrame, k: int, mean_length: float) -> DataFra
     return asked.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, schema)
 
 
-def padding(ix: Index, asked: DataFrame, scores: DataFrame, k: int, allowed: DataFrame | None, query: str) -> DataFrame:
-    """First documents of score 0. At most k are missing, so of each query's documents the first 2k hold enough that don't match."""
-    short = asked.select("query").distinct().join(scores.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < k).select("query")
+def padded(ix: Index, asked: DataFrame, ranked: DataFrame, k: int, allowed: Scope | None) -> DataFrame:
+    """ranked with documents of score 0 for queries of fewer than k matches. All matches of such a query are in ranked; of the first 2k documents enough don't match."""
+    matches = asked.select("query").distinct().join(ranked.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left")
+    short = stored(matches.where(F.coalesce("n", F.lit(0)) < k).select("query"), "short")
+    if short.isEmpty():
+        return ranked
     if allowed is None:
         first = [r.doc for r in ix.lengths.select("doc").orderBy("doc").limit(2 * k).collect()]
-        pool = short.withColumn("doc", F.explode(F.array(*(F.lit(d).cast(ix.lengths.schema["doc"].dataType) for d in first)))) if first else scores.select("query", "doc").limit(0)
+        pool = short.withColumn("doc", F.explode(F.array(*(F.lit(d).cast(ix.lengths.schema["doc"].dataType) for d in first)))) if first else ranked.select("query", "doc").limit(0)
     else:
-        order = Window.partitionBy("query").orderBy("doc")
-        pool = allowed.select(F.col(query).alias("query"), "doc").join(short, "query").withColumn("at", F.row_number().over(order)).where(F.col("at") <= 2 * k).drop("at")
-    return pool.join(scores, ["query", "doc"], "left_anti").select("query", "doc", F.lit(0.0).alias("score"))
-
-
-def scoped(queries: DataFrame, documents: DataFrame, query: str = "query_id", state: str = "state", scope: str = "applicable_scope", own: str = "own_state") -> DataFrame:
-    """(query, doc) pairs that the state filter lets through; documents: doc, scope, own state."""
-    states = queries.select(state).distinct()  # documents meet states, which are few, and only then the queries that ask for them
-    pairs = documents.join(F.broadcast(states), q.in_scope(F.col(scope), F.col(own), F.col(state))).select("doc", state)
-    return pairs.withColumnRenamed(state, "__state").join(queries.select(query, F.col(state).alias("__asked")), F.col("__state").eqNullSafe(F.col("__asked"))).select(query, "doc")
+        pool = allowed.first(short, "query", 2 * k)
+    more = pool.join(ranked, ["query", "doc"], "left_anti").select("query", "doc", F.lit(0.0).alias("score"))
+    return best_of(ranked.drop("rank").unionByName(more), k)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from granary.functions import quality as q
 from granary.functions import text as t
+from granary.runtime import BROADCAST_ROWS
 
 METHODS = ("pymupdf_text", "tesseract_ocr", "tesseract_ocr_retry")
 
@@ -84,8 +85,10 @@ def page_text(words: DataFrame, keys: list[str], order: str = "seq", word: str =
 
 
 def best_expected(candidates: DataFrame, expected: DataFrame, group: str, text: str = "text", goal: str = "expected", ordinal: str = "ord") -> DataFrame:
-    """For each expected text of a group the candidate that agrees best: containment counts 0.95, else the share of its words. expected is small; candidates meet only those of their group."""
-    pairs = candidates.select(group, F.lower(t.squeezed(F.col(text))).alias("__c")).where("__c <> ''").join(F.broadcast(expected.select(group, ordinal, goal, F.lower(F.col(goal)).alias("__e"))), group)
+    """For each expected text of a group the candidate that agrees best: containment counts 0.95, else the share of its words. Candidates meet only those of their group."""
+    goals = expected.select(group, ordinal, goal, F.lower(F.col(goal)).alias("__e"))
+    goals = F.broadcast(goals) if expected.count() <= BROADCAST_ROWS else goals
+    pairs = candidates.select(group, F.lower(t.squeezed(F.col(text))).alias("__c")).where("__c <> ''").join(goals, group)
     own, other = (F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("([a-z]+)"), 1)) for c in ("__e", "__c"))
     value = F.when(F.contains(F.col("__e"), F.col("__c")) | F.contains(F.col("__c"), F.col("__e")), 0.95).when(F.size(own) > 0, F.size(F.array_intersect(own, other)) / F.size(own)).otherwise(0.0)
     scored = pairs.withColumn("score", F.round(value, 9))

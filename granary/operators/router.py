@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as t
+from granary.runtime import BROADCAST_ROWS
 
 # Words and patterns of questions for facts.
 FACT_KEYWORDS = (
@@ -25,9 +26,10 @@ CONTENT_TERMS = (
     "how much", "how many", "number", "total", "amount", "quantity", "percentage", "percent", "rate", "insured", "insurance", "coverage", "covered",
     "beneficiaries", "beneficiary", "financial year",
 )
-#: What further questions add to a scheme's name or a year.
-DATED_TERMS, DATED_MORE, NAME_TERMS = " total number beneficiaries insured covered amount percentage", " total insured number quantity coverage", " total number amount percentage beneficiaries insured coverage"
-YEAR_WORDS = "financial year "
+# The wording of further questions, with a scheme's name or years asked for or both.
+BOTH_KNOWN = ("{name} financial year {years} total number beneficiaries insured covered amount percentage", "{name} {years} total insured number quantity coverage")
+NAME_KNOWN = ("{name} total number amount percentage beneficiaries insured coverage",)
+YEARS_KNOWN = ("financial year {years} total number amount percentage beneficiaries insured coverage",)
 FACT_PATTERN = r"\bfy\s*20\d{2}\b|\bfinancial year\b|\b\d+(?:\.\d+)?\s*(?:lakh|crore|million|billion|percent)?\b"
 #: Years as they are written, which normalisation makes unfindable, and as they look after it.
 YEARS = {"actual": r"(\b20\d{2}\s*[-/]\s*(?:20)?\d{2}\b)", "intended": r"(\b20\d{2}\s+(?:20)?\d{2}\b)"}
@@ -58,7 +60,7 @@ def detected(questions: DataFrame, registry: DataFrame, query: str = "query_id",
     asked = questions.select(query, t.normalized(F.col(text)).alias("__question"))
     words = asked.select(query, "__question", F.explode(F.array_distinct(F.split("__question", " "))).alias("__word"))
     inside = F.contains(F.concat(F.lit(" "), "__question", F.lit(" ")), F.concat(F.lit(" "), "__alias", F.lit(" ")))
-    hits = words.join(F.broadcast(aliases), "__word").where(inside)  # the registry is small by its nature
+    hits = words.join(F.broadcast(aliases) if registry.count() <= BROADCAST_ROWS else aliases, "__word").where(inside)
     best = Window.partitionBy(query).orderBy(F.length("__alias").desc(), "ord")
     hits = hits.withColumn("__at", F.row_number().over(best)).where("__at = 1")
     return questions.join(hits.select(query, "scheme_key", "scheme_name", "file_name", "matched_alias"), query, "left")
@@ -83,9 +85,7 @@ def variants(question: Column, key: Column, name: Column, years: str = "actual",
     """
     found = F.array_join(F.regexp_extract_all(t.normalized(question), F.lit(YEARS[years]), 1), " ")
     known, dated = t.text(name) != "", found != ""
-    both = F.array(F.concat(name, F.lit(" " + YEAR_WORDS), found, F.lit(DATED_TERMS)), F.concat(name, F.lit(" "), found, F.lit(DATED_MORE)))
-    own = F.array(F.concat(name, F.lit(NAME_TERMS)))
-    when = F.array(F.concat(F.lit(YEAR_WORDS), found, F.lit(NAME_TERMS)))
+    both, own, when = (F.array(*(F.replace(F.replace(F.lit(x), F.lit("{name}"), t.text(name)), F.lit("{years}"), found) for x in templates)) for templates in (BOTH_KNOWN, NAME_KNOWN, YEARS_KNOWN))
     none = F.array().cast("array<string>")
     more = F.when(known & dated, both).when(known, own).when(dated, when).otherwise(none)
     for k, templates in (extra or {}).items():

@@ -13,7 +13,10 @@ LONG_LINE, LOW, MEDIUM = 300, 0.6, 0.8
 NO_LINES = "No raw table lines detected."
 NO_ROWS = "No semantic rows could be reconstructed."
 ONE_LINE = "Only one table-like OCR line detected; table structure may be incomplete."
-DETECTED = {"markers": " numbered table-row markers.", "money": " financial value(s).", "percent": " percentage value(s).", "capacity": " capacity value(s)."}
+DETECTED = {
+    "markers": "Detected {n} numbered table-row markers.", "money": "Detected {n} financial value(s).",
+    "percent": "Detected {n} percentage value(s).", "capacity": "Detected {n} capacity value(s).",
+}
 LONG_LINES = "One or more OCR lines are very long. Possible multi-column OCR interleaving detected."
 LOW_NOTE = "Low normalization confidence. Do not rely on reconstructed column relationships without validation."
 MEDIUM_NOTE = "Medium normalization confidence. Review reconstructed rows before production ingestion."
@@ -61,7 +64,7 @@ def confidence(lines: Column, rows: Column, n: dict[str, Column]) -> Column:
 
 
 def notes(lines: Column, rows: Column, score: Column, n: dict[str, Column]) -> Column:
-    said = (F.when(n[k] >= (2 if k == "markers" else 1), F.concat(F.lit("Detected "), n[k].cast("string"), F.lit(after))) for k, after in DETECTED.items())
+    said = (F.when(n[k] >= (2 if k == "markers" else 1), F.replace(F.lit(note), F.lit("{n}"), n[k].cast("string"))) for k, note in DETECTED.items())
     return F.array_compact(F.array(
         F.when(F.size(lines) == 0, NO_LINES), F.when(F.size(rows) == 0, NO_ROWS), F.when(F.size(lines) == 1, ONE_LINE), *said,
         F.when(F.exists(lines, lambda s: F.length(s) > LONG_LINE), LONG_LINES), F.when(score < LOW, LOW_NOTE).when(score < MEDIUM, MEDIUM_NOTE).otherwise(HIGH_NOTE),

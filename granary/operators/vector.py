@@ -1,8 +1,8 @@
 """Exact vector search of many queries against all rows.
 
-Queries go to every task in blocks of a checked size; each batch of rows is one
-matrix product, and each batch passes on only its best k of each query. Rows are
-never paired with queries in a shuffle.
+Queries go to every task in blocks of a checked size; rows and queries meet in
+matrix products, and each task keeps a running best k of each query and passes on
+only that. Rows are never paired with queries in a shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from granary.functions import quality as q
 
-#: Queries of a block.
-BLOCK = 4096
+#: Queries that go to the tasks at once, one pass over the rows each; queries of one matrix product.
+BLOCK, PRODUCT = 1 << 16, 512
 
 
 def matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -59,18 +59,34 @@ def pass_over(rows: DataFrame, ids: list, asked: np.ndarray, k: int, key: str, v
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, (ids, asked) = to_arrow_schema(schema), shared.value
-        names = pa.array(ids, out.field(0).type)
         lengths = (asked**2).sum(axis=1)
+        worst = np.full(len(ids), np.inf)  # of the best k so far
+        query, distance, key_of = np.zeros(0, np.int64), np.zeros(0), None
         for b in batches:
             if not b.num_rows:
                 continue
             own = matrix(b.column(1), dimension)
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            distance = np.maximum(0, (own**2).sum(axis=1)[None, :] + lengths[:, None] - 2 * asked @ own.T).round(9)
-            order = np.argsort(keys, kind="stable")
-            top = order[np.argsort(distance[:, order], axis=1, kind="stable")[:, :k]]
-            at = np.repeat(np.arange(len(ids)), top.shape[1])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), b.column(0).take(pa.array(top.ravel())), pa.array(distance[at, top.ravel()])], schema=out)
+            keys = np.array(b.column(0).to_pylist())
+            squares = (own**2).sum(axis=1)
+            found = [(query, distance, key_of)] if key_of is not None else []
+            for first in range(0, len(ids), PRODUCT):
+                part = asked[first : first + PRODUCT]
+                d = np.maximum(0, squares[None, :] + lengths[first : first + PRODUCT, None] - 2 * part @ own.T).round(9)
+                bound = worst[first : first + PRODUCT]
+                if d.shape[1] > k:
+                    bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(d <= bound[:, None])  # all ties at the bound
+                found.append((i + first, d[i, j], keys[j]))
+            query, distance, key_of = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((key_of, distance, query))
+            query, distance, key_of = query[order], distance[order], key_of[order]
+            begin = np.searchsorted(query, query)
+            kept = np.arange(len(query)) - begin < k
+            query, distance, key_of = query[kept], distance[kept], key_of[kept]
+            full = np.flatnonzero(np.arange(len(query)) - np.searchsorted(query, query) == k - 1)
+            worst[query[full]] = distance[full]
+        if key_of is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, out.field(0).type).take(pa.array(query)), pa.array(key_of.tolist(), out.field(1).type), pa.array(distance)], schema=out)
 
     return rows.where(F.size(vector) == dimension).select(key, vector).mapInArrow(run, schema)
 

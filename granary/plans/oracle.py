@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from granary.functions import extract as x
-from granary.functions import quality as q
-from granary.operators import context, router
+from granary.plans import expected
 
 
 def literal(s: str) -> str:
@@ -57,7 +55,7 @@ DETECTED = f"""(SELECT q.query_id, q.question, scheme_key, scheme_name, alias AS
     SELECT query_id, r.scheme_key, r.name AS scheme_name, alias FROM {QUESTIONS} q JOIN scheme_registry r
     ON {norm('alias')} <> '' AND contains(' ' || {norm('question')} || ' ', ' ' || {norm('alias')} || ' ')
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length({norm('alias')}) DESC, ord) = 1) USING (query_id))"""
-HEADINGS = "|".join(sorted(x.COMMON_HEADINGS, key=len, reverse=True))
+HEADINGS = "|".join(sorted(expected.COMMON_HEADINGS, key=len, reverse=True))
 WORD = r"[\p{L}\p{N}_]"
 STATES = "(SELECT DISTINCT state FROM scheme_metadata WHERE state IS NOT NULL)"
 PAIRS = f"""(SELECT lower(s.state) AS query_id, m.document_id FROM {STATES} s JOIN scheme_metadata m
@@ -98,7 +96,7 @@ CANDIDATES = f"""WITH {bm25(NAME_QUERIES, 20)},
     rows AS (SELECT h.query_id, h.doc_id, h.rank AS position, d.text, coalesce(d.scheme_key = h.query_id, false) AS scheme_match, 'How many farmers were covered under ' || q.question || '?' AS question
         FROM hits h JOIN documents d USING (doc_id) JOIN {NAME_QUERIES} q USING (query_id)),
     scores AS (SELECT *, len(list_intersect(list_distinct({tokens('question')}), {tokens('text')})) / len(list_distinct({tokens('question')})) AS rerank_score FROM rows)"""
-PERCENT_TERMS = ", ".join(literal(w) for w in router.CONTENT_TERMS)
+PERCENT_TERMS = ", ".join(literal(w) for w in expected.CONTENT_TERMS)
 RECORDS = "CASE WHEN confidence IS NULL THEN 0.0 ELSE confidence END"
 
 
@@ -107,7 +105,7 @@ def heading(c: str) -> str:
     many = f"len(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''))"
     known = f"lower({heading_text(c)})"
     return f"""CASE WHEN {c} = '' OR regexp_matches(lower({c}), '^page\\s+\\d+$|^extraction method:|^image count:|^[#=_\\-]{{5,}}$') OR regexp_matches({c}, '^[*•°◦▪▫‣⁃·\\-]') OR length({c}) < 3 THEN false
-        WHEN regexp_matches({c}, '{x.SUBNUMBERED}') OR regexp_matches({c}, '{x.NUMBERED}') OR regexp_matches({c}, '{x.LETTERED}') OR regexp_matches({c}, '{x.LOWER_LETTERED}') OR regexp_matches({known}, '^({HEADINGS})$') THEN true
+        WHEN regexp_matches({c}, '{expected.SUBNUMBERED}') OR regexp_matches({c}, '{expected.NUMBERED}') OR regexp_matches({c}, '{expected.LETTERED}') OR regexp_matches({c}, '{expected.LOWER_LETTERED}') OR regexp_matches({known}, '^({HEADINGS})$') THEN true
         WHEN regexp_matches({known}, '^({HEADINGS}) ') THEN false
         WHEN {upper(c)} AND {words(c)} <= 12 THEN true
         WHEN {words(c)} > 15 OR regexp_matches({c}, '[.,;:]$') THEN false
@@ -130,27 +128,27 @@ def heading_text(c: str) -> str:
 
 
 def level(c: str) -> str:
-    return rf"""CASE WHEN regexp_matches({c}, '{x.SUBNUMBERED}') THEN CASE WHEN length(regexp_replace(regexp_extract({c}, '^\s*(\d+(?:\.\d+)+)', 1), '[^.]', '', 'g')) >= 2 THEN 3 ELSE 2 END
-        WHEN regexp_matches({c}, '{x.NUMBERED}') THEN 1 WHEN regexp_matches({c}, '{x.LETTERED}') THEN 2 WHEN regexp_matches({c}, '{x.LOWER_LETTERED}') THEN 3 ELSE 1 END"""
+    return rf"""CASE WHEN regexp_matches({c}, '{expected.SUBNUMBERED}') THEN CASE WHEN length(regexp_replace(regexp_extract({c}, '^\s*(\d+(?:\.\d+)+)', 1), '[^.]', '', 'g')) >= 2 THEN 3 ELSE 2 END
+        WHEN regexp_matches({c}, '{expected.NUMBERED}') THEN 1 WHEN regexp_matches({c}, '{expected.LETTERED}') THEN 2 WHEN regexp_matches({c}, '{expected.LOWER_LETTERED}') THEN 3 ELSE 1 END"""
 
 
 def table_line(c: str) -> str:
     return strip(rf"regexp_replace(regexp_replace(translate(coalesce({c}, ''), chr(9), ' '), ' {{2,}}', ' ', 'g'), '\s+([,.;:])', '\1', 'g')")
 
 
-ROMAN = "|".join(x.ROMAN)
-MONEY, PERCENT, CAPACITY = x.MONEY, x.PERCENT, x.CAPACITY
+ROMAN = "|".join(expected.ROMAN)
+MONEY, PERCENT, CAPACITY = expected.MONEY, expected.PERCENT, expected.CAPACITY
 
 
 def table_like(c: str) -> str:
     low = f"lower({squeezed(c)})"
-    count = " + ".join(f"CAST(contains({low}, {literal(k)}) AS INTEGER)" for k in x.TABLE_KEYWORDS)
+    count = " + ".join(f"CAST(contains({low}, {literal(k)}) AS INTEGER)" for k in expected.TABLE_KEYWORDS)
     cost, share, size = (f"regexp_matches({c}, {literal(p)})" for p in (MONEY, PERCENT, CAPACITY))
     return rf"({c} <> '' AND (regexp_matches({c}, '[|\t]') OR regexp_matches({c}, '(?i)(^|\W)\(({ROMAN})\)') OR ({count}) >= 2 OR (({count}) >= 1 AND ({cost} OR {share} OR {size})) OR ({cost} AND {size})))"
 
 
-FACT = rf"regexp_matches({norm('question')}, {literal(router.FACT_PATTERN)}) OR " + " OR ".join(f"contains({norm('question')}, {literal(w)})" for w in router.FACT_KEYWORDS)
-FACT_PROMPT = " OR ".join(f"contains(lower(question), {literal(w)})" for w in router.PROMPT_KEYWORDS)
+FACT = rf"regexp_matches({norm('question')}, {literal(expected.FACT_PATTERN)}) OR " + " OR ".join(f"contains({norm('question')}, {literal(w)})" for w in expected.FACT_KEYWORDS)
+FACT_PROMPT = " OR ".join(f"contains(lower(question), {literal(w)})" for w in expected.PROMPT_KEYWORDS)
 
 
 def template(text: str, **values: str) -> str:
@@ -203,7 +201,7 @@ ORACLES = {
         SELECT activity_id, length(s) AS characters, len(w) AS words, CASE WHEN s = '' THEN 0 ELSE len(string_split(regexp_replace(s, '\n$', ''), chr(10))) END AS lines, meaningful,
             coalesce(confidence < 0.65, false) OR NOT meaningful OR len(issues) >= 3 AS warning, {listed('issues')} AS issues FROM c
     """,
-    "valid_documents": f"SELECT coalesce(length({strip('page_content')}) >= {q.MIN_DOCUMENT_CHARS}, false) AS valid, count(*) AS n FROM {CHUNKS} GROUP BY 1",
+    "valid_documents": f"SELECT coalesce(length({strip('page_content')}) >= {expected.MIN_DOCUMENT_CHARS}, false) AS valid, count(*) AS n FROM {CHUNKS} GROUP BY 1",
     "metadata_filter": f"SELECT chunk_id, document_id FROM {CHUNKS} WHERE document_type = 'circular' AND extraction_method = 'ocr' AND state IS NULL",
     "scope_filter": f"SELECT query_id, count(*) AS documents FROM {PAIRS} GROUP BY 1",
     "metadata_errors": "SELECT chunk_id, " + errors(
@@ -356,7 +354,7 @@ ORACLES = {
         WITH r AS (SELECT scheme_id AS query_id, document_name AS file_name, CAST(page_number AS VARCHAR) AS page, chunk_type AS content_type, row_number() OVER (PARTITION BY scheme_id ORDER BY chunk_id) AS position FROM {CHUNKS})
         SELECT query_id, position, file_name, page, content_type FROM r WHERE position <= 5 QUALIFY row_number() OVER (PARTITION BY query_id, file_name, page ORDER BY position) = 1
     """,
-    "prompts": f"SELECT query_id, {template(context.REWRITE_TEMPLATE, history=literal('User: hello'), question='question')} AS rewrite, {template(context.ANSWER_TEMPLATE, facts=f'CASE WHEN {FACT_PROMPT} THEN {literal(context.FACT_NOTE)} ELSE {literal('')} END', question='question', context=literal('none'))} AS answer FROM {QUESTIONS}",
+    "prompts": f"SELECT query_id, {template(expected.REWRITE_TEMPLATE, history=literal('User: hello'), question='question')} AS rewrite, {template(expected.ANSWER_TEMPLATE, facts=f'CASE WHEN {FACT_PROMPT} THEN {literal(expected.FACT_NOTE)} ELSE {literal('')} END', question='question', context=literal('none'))} AS answer FROM {QUESTIONS}",
     "memory_trim": f"SELECT session_id, seq, role, content FROM {MESSAGES} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 6",
     "history_format": f"""
         WITH r AS (SELECT * FROM {MESSAGES} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 6)
@@ -384,7 +382,7 @@ ORACLES["annex_text"] = f"""
     FROM a LEFT JOIN c USING (document, page_number, table_no)
 """
 ORACLES["roman_values"] = rf"""
-    SELECT activity_id, CAST(nullif(list_position([{", ".join(map(literal, x.ROMAN))}], lower(trim(regexp_replace(marker, '[()]', '', 'g')))), 0) AS INTEGER) AS value,
+    SELECT activity_id, CAST(nullif(list_position([{", ".join(map(literal, expected.ROMAN))}], lower(trim(regexp_replace(marker, '[()]', '', 'g')))), 0) AS INTEGER) AS value,
         coalesce({listed(rf"list_filter([{strip('e')} FOR e IN string_split(regexp_replace(text || ' (iv) and (v)' || text, '(^|[^\w])(\((?i:{ROMAN})\))', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda e: e <> '')")}, '') AS rows FROM {ACTIVITIES}
 """
 ORACLES["chosen_reading"] = rf"""
@@ -420,3 +418,192 @@ ORACLES["semantic_rows"] = f"""
         CASE WHEN length(s) > length(array_to_string([name] || m || p || c, ' ')) + 40 THEN 'OCR text: ' || s END], lambda x: x IS NOT NULL) AS parts FROM b)
     SELECT document, page_number, table_no, item_number, extracted_at, {activity_name('d')} AS activity, CASE WHEN s = '' THEN '' WHEN len(parts) = 0 THEN 'Original OCR: ' || s ELSE array_to_string(parts, ' | ') END AS row FROM e
 """
+
+
+def letter_vector(c: str) -> str:
+    groups = ("abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwxyz")
+    return "[" + ", ".join(f"length(regexp_replace(lower(coalesce({c}, '')), '[^{g}]', '', 'g'))" for g in groups) + "]"
+
+
+def squared(a: str, b: str) -> str:
+    return f"list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_transform(list_zip({a}, {b}), lambda z: [z[1], z[2]])])"
+
+
+ORACLES["hybrid_topk"] = ORACLES["hybrid_topk"].replace(f"array_to_string({tokens('text')}[1:12], ' ')", "text")  # questions are whole texts
+ORACLES["bm25_stored"] = ORACLES["bm25_topk"]
+ORACLES["bm25_documents"] = "WITH " + bm25("(SELECT doc_id AS query_id, text AS question FROM documents WHERE doc_id % 100 = 0)", 10) + " SELECT query_id, doc_id, score, rank FROM hits"
+ORACLES["get_parent"] = f"SELECT chunk_id, parent_id, document_id FROM {CHUNKS} WHERE parent_id = (SELECT max(parent_id) FROM scheme_chunks)"
+ORACLES["page_coverage"] = f"""
+    WITH t AS (SELECT document_id, max(page_number) AS pages FROM {CHUNKS} GROUP BY 1)
+    SELECT document_id, CAST(p AS INTEGER) AS page_number FROM (SELECT document_id, unnest(range(1, pages + 1)) AS p FROM t) e
+    WHERE NOT EXISTS (SELECT 1 FROM scheme_chunks c WHERE c.document_id = e.document_id AND c.page_number = e.p AND c.extraction_method = 'ocr')
+"""
+ORACLES["annex_chunks"] = rf"""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY document, page_number, table_no ORDER BY activity_number, activity_id) AS nth FROM aif_activities),
+    a AS (SELECT regexp_extract(document, '([^/\\]*)$', 1) AS file_name, page_number AS page, table_no, 'activity' AS content_type, {strip("'Eligible Activity' || chr(10) || coalesce(marker, '') || ' ' || coalesce(text, '')")} AS body FROM n
+        UNION ALL SELECT regexp_extract(document, '([^/\\]*)$', 1), page_number, table_no, 'cost_norm',
+            {strip("'Cost Norm' || chr(10) || 'Item ' || coalesce(CAST(item_number AS VARCHAR), '') || chr(10) || 'Description: ' || coalesce(description, '') || chr(10) || 'Cost Norm: ' || coalesce(cost, '')")} FROM aif_cost_rows)
+    SELECT file_name, page, table_no, content_type, body, count(*) AS n FROM a GROUP BY ALL HAVING count(*) <> 1
+"""
+ORACLES["chunk_checks"] = f"SELECT doc_id, true AS within, true AS parts, true AS complete, true AS numbered FROM documents WHERE {strip('''coalesce(text, '')''')} <> ''"
+ORACLES["child_checks"] = f"SELECT parent_id, true AS within, true AS parts, true AS complete, true AS numbered FROM ({ORACLES['parent_chunks']})"
+ORACLES["model_rerank"] = f"""{CANDIDATES},
+    w AS (SELECT query_id, doc_id, position, list_distinct({tokens('question')}) AS a, list_distinct({tokens('text')}) AS b FROM rows),
+    m AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS score FROM w)
+    SELECT query_id, doc_id, round(score, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, m.position) AS position FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, m.position) <= 5
+"""
+RETRIEVED = f"""
+    asked AS (SELECT d.*, r.file_name AS scheme_file FROM {DETECTED} d LEFT JOIN (SELECT scheme_key, any_value(file_name) AS file_name FROM scheme_registry GROUP BY 1) r USING (scheme_key)),
+    several AS (SELECT query_id, CASE WHEN {FACT} THEN ([question] || CASE WHEN scheme_name IS NOT NULL THEN [scheme_name || ' total number amount percentage beneficiaries insured coverage'] ELSE [] END) ELSE [question] END AS v FROM asked),
+    single AS (SELECT query_id, unnest(v) AS q, generate_subscripts(v, 1) AS branch FROM several),
+    texts AS (SELECT doc_id, {letter_vector('text')} AS e FROM documents),
+    near AS (SELECT query_id, branch, doc_id, {squared('e', letter_vector('q'))} AS distance FROM single, texts),
+    cut AS (SELECT query_id, branch, doc_id, row_number() OVER (PARTITION BY query_id, branch ORDER BY distance, doc_id) AS rank FROM near QUALIFY rank <= 20),
+    placed AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY branch, rank) AS position FROM cut),
+    firsts AS (SELECT p.query_id, p.doc_id, p.position, d.text, d.source, d.scheme_key AS file_name, d.genre FROM placed p JOIN documents d USING (doc_id)
+        QUALIFY row_number() OVER (PARTITION BY p.query_id, coalesce(d.scheme_key, ''), {norm('d.text')} ORDER BY p.position) = 1),
+    matched AS (SELECT f.*, a.question, coalesce({norm('a.scheme_file')} <> '' AND (contains({norm('f.file_name')}, {norm('a.scheme_file')}) OR contains({norm('f.source')}, {norm('a.scheme_file')})), false) AS scheme_match FROM firsts f JOIN asked a USING (query_id)),
+    retrieved AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY scheme_match DESC, position) AS position) FROM matched)
+"""
+ORACLES["retrieved_by_vectors"] = f"WITH {RETRIEVED} SELECT query_id, doc_id, scheme_match, position FROM retrieved"
+ORACLES["ask_by_vectors"] = f"""
+    WITH {RETRIEVED},
+    scored AS (SELECT *, len(list_intersect(list_distinct({tokens('question')}), {tokens('text')})) / len(list_distinct({tokens('question')})) AS score FROM retrieved),
+    best AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS position) FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scored.position) <= 5),
+    boosts AS (SELECT *, CASE WHEN {FACT} THEN round(score + round(CASE WHEN scheme_match THEN 0.2 ELSE 0 END + CASE WHEN len([w FOR w IN [{PERCENT_TERMS}] IF contains({norm('text')}, w)]) > 0 THEN 0.05 ELSE 0 END, 6), 6) END AS effective FROM best),
+    ordered AS (SELECT *, CASE WHEN effective IS NULL THEN position ELSE row_number() OVER (PARTITION BY query_id ORDER BY coalesce(effective, 0) DESC, position) END AS place FROM boosts),
+    kept AS (SELECT * FROM ordered WHERE coalesce(effective, score) >= 0.1 AND length({strip('''coalesce(text, '')''')}) >= 20),
+    controlled AS (SELECT query_id, doc_id, place FROM kept QUALIFY row_number() OVER (PARTITION BY query_id, {norm('text')} ORDER BY place) = 1),
+    listed AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ; ' ORDER BY place) AS documents FROM controlled GROUP BY 1)
+    SELECT query_id, question, scheme_key AS scheme, documents FROM asked LEFT JOIN listed USING (query_id)
+"""
+ANNEX = f"""(
+    SELECT DISTINCT content_type, source, page, activity_number, item_number, page_content FROM (
+        SELECT 'activity' AS content_type, file_name AS source, page, activity_number, CAST(NULL AS INTEGER) AS item_number, page_content FROM ({ORACLES['activity_documents']})
+        UNION ALL SELECT 'cost_norm', file_name, page, NULL, item_number, page_content FROM ({ORACLES['cost_documents']})))"""
+
+
+def by_field(field: str, value: str) -> str:
+    return f"""
+        WITH r AS (SELECT *, {letter_vector('page_content')} AS e FROM {ANNEX}), q AS (SELECT query_id, {letter_vector('question')} AS v FROM {NAME_QUERIES}),
+        n AS (SELECT query_id, r.*, {squared('e', 'v')} AS distance FROM q, r),
+        c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, concat_ws('|', content_type, source, page, activity_number, item_number, page_content)) AS rank FROM n)
+        SELECT query_id, {field}, count(*) AS n, CAST(min(distance) AS BIGINT) AS nearest FROM c WHERE rank <= 200 AND {field} = {value} GROUP BY 1, 2
+    """
+
+
+for _field, _value in {
+    "content_type": "'activity'", "source": f"(SELECT source FROM {ANNEX} GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 1)", "page": f"(SELECT min(page) FROM {ANNEX})", "activity_number": "3", "item_number": "2",
+}.items():
+    ORACLES[f"retrieve_by_{_field}"] = by_field(_field, _value)
+ORACLES["expected_activities"] = rf"""
+    WITH r AS (SELECT DISTINCT document || '|' || page_number || '|' || table_no AS g, lower({squeezed('text')}) AS c FROM aif_activities),
+    e AS (SELECT document || '|' || page_number || '|' || table_no AS g, activity_id AS ord, lower(coalesce(text, '')) AS e FROM {ACTIVITIES}),
+    p AS (SELECT g, ord, c, CASE WHEN contains(e, c) OR contains(c, e) THEN 0.95 WHEN len(list_distinct(regexp_extract_all(e, '[a-z]+'))) > 0
+        THEN len(list_intersect(list_distinct(regexp_extract_all(e, '[a-z]+')), regexp_extract_all(c, '[a-z]+'))) / len(list_distinct(regexp_extract_all(e, '[a-z]+'))) ELSE 0.0 END AS score FROM r JOIN e USING (g) WHERE c <> '')
+    SELECT g, ord, round(max(score), 6) AS score FROM p GROUP BY 1, 2
+"""
+ORACLES["documents_stored"] = f"SELECT chunk_id, coalesce(page_content, '') AS page_content, document_id, page_number, subsection, image_count FROM {CHUNKS}"
+ORACLES["dumps_stored"] = f"SELECT chunk_id, parent_id, coalesce(page_content, '') AS page_content, chunk_index FROM {CHUNKS} WHERE chunk_type = 'child'"
+ORACLES["pages_stored"] = f"""
+    SELECT document_id, page_number, max(extraction_method) AS extraction_method, md5(regexp_replace(coalesce(string_agg(page_content, chr(10) ORDER BY page_content), ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS text
+    FROM {CHUNKS} WHERE chunk_type = 'parent' GROUP BY 1, 2
+"""
+ORACLES["tables_stored"] = f"""
+    WITH a AS (SELECT document, page_number, count(*) AS activities, string_agg(coalesce(text, ''), ' ; ' ORDER BY table_no, activity_number, activity_id) AS texts FROM {ACTIVITIES} GROUP BY 1, 2),
+    c AS (SELECT document, page_number, count(*) AS costs, string_agg(coalesce(cost, ''), ' ; ' ORDER BY table_no, item_number, extracted_at) AS "values" FROM aif_cost_rows GROUP BY 1, 2)
+    SELECT document, page_number, coalesce(activities, 0) AS activities, coalesce(costs, 0) AS costs, texts, "values" FROM a FULL JOIN c USING (document, page_number)
+"""
+ORACLES["metadata_joined"] = f"""
+    WITH m AS (SELECT document_id, document_name, language FROM scheme_metadata QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY loaded_at DESC) = 1)
+    SELECT stem, document_name FROM (SELECT DISTINCT document_id AS stem FROM scheme_chunks) LEFT JOIN (SELECT * FROM m WHERE lower(trim(language)) = 'english') ON document_id = stem
+"""
+ORACLES["vectors_stored"] = f"SELECT doc_id, CAST(list_sum({letter_vector('text')}) AS BIGINT) AS letters, CAST({letter_vector('text')}[1] AS BIGINT) AS first FROM documents"
+ORACLES["files_discovered"] = "SELECT scheme_key, sum(strlen(text) + 1) AS bytes FROM documents WHERE scheme_key IS NOT NULL AND text IS NOT NULL GROUP BY 1"
+PAGES_READ = f"""
+    parts AS (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda e: trim(e, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS p FROM documents WHERE text <> ''),
+    numbered AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS n FROM parts),
+    clean AS (SELECT format('files/{{}}.pdf', doc_id) AS path, CAST(n AS INTEGER) AS page_number, {cleaned('p')} AS s, length(p) AS size, n % 3 = 0 AS blank FROM numbered),
+    counted AS (SELECT *, len(list_filter(regexp_extract_all(s, '{WORD}+'), lambda e: regexp_matches(e, '^[A-Za-z0-9]+$'))) AS w FROM clean),
+    judged AS (SELECT *, NOT blank AND length(s) >= 80 AND w >= 15 AS native, CASE WHEN size % 2 = 0 THEN 0.9 ELSE 0.6 END AS sure FROM counted),
+    read AS (SELECT *, NOT native AND (sure < 0.65 OR length(s) < 80) AS retried, CASE WHEN native THEN 1.0 WHEN sure < 0.65 THEN 0.7 ELSE sure END AS confidence FROM judged)
+"""
+ORACLES["extracted_pages"] = f"""
+    WITH {PAGES_READ}
+    SELECT path, page_number, CASE WHEN s = '' THEN 'empty' WHEN confidence < 0.65 THEN 'low' ELSE 'successful' END AS status, retried,
+        CASE WHEN s = '' THEN NULL WHEN native THEN 'pymupdf_text' WHEN sure < 0.65 THEN 'tesseract_ocr_retry' ELSE 'tesseract_ocr' END AS extraction_method, CASE WHEN s <> '' THEN confidence END AS confidence FROM read
+"""
+ORACLES["extracted_lists"] = f"""
+    WITH {PAGES_READ}
+    SELECT path, coalesce(string_agg(page_number, ' ' ORDER BY page_number) FILTER (s <> '' AND confidence < 0.65), '') AS low, coalesce(string_agg(page_number, ' ' ORDER BY page_number) FILTER (s = ''), '') AS empty,
+        coalesce(string_agg(page_number, ' ' ORDER BY page_number) FILTER (retried), '') AS retried, '' AS missing FROM read GROUP BY 1
+"""
+ORACLES["ingested_parents"] = f"SELECT * FROM ({ORACLES['parent_chunks']}) WHERE document_id % 2 = 0"
+ORACLES["image_variants"] = """
+    WITH p AS (SELECT s_suppkey, length(s_name) AS w, [ord(c) FOR c IN string_split(s_name, '')] AS a FROM supplier),
+    s AS (SELECT *, list_min(a) AS lo, list_max(a) AS hi FROM p),
+    t AS (SELECT *, [CAST(round_even((x - lo) * 255.0 / (hi - lo), 0) AS INTEGER) FOR x IN a] AS b FROM s),
+    e AS (SELECT *, [CASE WHEN i = 1 OR i = w THEN b[i] ELSE CAST(least(255, greatest(0, round_even((28 * b[i] - 6 * b[i - 1] - 6 * b[i + 1]) / 16.0, 0))) AS INTEGER) END FOR i IN range(1, w + 1)] AS c FROM t)
+    SELECT s_suppkey, 3 * list_sum(a) AS original, 3 * list_sum(a) AS grayscale, 2 * list_sum(b) + list_sum(c) AS enhanced,
+        255 * (2 * len([x FOR x IN b IF x > 170]) + len([x FOR x IN c IF x > 170])) AS threshold FROM e
+"""
+
+
+def compatible(c: str) -> str:
+    """NFKC for what Latin text holds of it: composition, full-width forms, styled letters and digits, ligatures, raised digits, fractions, spaces."""
+    out = f"nfc_normalize(coalesce({c}, ''))"
+    wide = "(SELECT string_agg(chr(CAST(65281 + i AS INTEGER)), '' ORDER BY i) FROM range(94) t(i))", "(SELECT string_agg(chr(CAST(33 + i AS INTEGER)), '' ORDER BY i) FROM range(94) t(i))"
+    styled = "(SELECT string_agg(chr(CAST(119808 + i AS INTEGER)), '' ORDER BY i) FROM range(676) t(i))", "(SELECT string_agg(chr(CAST(CASE WHEN i % 52 < 26 THEN 65 + i % 52 ELSE 71 + i % 52 END AS INTEGER)), '' ORDER BY i) FROM range(676) t(i))"
+    digits = "(SELECT string_agg(chr(CAST(120782 + i AS INTEGER)), '' ORDER BY i) FROM range(50) t(i))", "(SELECT string_agg(chr(CAST(48 + i % 10 AS INTEGER)), '' ORDER BY i) FROM range(50) t(i))"
+    for a, b in (wide, styled, digits, (literal("²³¹⁰⁴⁵⁶⁷⁸⁹"), literal("2310456789")), (literal("              　"), literal(" " * 15))):
+        out = f"translate({out}, {a}, {b})"
+    for a, b in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "…": "...", "№": "No", "­": ""}.items():
+        out = f"replace({out}, {literal(a)}, {literal(b)})"
+    return f"translate({out}, {literal('‘’‚‛“”„‟–—−•')}, {literal(chr(39) * 4 + chr(34) * 4 + '----')})"
+
+
+def spaced(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(translate({c}, chr(9), ' '), ' {{2,}}', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n +', chr(10), 'g')".replace("{{2,}}", "{2,}")
+
+
+ORACLES["page_cleaned"] = rf"""
+    WITH a AS (SELECT chunk_id, regexp_replace({compatible('page_content')}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{{Cf}}\p{{Co}}]', ' ', 'g') AS s FROM {CHUNKS}),
+    b AS (SELECT chunk_id, {spaced('s')} AS s FROM a), c AS (SELECT chunk_id, regexp_replace(s, '([A-Za-z])-\n([A-Za-z])', '\1\2', 'g') AS s FROM b), d AS (SELECT chunk_id, {spaced('s')} AS s FROM c),
+    l AS (SELECT chunk_id, {strip('unnest(string_split(s, chr(10)))')} AS line, generate_subscripts(string_split(s, chr(10)), 1) AS pos FROM d),
+    p AS (SELECT *, lag(line, 1, '') OVER (PARTITION BY chunk_id ORDER BY pos) AS before FROM l),
+    g AS (SELECT *, line <> '' AND before <> '' AND NOT regexp_matches(line, '^(?:\p{{Nd}}+(?:\.\p{{Nd}}+)*[.)]?\s+|[A-Z][A-Z\s&/\-]{{3,}})')
+        AND (regexp_matches(line, '^[a-z]') OR NOT (regexp_matches(line, '^(?:[-*•]|\(?\p{{Nd}}+[.)]|\(?[a-zA-Z][.)])\s+') OR regexp_matches(before, '[.!?:;]$'))) AS goes_on FROM p),
+    n AS (SELECT *, sum(CAST(NOT goes_on AS INTEGER)) OVER (PARTITION BY chunk_id ORDER BY pos) AS grp FROM g),
+    j AS (SELECT chunk_id, grp, string_agg(line, ' ' ORDER BY pos) AS line FROM n GROUP BY 1, 2),
+    u AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY grp) AS s FROM j GROUP BY 1),
+    e AS (SELECT chunk_id, regexp_replace(regexp_replace(s, '\s+([,.;:!?])', '\1', 'g'), '([,;:])([A-Za-z])', '\1 \2', 'g') AS s FROM u),
+    f AS (SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(s, '\.{{4,}}', '...', 'g'), '!{{2,}}', '!', 'g'), '\?{{2,}}', '?', 'g') AS s FROM e)
+    SELECT chunk_id, {strip(r"regexp_replace(s, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')")} AS cleaned FROM f
+"""
+ORACLES["page_tables"] = rf"""
+    WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, pos, {table_line('r')} AS line FROM raw), m AS (SELECT *, {table_like('line')} AS tabular FROM l),
+    n AS (SELECT *, sum(CAST(NOT tabular AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM m),
+    o AS (SELECT doc_id, island, list(line ORDER BY pos) AS lines FROM n WHERE tabular GROUP BY 1, 2 HAVING count(*) >= 2),
+    t AS (SELECT doc_id, lines, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS table_number FROM o),
+    each AS (SELECT doc_id, table_number, unnest(lines) AS line, generate_subscripts(lines, 1) AS li FROM t),
+    split AS (SELECT *, list_filter([{squeezed('e')} FOR e IN string_split(regexp_replace({squeezed('line')}, '(^|[^\w])(\((?i:{ROMAN})\))', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda e: e <> '') AS v FROM each),
+    parts AS (SELECT doc_id, table_number, li, unnest(v) AS s, generate_subscripts(v, 1) AS pi FROM split),
+    b AS (SELECT *, {activity_name('s')} AS name, {values('s', MONEY)} AS m, {values('s', PERCENT)} AS p, {values('s', CAPACITY)} AS c FROM parts),
+    e AS (SELECT *, list_filter([CASE WHEN name <> '' THEN 'Activity: ' || name END, CASE WHEN len(m) > 0 THEN 'Cost/Financial values: ' || array_to_string(m, ', ') END,
+        CASE WHEN len(p) > 0 THEN 'Percentages: ' || array_to_string(p, ', ') END, CASE WHEN len(c) > 0 THEN 'Capacity: ' || array_to_string(c, ', ') END,
+        CASE WHEN length(s) > length(array_to_string([name] || m || p || c, ' ')) + 40 THEN 'OCR text: ' || s END], lambda x: x IS NOT NULL) AS labels FROM b),
+    made AS (SELECT doc_id, table_number, list(CASE WHEN len(labels) = 0 THEN 'Original OCR: ' || s ELSE array_to_string(labels, ' | ') END ORDER BY li, pi) AS rows FROM e GROUP BY 1, 2),
+    counted AS (SELECT t.*, coalesce(rows, []) AS rows, list_sum([len(regexp_extract_all(x, '(?i)(?:^|\W)\((?:{ROMAN})\)')) FOR x IN lines]) AS k,
+        list_sum([len({values('x', MONEY)}) FOR x IN lines]) AS money, list_sum([len({values('x', PERCENT)}) FOR x IN lines]) AS share, list_sum([len({values('x', CAPACITY)}) FOR x IN lines]) AS size FROM t LEFT JOIN made USING (doc_id, table_number)),
+    scored AS (SELECT *, round(least(1.0, 0.2 + CASE WHEN len(rows) > 0 THEN 0.2 ELSE 0 END + CASE WHEN k >= 2 THEN 0.2 ELSE 0 END + CASE WHEN money >= 1 THEN 0.15 ELSE 0 END + CASE WHEN share >= 1 THEN 0.1 ELSE 0 END
+        + CASE WHEN size >= 1 THEN 0.1 ELSE 0 END + CASE WHEN len([x FOR x IN lines IF regexp_matches(x, '[|\t]')]) > 0 THEN 0.05 ELSE 0 END), 2) AS confidence, 'page_1_table_' || table_number AS table_id FROM counted)
+    SELECT doc_id, table_id, array_to_string(rows, ' ; ') AS rows, CAST(confidence AS DOUBLE) AS confidence,
+        array_to_string(list_filter([CASE WHEN len(rows) = 0 THEN 'No semantic rows could be reconstructed.' END, CASE WHEN k >= 2 THEN 'Detected ' || k || ' numbered table-row markers.' END, CASE WHEN money >= 1 THEN 'Detected ' || money || ' financial value(s).' END,
+            CASE WHEN share >= 1 THEN 'Detected ' || share || ' percentage value(s).' END, CASE WHEN size >= 1 THEN 'Detected ' || size || ' capacity value(s).' END,
+            CASE WHEN len([x FOR x IN lines IF length(x) > 300]) > 0 THEN 'One or more OCR lines are very long. Possible multi-column OCR interleaving detected.' END,
+            CASE WHEN confidence < 0.6 THEN 'Low normalization confidence. Do not rely on reconstructed column relationships without validation.' WHEN confidence < 0.8 THEN 'Medium normalization confidence. Review reconstructed rows before production ingestion.' ELSE 'High heuristic confidence.' END],
+            lambda e: e IS NOT NULL), ' ; ') AS notes,
+        'Table: ' || table_id || chr(10) || 'Page: 1' || chr(10) || CASE WHEN len(rows) > 0 THEN 'Rows:' || chr(10) || array_to_string([('Row ' || i || ': ' || rows[i]) FOR i IN range(1, len(rows) + 1)], chr(10)) ELSE 'Original OCR:' || chr(10) || array_to_string(lines, chr(10)) END AS rag_text
+    FROM scored
+"""

@@ -8,7 +8,8 @@ embedder as one of a column of texts, the language model as a function of prompt
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import quality as q
 from granary.functions import text as t
-from granary.operators import context, fusion, lexical, rerank, router, vector
+from granary.operators import context, fusion, lexical, memory, rerank, router, vector
 from granary.runtime import stored
 
 Model = Callable[[list[str]], list[str]]
@@ -29,6 +30,8 @@ NO_ANSWER = "The available documents don't allow a reliable answer."
 
 @dataclass
 class Settings:
+    """How a question is answered. from_environment() reads the numbers of results from TOP_K_DENSE and TOP_K_RERANK."""
+
     retrieved: int = 20
     variants: int = 3
     reranked: int = 5
@@ -37,17 +40,33 @@ class Settings:
     scorer: rerank.Scorer = rerank.overlap
     extra_variants: dict[str, tuple[str, str]] = field(default_factory=dict)
 
+    @classmethod
+    def from_environment(cls, environ: Mapping[str, str] = os.environ, **other: object) -> Settings:
+        names = {"retrieved": "TOP_K_DENSE", "reranked": "TOP_K_RERANK"}
+        return cls(**{k: int(environ[n]) for k, n in names.items() if environ.get(n)}, **other)
+
+
+def single(model: Model, prompt: str) -> str | None:
+    try:
+        return list(model([prompt]))[0]
+    except Exception:  # noqa: BLE001 - the question goes on without this reply
+        return None
+
 
 def called(df: DataFrame, model: Model, prompt: str, out: str) -> DataFrame:
-    """df with the model's replies to a column of prompts, a batch at a time; a reply that fails is null."""
+    """df with the model's replies to a column of prompts, a batch at a time. A batch that fails is asked again row by row; a reply that fails is null."""
     schema = df.withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            asked = b[prompt].tolist()
             try:
-                b[out] = model(b[prompt].tolist())
-            except Exception:  # noqa: BLE001 - whatever the model raises, the question goes on without it
-                b[out] = None
+                replies = list(model(asked))
+                if len(replies) != len(asked):
+                    raise ValueError("a reply for each prompt")
+            except Exception:  # noqa: BLE001 - whatever the model raises is about some prompt of the batch
+                replies = [single(model, p) for p in asked]
+            b[out] = pd.Series(replies, index=b.index, dtype="object")
             yield b
 
     return df.mapInPandas(run, schema)
@@ -95,7 +114,9 @@ def selected(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def ask(questions: DataFrame, documents: DataFrame, registry: DataFrame, model: Model | None = None, settings: Settings | None = None, index: lexical.Index | None = None, vectors: DataFrame | None = None, embed: Embed | None = None) -> DataFrame:
-    """(query_id, question, standalone_question, answer, context, sources) of each question.
+    """(query_id, question, standalone_question, answer, context, sources, scheme, documents) of each question.
+
+    scheme: the scheme that was found, or null. documents: the ids and scores of what the answer may use, in order.
 
     questions: query_id, question and perhaps history. documents: doc, page_content,
     file_name, source, page, content_type. Without a model the answer is the context's
@@ -111,7 +132,7 @@ def ask(questions: DataFrame, documents: DataFrame, registry: DataFrame, model:
     rows = selected(retrieved(questions.where("standalone_question <> ''"), documents, index, registry, s, vectors, embed), s)
     cited = rows.select("query_id", F.struct(
         "position", context.formatted(rows.columns, F.col("position")).alias("block"), context.chain(rows.columns, context.FILE_NAMES).alias("file_name"),
-        context.chain(rows.columns, context.PAGES).alias("page"), context.chain(rows.columns, context.TYPES).alias("content_type"), "rerank_score",
+        context.chain(rows.columns, context.PAGES).alias("page"), context.chain(rows.columns, context.TYPES).alias("content_type"), "rerank_score", "doc",
     ).alias("item"))
     # One group holds the few documents of one answer.
     items = cited.groupBy("query_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
@@ -119,9 +140,12 @@ def ask(questions: DataFrame, documents: DataFrame, registry: DataFrame, model:
     again = lambda x: F.exists("items", lambda y: (y["position"] < x["position"]) & (y["file_name"] == x["file_name"]) & (y["page"] == x["page"]))
     items = items.select(
         "query_id", F.size("items").alias("documents"), F.concat(F.lit("\n\n"), F.array_join(F.transform(most, lambda x: x["block"]), "\n\n")).alias("context"),
-        F.transform(F.filter(F.slice("items", 1, context.MAX_SOURCES), lambda x: ~again(x)), lambda x: x.dropFields("position", "block")).alias("sources"),
+        F.transform(F.filter(F.slice("items", 1, context.MAX_SOURCES), lambda x: ~again(x)), lambda x: x.dropFields("position", "block", "doc")).alias("sources"),
+        F.transform("items", lambda x: F.struct(x["doc"].alias("doc"), x["rerank_score"].alias("rerank_score"))).alias("found"),
     )
-    out = questions.join(items, "query_id", "left")
+    schemes = router.detected(questions.select("query_id", F.col("standalone_question").alias("question")), registry)
+    schemes = schemes.select("query_id", F.when(F.col("scheme_key").isNotNull(), F.struct(F.col("scheme_key").alias("key"), F.col("scheme_name").alias("name"), "file_name", "matched_alias")).alias("scheme"))
+    out = questions.join(items, "query_id", "left").join(schemes, "query_id", "left")
     enough = F.coalesce("documents", F.lit(0)) >= s.least_documents
     out = out.withColumn("prompt", F.when(enough, context.answer_prompt(F.col("question"), F.col("context"))))
     if model is None:
@@ -130,14 +154,20 @@ def ask(questions: DataFrame, documents: DataFrame, registry: DataFrame, model:
         out = called(out.where("prompt is not null"), model, "prompt", "reply").unionByName(out.where("prompt is null").withColumn("reply", F.lit(None).cast("string")))
     reply = F.coalesce(F.nullif(t.strip(F.col("reply")), F.lit("")), F.lit(NO_ANSWER))
     answer = F.when(F.col("question") == "", NO_QUESTION).when(F.col("prompt").isNull(), NOT_FOUND).otherwise(reply)
-    return out.select("query_id", "question", "standalone_question", answer.alias("answer"), "context", "sources")
+    return out.select("query_id", "question", "standalone_question", answer.alias("answer"), "context", "sources", "scheme", F.col("found").alias("documents"))
+
+
+def remembered(messages: DataFrame, answers: DataFrame, sessions: DataFrame, turns: int = memory.MAX_TURNS) -> DataFrame:
+    """messages after each answered question was saved as a turn of its session. sessions: query_id, session_id. Empty questions are not saved."""
+    kept = answers.where("question <> ''").join(sessions.select("query_id", "session_id"), "query_id")
+    return memory.with_turn(messages, kept.select("session_id", "question", "answer"), turns)
 
 
-def hybrid(queries: DataFrame, index: lexical.Index, vectors: DataFrame, asked: DataFrame, k: int = 30, top: int = fusion.TOP, allowed: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, index: lexical.Index, vectors: DataFrame, asked: DataFrame, k: int = 30, top: int = fusion.TOP, allowed: lexical.Scope | None = None) -> DataFrame:
     """(query_id, doc, score, rank): lexical and vector results fused. The state filter comes before the cut of the lexical list and after that of the vectors."""
     dense = vector.nearest(vectors, asked, k).select("query_id", F.col("vec_id").alias("doc"), "rank")
     words = lexical.search(index, queries, k, allowed=allowed).select("query_id", "doc", "rank")
     if allowed is not None:
-        dense = dense.join(allowed, ["query_id", "doc"], "left_semi")
+        dense = allowed.kept(dense, "query_id")
         dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     return fusion.reciprocal_rank([dense, words], top, key="doc")

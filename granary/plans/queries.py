@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import extract as x
 from granary.functions import quality as q
 from granary.functions import text as t
-from granary.operators import chunking, context, diagnostics, documents, fusion, lexical, memory, ocr, rerank, router, sections, tables, vector
-from granary.plans import pipeline
+from granary.operators import chunking, context, diagnostics, documents, fusion, images, lexical, memory, ocr, rerank, router, sections, tables, vector
+from granary.plans import ingestion, pipeline
 from granary.plans.oracle import ORACLES
-from granary.runtime import shared_dir, ship, stored, table
+from granary.runtime import fingerprint, shared_dir, ship, stored, table
 from granary.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +69,28 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.lit(1).alias("page_number"), "text")
 
 
+_indexes: dict[tuple[str, str], lexical.Index] = {}
+
+
 def index(spark: SparkSession, d: str) -> lexical.Index:
-    return lexical.index(docs(spark, d), "doc_id", "text", stored)
+    """The stored index of the documents: made once in a session, and anew when their files change."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{d}/documents.parquet"))
+    if key not in _indexes:
+        _indexes[key] = lexical.index(docs(spark, d), "doc_id", "text", stored)
+    return _indexes[key]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
+
+
+LETTERS = ("abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwxyz")
+
+
+def letter_vector(c: F.Column) -> F.Column:
+    """A stand-in for an embedder: how often each group of letters occurs."""
+    return F.array(*(F.length(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^{g}]", "")).cast("double") for g in LETTERS))
 
 
 # Text
@@ -167,8 +189,7 @@ def metadata_filter(spark, d):
 def scope_filter(spark, d):
     rows = table(spark, d, "scheme_metadata").select(F.concat_ws("@", "document_id", F.col("loaded_at").cast("string")).alias("doc"), "document_id", "applicable_scope", F.col("state").alias("own_state"))
     asked = table(spark, d, "scheme_metadata").select("state").where("state is not null").distinct().withColumn("query_id", F.lower("state"))
-    pairs = lexical.scoped(asked, rows)
-    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
+    return lexical.Scope(rows, asked).counts()
 
 
 @query
@@ -287,10 +308,36 @@ def chunk_errors(spark, d):
 
 @query
 def annex_chunks(spark, d):
-    """Atomic documents stay whole: those that don't have exactly one chunk."""
-    made = documents.documents(activities(spark, d), table(spark, d, "aif_cost_rows").dropDuplicates(["document", "page_number", "table_no", "item_number"]))
-    rows = chunking.chunks(made.select("file_name", "page", "table_no", "content_type", "page_content").distinct())
-    return chunking.unmatched(made.select("file_name", "page", "table_no", "content_type", "page_content").distinct(), rows, ["file_name", "page", "table_no", "content_type"])
+    """Atomic documents stay whole: readings of activities whose text is that of more than one chunk, as it was read again."""
+    made = documents.documents(table(spark, d, "aif_activities"), table(spark, d, "aif_cost_rows"))
+    keys = ["file_name", "page", "table_no", "content_type"]
+    return chunking.unmatched(made.select(*keys, "page_content").distinct(), chunking.chunks(made.select(*keys, "page_content")), keys)
+
+
+@query
+def chunk_checks(spark, d):
+    """Whether the chunks of each document keep the limit, are parts of its text in order, and hold all its words."""
+    rows = docs(spark, d).select("doc_id", F.lit("paragraph").alias("content_type"), F.col("text").alias("page_content"))
+    made = chunking.chunks(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "page_content"))).alias("c"), F.max(F.length("page_content")).alias("longest"), F.max("total_chunks").alias("total"))
+    return checked(rows, made, "doc_id", chunking.WHOLE)
+
+
+@query
+def child_checks(spark, d):
+    """The same of the children of each parent."""
+    parents = sections.parents(pages(spark, d).withColumnRenamed("doc_id", "document_id"))
+    made = chunking.children(parents).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "page_content"))).alias("c"), F.max(F.length("page_content")).alias("longest"), F.count(F.lit(1)).alias("total"))
+    return checked(parents, made, "parent_id", chunking.CHILD_SIZE)
+
+
+def checked(whole: DataFrame, made: DataFrame, key: str, limit: int) -> DataFrame:
+    tokens = lambda c: F.array_distinct(t.tokens(c))  # noqa: E731 - a cut may part a word and the sign behind it
+    held = F.array_join(F.transform("c", lambda x: x["page_content"]), " ")
+    rows = whole.select(key, "page_content").join(made, key)
+    return rows.select(
+        key, (F.col("longest") <= limit).alias("within"), F.forall("c", lambda x: F.contains(t.strip(F.col("page_content")), x["page_content"])).alias("parts"),
+        (F.size(F.array_except(tokens(F.col("page_content")), tokens(held))) == 0).alias("complete"), (F.size("c") == F.col("total")).alias("numbered"),
+    )
 
 
 @query
@@ -331,7 +378,10 @@ def full_text(spark, d):
 
 @query
 def page_coverage(spark, d):
-    return diagnostics.missing_pages(chunks(spark, d), "document_id", "page_number")
+    """Pages of each document that have no chunk read by OCR."""
+    rows = chunks(spark, d)
+    totals = rows.groupBy("document_id").agg(F.max("page_number").alias("pages"))
+    return diagnostics.missing_pages(rows.where("extraction_method = 'ocr'"), "document_id", "page_number", totals)
 
 
 @query
@@ -378,12 +428,20 @@ def bm25_topk(spark, d):
     return hits.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def bm25_documents(spark, d):
+    """The best documents for the whole text of every hundredth one."""
+    texts = docs(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    hits = lexical.search(index(spark, d), texts, K)
+    return hits.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def bm25_topk_language(spark, d):
     """The same among documents that a filter lets through before the cut: those of the query's language, or countrywide ones."""
     asked = name_queries(spark, d).withColumn("state", F.when(F.length("question") % 2 == 0, "hi").otherwise("en"))
     scope = docs(spark, d).select(F.col("doc_id").alias("doc"), F.when(F.col("genre") == "note", "India").otherwise("State").alias("applicable_scope"), F.col("lang").alias("own_state"))
-    hits = lexical.search(index(spark, d), asked, K, allowed=lexical.scoped(asked, scope))
+    hits = lexical.search(index(spark, d), asked, K, allowed=lexical.Scope(scope, asked))
     return hits.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -430,8 +488,10 @@ def parent_expand(spark, d):
 
 @query
 def get_parent(spark, d):
-    wanted = table(spark, d, "scheme_metadata").agg(F.max("document_id")).first()[0]
-    return spark.read.parquet(f"{d}/scheme_chunks.parquet").where(F.col("document_id") == wanted).select("chunk_id", "document_id").distinct()
+    """The chunks of the parent with the largest id."""
+    path = f"{d}/scheme_chunks.parquet"
+    wanted = spark.read.parquet(path).agg(F.max("parent_id")).first()[0]
+    return fusion.parent_of(spark.read.parquet(path), wanted).select("chunk_id", "parent_id", "document_id").distinct()
 
 
 @query
@@ -557,6 +617,199 @@ def ask(spark, d):
     return out.select("query_id", "question", F.size("sources").alias("sources"), "answer")
 
 
+@query
+def model_rerank(spark, d):
+    """Reranking by a model that scores pairs a batch at a time; here the shared share of two sets of words stands in for it."""
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        sets = [tuple(set(re.findall("[a-z0-9]+", x.lower())) for x in p) for p in pairs]
+        return [len(a & b) / len(a | b) if a | b else 0.0 for a, b in sets]
+
+    rows = rerank.reranked(hits(spark, d), rerank.modelled(score))
+    return rows.select("query_id", F.col("doc").alias("doc_id"), F.round("rerank_score", 6).alias("rerank_score"), F.col("position").cast("bigint").alias("position"))
+
+
+@query
+def retrieved_by_vectors(spark, d):
+    """The retrieval stage of a question: base and variant results by vectors, first of each duplicate, the scheme's documents first."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("doc"), F.col("text").alias("page_content"), "source", F.col("scheme_key").alias("file_name"), F.lit(1).alias("page"))
+    asked = questions(spark, d).withColumn("standalone_question", F.col("question"))
+    vectors = rows.select("doc", letter_vector(F.col("page_content")).alias("embedding"))
+    found = pipeline.retrieved(asked, rows, None, table(spark, d, "scheme_registry"), pipeline.Settings(), vectors, letter_vector)
+    return found.select("query_id", F.col("doc").alias("doc_id"), "scheme_match", F.col("position").cast("bigint").alias("position"))
+
+
+@query
+def ask_by_vectors(spark, d):
+    """Questions answered from what vectors retrieve: the scheme, and the documents that the answer may use."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("doc"), F.col("text").alias("page_content"), "source", F.col("scheme_key").alias("file_name"), F.lit(1).alias("page"), F.col("genre").alias("content_type"))
+    vectors = rows.select("doc", letter_vector(F.col("page_content")).alias("embedding"))
+    out = pipeline.ask(questions(spark, d), rows, table(spark, d, "scheme_registry"), vectors=vectors, embed=letter_vector)
+    return out.select("query_id", "question", F.col("scheme.key").alias("scheme"), joined(F.transform("documents", lambda x: x["doc"].cast("string"))).alias("documents"))
+
+
+def annex_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Annex documents with an id and a vector."""
+    made = documents.documents(activities(spark, d), table(spark, d, "aif_cost_rows"))
+    rows = made.select("content_type", F.col("file_name").alias("source"), "page", "activity_number", "item_number", "page_content", letter_vector(F.col("page_content")).alias("embedding"))
+    return stored(rows.withColumn("doc", F.concat_ws("|", "content_type", "source", "page", "activity_number", "item_number", "page_content")).dropDuplicates(["doc"]), "annex")
+
+
+def by_field(field: str, value: Callable[[DataFrame], object]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = annex_rows(spark, d)
+        asked = name_queries(spark, d).select("query_id", letter_vector(F.col("question")).alias("embedding"))
+        found = vector.filtered(rows, asked, 200, {field: value(rows)}, key="doc")
+        return found.select("query_id", F.col("distance").cast("bigint").alias("distance"), field).groupBy("query_id", field).agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("nearest"))
+
+    run.__name__, run.__doc__ = f"retrieve_by_{field}", f"The nearest 200 annex documents of each scheme's name that have one {field}, filtered after the cut."
+    return run
+
+
+for _field, _value in {
+    "content_type": lambda _: "activity", "source": lambda r: r.agg(F.mode("source", True)).first()[0], "page": lambda r: r.agg(F.min("page")).first()[0],
+    "activity_number": lambda _: 3, "item_number": lambda _: 2,
+}.items():
+    query(by_field(_field, _value))
+
+
+@query
+def expected_activities(spark, d):
+    """For each activity of a table the reading of any of them that agrees best with its last text."""
+    group = F.concat_ws("|", "document", F.col("page_number").cast("string"), F.col("table_no").cast("string"))
+    last = activities(spark, d).select(group.alias("g"), F.col("activity_id").alias("ord"), F.coalesce("text", F.lit("")).alias("expected"))
+    read = table(spark, d, "aif_activities").select(group.alias("g"), "text")
+    return ocr.best_expected(read, last, "g").select("g", "ord", F.round("score", 6).alias("score"))
+
+
+# Sources and sinks
+
+
+@query
+def documents_stored(spark, d):
+    path = io.write_documents(chunks(spark, d), scratch(spark, "documents"))
+    return io.read_documents(spark, path).select("chunk_id", "page_content", "document_id", "page_number", "subsection", "image_count")
+
+
+@query
+def dumps_stored(spark, d):
+    """Children of the dumps of all documents."""
+    rows = chunks(spark, d)
+    path = io.write_dumps(rows.where("chunk_type = 'parent'"), rows.where("chunk_type = 'child'"), scratch(spark, "dumps"))
+    return io.read_chunk_dumps(spark, f"{path}/*/*.json").select("chunk_id", "parent_id", "page_content", "chunk_index")
+
+
+@query
+def pages_stored(spark, d):
+    """Page texts under their banners, read again."""
+    rows = chunks(spark, d).where("chunk_type = 'parent'").groupBy("document_id", "page_number").agg(F.array_join(F.array_sort(F.collect_list("page_content")), "\n").alias("text"), F.max("extraction_method").alias("extraction_method"))
+    found = io.read_pages(spark, f"{io.write_texts(rows, scratch(spark, 'pages'))}/*/*.txt")
+    return found.select(F.regexp_extract("path", "document_id=([^/]+)/", 1).alias("document_id"), "page_number", "extraction_method", F.md5(F.encode("text", "UTF-8")).alias("text"))
+
+
+@query
+def tables_stored(spark, d):
+    """Nested JSON of annex tables, read again: activities, costs and their texts of each page."""
+    path = io.write_nested(io.nested_tables(activities(spark, d), table(spark, d, "aif_cost_rows")), scratch(spark, "tables"))
+    schema = "struct<document:string,page_number:int,activities:array<struct<marker:string,text:string>>,cost_table:struct<rows:array<struct<item_number:int,cost:string>>>>"
+    rows = spark.read.text(path).select(F.from_json("value", schema).alias("v")).select("v.*")
+    return rows.select("document", "page_number", F.size(F.coalesce("activities", F.array())).cast("bigint").alias("activities"), F.size(F.coalesce("cost_table.rows", F.array())).cast("bigint").alias("costs"), joined(F.transform("activities", lambda x: t.text(x["text"]))).alias("texts"), joined(F.transform("cost_table.rows", lambda x: t.text(x["cost"]))).alias("values"))
+
+
+@query
+def metadata_joined(spark, d):
+    """Documents of which no metadata of the wanted kind is there, and those that have it."""
+    files = chunks(spark, d).select(F.col("document_id").alias("stem")).distinct()
+    rows = io.last_parents(table(spark, d, "scheme_metadata"), "loaded_at", "document_id").where(F.lower(F.trim("language")) == "english")
+    found, missing = io.with_metadata(files, rows.withColumnRenamed("document_id", "stem"))
+    return found.select("stem", "document_name").unionByName(missing.withColumn("document_name", F.lit(None).cast("string")))
+
+
+@query
+def vectors_stored(spark, d):
+    path = io.write_vectors(docs(spark, d).select("doc_id", "text"), letter_vector, scratch(spark, "vectors"), "text")
+    return io.read_vectors(spark, path).select("doc_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("letters"), F.element_at("embedding", 1).cast("bigint").alias("first"))
+
+
+@query
+def bm25_stored(spark, d):
+    """The search on an index that was written, its postings in order of the terms, and read again."""
+    ix = io.read_index(spark, io.write_index(index(spark, d), scratch(spark, "index"), 8))
+    found = lexical.search(ix, name_queries(spark, d), K)
+    return found.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def files_discovered(spark, d):
+    """Files and bytes of each scheme's folder."""
+    path = scratch(spark, "files")
+    docs(spark, d).where("scheme_key is not null and text is not null").select("scheme_key", "text").write.partitionBy("scheme_key").text(path)
+    found = io.discover(spark, path, "*.txt", recursive=True)
+    return found.groupBy(F.regexp_extract("path", "scheme_key=([^/]+)/", 1).alias("scheme_key")).agg(F.sum("length").alias("bytes"))
+
+
+def as_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: their paragraphs are pages."""
+    return docs(spark, d).where("text <> ''").select(F.format_string("files/%d.pdf", "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+def extracted(spark: SparkSession, d: str) -> ingestion.Extracted:
+    """Pages of such files. Stand-ins: every third page has no text of its own; an image holds the bytes of the page; the sureness of a reading depends on its mode and the page's length."""
+
+    def paragraphs(content: bytes) -> list[str]:
+        return [p for p in content.decode().split("\n\n") if p.strip(" \t\n\r")]
+
+    def parse(content: bytes) -> list[tuple[int, str, str, int]]:
+        return [(n, "" if n % 3 == 0 else p, "native", 0) for n, p in enumerate(paragraphs(content), 1)]
+
+    def render(content: bytes, n: int, dpi: int) -> bytes:
+        page = paragraphs(content)[n - 1].encode()
+        return f"P5\n{len(page) + 2} 1\n255\n".encode() + page + b"\x00\xff"
+
+    def read(image: bytes, config: str) -> tuple[str, float]:
+        text = image.split(b"255\n", 1)[1][:-2].decode("utf-8", "ignore")
+        sure = {"--psm 6": 0.9 if len(text) % 2 == 0 else 0.6, "--psm 11": 0.5, "--psm 4": 0.7}[config]
+        return text, sure
+
+    return ingestion.extracted(as_files(spark, d), parse, render, read, stored)
+
+
+@query
+def extracted_pages(spark, d):
+    """How each page's text was won, and how it ended."""
+    found = extracted(spark, d)
+    rows = found.report.join(found.pages.select(*ingestion.KEYS, "extraction_method", "confidence"), ingestion.KEYS, "left")
+    return rows.select("path", "page_number", "status", "retried", "extraction_method", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def extracted_lists(spark, d):
+    """Pages of each file that are poor, empty, read again or missing."""
+    rows = ingestion.page_lists(extracted(spark, d).report)
+    return rows.select("path", *(F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("low", "empty", "retried", "missing")))
+
+
+@query
+def ingested_parents(spark, d):
+    """Parents of the pages of files that have metadata."""
+    rows = docs(spark, d).select(F.format_string("files/%d.pdf", "doc_id").alias("path"), F.lit(1).alias("page_number"), "text")
+    metadata = docs(spark, d).where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("stem"), F.col("doc_id").alias("document_id"))
+    return ingestion.chunked(rows, metadata)[0]
+
+
+@query
+def image_variants(spark, d):
+    """Bytes and light of the variants of an image of each supplier: its name as grey pixels in three rows."""
+    kinds = ("original", *images.VARIANTS)
+
+    @F.pandas_udf("array<bigint>")
+    def light(names):  # noqa: ANN001, ANN202
+        return names.map(lambda n: [int(images.decoded(images.preprocessed(images.encoded(np.frombuffer((n * 3).encode(), np.uint8).reshape(3, -1)), k)).sum()) for k in kinds])
+
+    rows = table(spark, d, "supplier").select("s_suppkey", light(F.col("s_name")).alias("v"))
+    return rows.select("s_suppkey", *(F.get("v", i).alias(k) for i, k in enumerate(kinds)))
+
+
 # Conversations
 
 

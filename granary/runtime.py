@@ -75,6 +75,15 @@ def discard(spark: SparkSession) -> None:
     _stored.clear()
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A path with the sizes and times of its files: equal as long as nothing there was written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(p)
+    files = fs.listStatus(p) if status.isDirectory() else [status]
+    return path + "|" + ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster, once per application."""
     sc = spark.sparkContext

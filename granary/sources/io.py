@@ -49,8 +49,9 @@ def nested(df: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of JSON arrays of {page_content, metadata}, as columns."""
-    return flat(spark.read.schema(DOCUMENT).json(required(spark, path), multiLine=True))
+    """Documents of {page_content, metadata}, as columns: from files of one JSON array each, or of a JSON object a line as write_documents() makes them."""
+    start = spark.read.text(required(spark, path)).where("trim(value) <> ''").head()
+    return flat(spark.read.schema(DOCUMENT).json(path, multiLine=start is not None and start.value.lstrip().startswith("[")))
 
 
 def read_chunk_dumps(spark: SparkSession, path: str, part: str = "children") -> DataFrame:
@@ -79,10 +80,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("path", F.regexp_extract("p", r"^(\d+)", 1).cast("int").alias("page_number"), F.nullif(F.regexp_extract("p", r"Extraction(?: Method)?: (\S+)", 1), F.lit("")).alias("extraction_method"), t.strip(body).alias("text"))
 
 
-def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, modificationTime, length, content) of the files, in the order of their paths."""
-    required(spark, f"{folder}/{pattern}")
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).orderBy("path")
+def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
+    """(path, modificationTime, length, content) of the files, in the order of their paths; recursive: those of folders within, too."""
+    required(spark, f"{folder}/*/{pattern}" if recursive else f"{folder}/{pattern}")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(folder).orderBy("path")
 
 
 def parsed(files: DataFrame, parse: Callable[[bytes], list[tuple[int, str, str, int]]]) -> DataFrame:
@@ -104,7 +106,7 @@ def parsed(files: DataFrame, parse: Callable[[bytes], list[tuple[int, str, str,
 
 
 def rendered(files: DataFrame, render: Callable[[bytes, int], list[bytes]], dpi: int = 250) -> DataFrame:
-    """(path, page_number, image) of every page. render is passed in: bytes and resolution to the images of the pages; a file that fails has none."""
+    """(path, page_number, image) of every page. render is passed in: bytes and resolution to the images of the pages; a file that fails gives one row without page and image."""
 
     def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -115,8 +117,8 @@ def rendered(files: DataFrame, render: Callable[[bytes, int], list[bytes]], dpi:
                 try:
                     rows += [(path, n, image) for n, image in enumerate(render(bytes(content), dpi), 1)]
                 except Exception:  # noqa: BLE001 - whatever a renderer raises is about this file
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "page_number", "image"])
+                    rows.append((path, None, None))
+            yield pd.DataFrame(rows, columns=["path", "page_number", "image"]).astype({"page_number": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, "path string, page_number int, image binary")
 
@@ -126,6 +128,22 @@ def metadata_json(*fields: str) -> F.Column:
     return F.to_json(F.struct(*fields))
 
 
+def nested_tables(activities: DataFrame, costs: DataFrame) -> DataFrame:
+    """(document, page_number, value): the tables of each page as one nested JSON, null fields kept. A page's rows are one group, as they are one value."""
+    keys = ["document", "page_number"]
+    listed = lambda order, *names: F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*names).alias("row")))), lambda s: s["row"])
+    a = activities.groupBy(*keys).agg(listed(["table_no", "activity_number", "activity_id"], "marker", "text", "confidence", "warnings").alias("activities"))
+    c = costs.groupBy(*keys).agg(listed(["table_no", "item_number", "extracted_at"], "item_number", "description", "cost", "confidence", "raw_description", "raw_cost", "warnings").alias("rows"))
+    value = F.struct("document", "page_number", "activities", F.struct("rows").alias("cost_table"))
+    return a.join(c, keys, "full").select(*keys, F.to_json(value, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_nested(df: DataFrame, path: str) -> str:
+    """The JSON values of nested_tables(), one file a document."""
+    df.select("document", "value").write.mode("overwrite").partitionBy("document").text(path)
+    return path
+
+
 # Sinks
 
 

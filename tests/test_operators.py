@@ -35,7 +35,8 @@ def test_bm25(spark, query):
     asked = spark.createDataFrame([("q", query), ("e", "?!")], "query_id string, question string")
     rows = lexical.search(ix, asked, 4).orderBy("rank").collect()
     assert [(r.doc, pytest.approx(r.score)) for r in rows] == [(i, pytest.approx(s)) for i, s in plain_bm25(query)[:4]]
-    allowed = spark.createDataFrame([("q", 2), ("q", 3), ("q", 4)], "query_id string, doc int")
+    own = spark.createDataFrame([(1, "State", "x"), (2, "India", None), (3, "state", "S"), (4, "STATE", "s"), (5, None, "s")], "doc int, applicable_scope string, own_state string")
+    allowed = lexical.Scope(own, asked.withColumn("state", F.lit("s")))
     rows = lexical.search(ix, asked, 2, allowed=allowed).orderBy("rank").collect()
     assert [r.doc for r in rows] == [i for i, _ in plain_bm25(query) if i in (2, 3, 4)][:2]
     assert lexical.search(ix, asked, 4, pad=False).count() == sum(s != 0 for _, s in plain_bm25(query)[:4])
@@ -262,6 +263,50 @@ def test_ask_by_vectors(spark):
         pipeline.ask(asked, docs, registry(spark), vectors=vectors)
 
 
+def test_one_bad_prompt_costs_one_reply(spark):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(i, "bad" if i == 3 else f"p{i}") for i in range(6)], "k int, prompt string").coalesce(1)
+    assert [r.reply for r in pipeline.called(df, model, "prompt", "reply").orderBy("k").collect()] == ["P0", "P1", "P2", None, "P4", "P5"]
+
+
+def test_answers_are_remembered(spark):
+    messages = spark.createDataFrame([("s", 1, "user", "a"), ("s", 2, "assistant", "b")], "session_id string, seq bigint, role string, content string")
+    answers = spark.createDataFrame([(1, "q1", "r1"), (2, "", "none"), (3, "q3", "r3")], "query_id int, question string, answer string")
+    sessions = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "query_id int, session_id string")
+    out = pipeline.remembered(messages, answers, sessions, 1).orderBy("session_id", "seq").collect()
+    assert [(r.session_id, r.role, r.content) for r in out] == [("s", "user", "q1"), ("s", "assistant", "r1"), ("t", "user", "q3"), ("t", "assistant", "r3")]
+
+
+def test_settings_from_the_environment():
+    s = pipeline.Settings.from_environment({"TOP_K_DENSE": "7", "TOP_K_RERANK": ""}, years="intended")
+    assert (s.retrieved, s.reranked, s.years) == (7, 5, "intended")
+
+
+def test_nearest_with_ties_over_batches(spark, monkeypatch):
+    """Each task keeps the best k of all its batches; of equal distances the smaller keys."""
+    monkeypatch.setattr(vector, "PRODUCT", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(f"k{(i * 37) % 100:02}", [float(i % 5), 0.0]) for i in range(100)]
+        asked = spark.createDataFrame([(q, [float(q), 0.0]) for q in range(5)], "query_id int, embedding array<double>")
+        found = vector.nearest(spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(3), asked, 25).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in range(5):
+        goal = sorted(((v[0] - q) ** 2, k) for k, v in rows)[:25]
+        assert [(r.distance, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == goal
+
+
+def test_scope_counts_without_pairs(spark):
+    own = spark.createDataFrame([(1, "State", "x"), (2, "India", None), (3, "state", "S"), (4, None, "s")], "doc int, applicable_scope string, own_state string")
+    asked = spark.createDataFrame([("a", "s"), ("b", ""), ("c", "y"), ("d", None)], "query_id string, state string")
+    assert {tuple(r) for r in lexical.Scope(own, asked).counts().collect()} == {("a", 2), ("b", 4), ("c", 1), ("d", 4)}
+
+
 def test_models_are_passed_in(spark):
     df = spark.createDataFrame([(1, "q", "a", 1), (1, "q", "bbb", 2), (1, None, None, 3)], "query_id int, question string, page_content string, position int")
     rows = rerank.reranked(df, scorer=rerank.modelled(lambda pairs: [len(c) for _, c in pairs]), top=2).orderBy("position").collect()
@@ -276,7 +321,7 @@ def test_models_are_passed_in(spark):
     tried = ocr.attempts(pages, read, [("plain", "6"), ("sharp", "11")], ["page"])
     assert {(r.page, r.attempt): r.text for r in tried.collect()} == {(1, 0): "clear", (1, 1): "clearclear", (2, 0): "", (2, 1): "torntorn"}
     files = spark.createDataFrame([("a", bytearray(b"xy")), ("b", bytearray(b"!"))], "path string, content binary")
-    assert [(r.path, r.page_number) for r in io.rendered(files, lambda c, dpi: [bytes([x]) for x in c] if c != b"!" else 1 / 0).orderBy("page_number").collect()] == [("a", 1), ("a", 2)]
+    assert [(r.path, r.page_number) for r in io.rendered(files, lambda c, dpi: [bytes([x]) for x in c] if c != b"!" else 1 / 0).orderBy("path", "page_number").collect()] == [("a", 1), ("a", 2), ("b", None)]
 
 
 def test_combined_and_filtered(spark):

@@ -23,6 +23,12 @@ def test_documents(spark, tmp_path):
         io.write_documents(chunks(spark).limit(0), str(tmp_path / "x"))
 
 
+def test_many_documents_in_one_file(spark, tmp_path):
+    rows = spark.createDataFrame([(f"text {i}", f"d{i}") for i in range(50)], "page_content string, document_id string").coalesce(1)
+    path = io.write_documents(rows, str(tmp_path / "docs"))
+    assert io.read_documents(spark, path).count() == 50
+
+
 def test_dumps(spark, tmp_path):
     for i in range(2):
         (tmp_path / f"{i}_chunks.json").write_text(json.dumps({"parents": [{"page_content": f"p{i}", "metadata": {"parent_id": f"p{i}"}}], **({"children": [{"page_content": f"c{i}", "metadata": {"chunk_index": i}}]} if i else {})}))
@@ -82,3 +88,16 @@ def test_memory_stream_equals_the_batch(spark, tmp_path):
 
     histories(stream, 2).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert seen == {"s": (4, "User: m7\nAssistant: m8\nUser: m9\nAssistant: m10"), "t": (1, "No previous conversation.")}
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    from pyspark.testing.utils import eventually
+
+    schema = "session_id string, seq long, role string, content string"
+    spark.createDataFrame([("s", 1, "user", "m")], schema).write.parquet(str(tmp_path / "in" / "0"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+    query = histories(stream, 2, idle_hours=1e-6).writeStream.format("memory").queryName("idle").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        eventually(timeout=60, catch_assertions=True)(lambda: bool(query.lastProgress and query.lastProgress.stateOperators[0].numRowsRemoved + sum(p.stateOperators[0].numRowsRemoved for p in query.recentProgress if p.stateOperators)))()
+    finally:
+        query.stop()
