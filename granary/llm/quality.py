@@ -159,6 +159,20 @@ def shares(items: list[str]) -> float:
     return 0.0 if not total else 1.0 - sum(map(len, set(items))) / total
 
 
+def dominant(words: list[str]) -> list[int]:
+    """For each of NGRAMS, characters in all occurrences of the run of so many words that occurs most often, the longest of several; 0 if none occurs twice."""
+    out, at = [], range(len(words) - NGRAMS[0] + 1)
+    for n in NGRAMS:
+        if n > NGRAMS[0]:  # a run is repeated only where both shorter runs in it are
+            at = [i for i, j in zip(at, at[1:]) if j == i + 1]
+        runs = list(zip(words, words[1:])) if n == 2 else [tuple(words[i : i + n]) for i in at]
+        counts = Counter(runs)
+        times = max(counts.values(), default=0)
+        out.append(times * max([sum(map(len, g)) for g, k in counts.items() if k == times]) if times > 1 else 0)
+        at = [i for i, g in zip(at, runs) if counts[g] > 1]
+    return out
+
+
 def statistics(text: str | None, lines: Lines, title: str | None = None, site: Collection[int] = ()) -> tuple:
     text = text or ""
     if text.isascii():
@@ -168,14 +182,7 @@ def statistics(text: str | None, lines: Lines, title: str | None = None, site: C
         words, dense, signs = WORD.findall(text.lower()), sum(map(len, text.split())), len(SIGN.findall(text))
     rows = [x for x in (r.strip() for r in text.split("\n")) if x]
     count, chars = len(words), sum(map(len, words))
-    top, times = [], 2
-    for n in NGRAMS:
-        longest = 0
-        if times > 1:  # else no longer run can be repeated
-            grams = Counter(zip(*(words[i:] for i in range(n))))
-            times = max(grams.values(), default=0)
-            longest = max([sum(map(len, g)) for g, k in grams.items() if k == times], default=0) if times > 1 else 0
-        top.append(min(1.0, longest * times / chars) if chars else 0.0)
+    top = [min(1.0, size / chars) if chars else 0.0 for size in dominant(words)]
     kind, sizes = lines.kind(text, title, top[-1], site)
     total = max(1, sum(sizes.values()))
     return (
