@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import pytest
 
@@ -68,6 +69,23 @@ def test_letters_of_the_public_table(spark):
     assert more["\u0430"] == ("a",) and set(more["\u04c0"]) == {"I", "l"} and len(more) > 200
 
 
+@pytest.mark.parametrize("answer", [None, "a\nb"])
+def test_no_result_without_the_public_table(answer):
+    """Without an answer, or with one that is too short, letters would stay unlinked and the rows look like any others."""
+
+    class Jvm:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *given):
+            if answer is None:
+                raise ConnectionError("no answer")
+            return answer if given else self
+
+    with pytest.raises(RuntimeError, match="table of confusable characters"):
+        lookalike.confusables(SimpleNamespace(_jvm=Jvm()))
+
+
 def test_consistent_form_of_a_table(spark):
     df = spark.createDataFrame([("1", "sоlar", "x"), ("1", "sоlar", "x"), ("2", None, None), ("3", "", "")], "chunk_id string, page_content string, deviations string")
     out = lookalike.consistent_form(df).collect()
