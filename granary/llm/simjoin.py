@@ -3,17 +3,20 @@
 Texts become sets of runs of WIDTH words, with a signature of minwise tokens.
 In each of several independent trees a record branches, at the root and at every
 node that is too large, into BRANCHES children: the node chooses positions of the
-signature, and the record goes where its tokens at them lead. Records of small
-nodes are compared exhaustively by a sketch of the signature, and pairs that pass
+signature that no node above it chose, and the record goes where its tokens at
+them lead. Records of small nodes are compared exhaustively by a sketch of the signature, and pairs that pass
 are checked exactly on their whole sets. Branching a node on 1 / threshold tokens
 keeps a similar pair together somewhere with a chance that falls with the depth.
 Trees are repeated until a pair at the threshold is met with the chance RECALL: the
 first ones suffice down to some depth, and the records of nodes that went on beyond
-it go through further trees, as many as the depth that was reached needs.
+it go through further trees, each record through as many as its own depth needs.
 
 Exact copies are one record from the start. Node sizes are counted with partial
-sums, so no large node is ever gathered. A node that stops shrinking holds texts
-that are all alike; it is compared in blocks, in bounded groups, without loss.
+sums, so no large node is ever gathered. A node that hasn't shrunk over two levels
+holds texts that are all alike (over one, texts that share a notice, which the next
+position parts); it is compared in blocks, in bounded groups, without loss. What is
+to be compared is shuffled in passes over parts of the nodes, each bounded by the
+number of records and removed from the disk before the next.
 The driver sees counts, and the numbers of large nodes (not of records) as long as
 they are few enough to go to every task; beyond HELD_NODES they are joined.
 """
@@ -21,6 +24,7 @@ they are few enough to go to every task; beyond HELD_NODES they are joined.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,13 @@ from pyspark.sql import types as T
 from granary.runtime import BROADCAST_ROWS, checkpointed, release, stored
 
 WIDTH, MIN_WORDS, THRESHOLD = 3, 40, 0.5
-TREES, BRANCHES, SIGNATURE, RECALL = 6, 2, 64, 0.995
-#: A node up to this size is compared exhaustively; a child must be SHRINK times its parent or less to go on.
+TREES, BRANCHES, SIGNATURE, RECALL = 8, 2, 64, 0.999
+#: A node up to this size is compared exhaustively; a node must be SHRINK times its parent's parent or less to go on.
 SMALL, SHRINK, MAX_DEPTH = 256, 0.5, 12
+#: Small nodes that make up a pair of blocks. Rows for each record, and at least, that are shuffled at once to be compared.
+BLOCK, PASS_ROWS, LEAST_ROWS = 32, 16, 1 << 22
+#: Spark's setting to remove what a query shuffled as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SKETCHED, SKETCH_BITS, PER_NUMBER = 64, 4, 16
 #: Equal nibbles of the sketch that a pair must have. At similarity 0.5 34 of 64 are expected, with a deviation of 4.
 SKETCH_MATCHES = 22
@@ -154,40 +162,60 @@ def sketch(rows: np.ndarray) -> list[np.ndarray]:
     return [(low[:, i : i + PER_NUMBER] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64) for i in range(0, SKETCHED, PER_NUMBER)]
 
 
-def children(node: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
-    """BRANCHES child nodes of each record: the node picks the positions, the record's tokens the child."""
-    out = np.empty((len(node), BRANCHES), dtype=np.uint64)
+def children(node: np.ndarray, rows: np.ndarray, depth: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BRANCHES child nodes of each record, and the positions used on the way to them as bits: the node picks positions that are new on its path, the record's tokens the child."""
+    out, bits, taken = np.empty((len(node), BRANCHES), dtype=np.uint64), np.empty((len(node), BRANCHES), dtype=np.uint64), used.copy()
     with np.errstate(over="ignore"):
+        picked = mix(node + U(depth + 1) * STEP)
+        at, stride = picked % U(SIGNATURE), (picked >> U(32)) | U(1)
         for j in range(BRANCHES):
-            at = mix(node + U(depth * BRANCHES + j + 1) * STEP) % U(SIGNATURE)
+            again = np.flatnonzero((taken >> at) & U(1))
+            while len(again):  # an odd stride comes to every position
+                at[again] = (at[again] + stride[again]) % U(SIGNATURE)
+                again = again[((taken[again] >> at[again]) & U(1)).astype(bool)]
+            taken |= U(1) << at
+            bits[:, j] = used | (U(1) << at)
             out[:, j] = mix(mix(node ^ at * STEP) + rows[np.arange(len(node)), at.astype(np.int64)])
-    return out
+    return out.ravel(), bits.ravel()
 
 
 SKETCH = [f"s{i}" for i in range(1, SKETCHED // PER_NUMBER + 1)]
-BRANCHED = "node bigint, id bigint, parent bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)
+BRANCHED = "node bigint, id bigint, used bigint, parent bigint, past bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)
 #: For a level, its large nodes in order, their sizes, and whether they stopped shrinking.
 Large = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def walked(rows: np.ndarray, trees: range, held: list[Large]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(node, record, size of the parent, size, stuck) of every record in every node, a level at a time; size 0 stands for small nodes, and for all of the last level."""
+class Level(NamedTuple):
+    """Every record in every node of a level: the record's place, the positions used, the sizes of the parent and of its parent (0: the root), the node's own; size 0 stands for small nodes, and for all of the last level."""
+
+    node: np.ndarray
+    at: np.ndarray
+    used: np.ndarray
+    parent: np.ndarray
+    past: np.ndarray
+    size: np.ndarray
+    stuck: np.ndarray
+
+
+def walked(rows: np.ndarray, trees: range, held: list[Large]) -> Iterator[Level]:
+    """The levels of these trees, down to the one below those held."""
     with np.errstate(over="ignore"):
         start = mix(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64))
     at = np.repeat(np.arange(len(rows)), len(trees))
-    node, parent = np.tile(start, len(rows)), np.zeros(len(at), np.int64)
+    node, used = np.tile(start, len(rows)), np.zeros(len(at), np.uint64)
+    parent = past = np.zeros(len(at), np.int64)
     for depth in range(len(held) + 1):
-        node = children(node, rows[at], depth).ravel()
-        at, parent = np.repeat(at, BRANCHES), np.repeat(parent, BRANCHES)
+        node, used = children(node, rows[at], depth, used)
+        at, parent, past = (np.repeat(x, BRANCHES) for x in (at, parent, past))
         size, stuck = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
         if depth < len(held) and len(held[depth][0]):
             nodes, sizes, no_more = held[depth]
             where = np.minimum(np.searchsorted(nodes, node.view(np.int64)), len(nodes) - 1)
             inside = nodes[where] == node.view(np.int64)
             size, stuck = np.where(inside, sizes[where], 0), inside & no_more[where]
-        yield node, at, parent, size, stuck
+        yield Level(node, at, used, parent, past, size, stuck)
         on = (size > 0) & ~stuck
-        node, at, parent = node[on], at[on], size[on]
+        node, at, used, parent, past = node[on], at[on], used[on], size[on], parent[on]
 
 
 def met(depth: int, threshold: float = THRESHOLD) -> float:
@@ -204,17 +232,17 @@ def trees_needed(depth: int, recall: float = RECALL, threshold: float = THRESHOL
 
 
 def node_counts(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
-    """(node, n, parent) of the next level of these trees; counted in each batch before the shuffle."""
+    """(node, n, past) of the next level of these trees; counted in each batch before the shuffle."""
     shared = records.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for last in walked(matrix(b.column(0)), trees, shared.value):
-                node, _, parent, _, _ = last
-            found, first, n = np.unique(node.view(np.int64), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64)), pa.array(parent[first])], names=["node", "n", "parent"])
+                pass
+            found, first, n = np.unique(last.node.view(np.int64), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64)), pa.array(last.past[first])], names=["node", "n", "past"])
 
-    return records.select("signature").mapInArrow(run, "node bigint, n bigint, parent bigint").groupBy("node").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
+    return records.select("signature").mapInArrow(run, "node bigint, n bigint, past bigint").groupBy("node").agg(F.sum("n").alias("n"), F.max("past").alias("past"))
 
 
 def level(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
@@ -226,62 +254,90 @@ def level(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
             rows = matrix(b.column(1))
             own = sketch(rows)
             for last in walked(rows, trees, shared.value):
-                node, at, parent, _, _ = last
-            arrays = [node.view(np.int64), b.column(0).to_numpy()[at], parent, *(s[at] for s in own)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["node", "id", "parent", *SKETCH])
+                pass
+            arrays = [last.node.view(np.int64), b.column(0).to_numpy()[last.at], last.used.view(np.int64), last.parent, last.past, *(s[last.at] for s in own)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["node", "id", "used", "parent", "past", *SKETCH])
 
     return records.select("id", "signature").mapInArrow(run, BRANCHED)
 
 
-def comparable(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
-    """(node, id, sketch) of the records in all small nodes of all levels, and of those in nodes that stopped shrinking once for each pair of blocks that they are in."""
+def parts_of(size: np.ndarray) -> np.ndarray:
+    """Blocks of nodes that stopped shrinking."""
+    return -(-size // (BLOCK * SMALL // 2))
+
+
+def comparable(records: DataFrame, held: list[Large], trees: range, part: int = 0, parts: int = 1) -> DataFrame:
+    """(node, id, sketch) of the records in all small nodes of all levels, and of those in nodes that stopped shrinking once for each pair of blocks that they are in; of one part of the nodes."""
     shared = records.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, ids = matrix(b.column(1)), b.column(0).to_numpy()
             own = sketch(rows)
-            for depth, (node, at, _, size, stuck) in enumerate(walked(rows, trees, shared.value)):
+            for depth, (node, at, _, _, _, size, stuck) in enumerate(walked(rows, trees, shared.value)):
                 if depth == len(shared.value):
                     break  # the level below the last one that has large nodes is empty
                 small = size == 0
-                groups, places = [node[small].view(np.int64)], [at[small]]
+                groups, places = [node[small]], [at[small]]
                 if stuck.any():
-                    number = -(-size[stuck] // (SMALL // 2))
+                    number = parts_of(size[stuck])
                     place, block = at[stuck], mix(ids[at[stuck]].view(np.uint64)) % number.astype(np.uint64)
                     other = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
                     low, high = (f(np.repeat(block, number), other.astype(np.uint64)) for f in (np.minimum, np.maximum))
                     with np.errstate(over="ignore"):
-                        groups.append(mix(np.repeat(node[stuck], number) ^ mix(low * STEP + high + U(1))).view(np.int64))
+                        groups.append(mix(np.repeat(node[stuck], number) ^ mix(low * STEP + high + U(1))))
                     places.append(np.repeat(place, number))
                 node, at = np.concatenate(groups), np.concatenate(places)
+                if parts > 1:
+                    now = (node >> U(20)) % U(parts) == U(part)
+                    node, at = node[now], at[now]
                 if len(node):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, ids[at], *(s[at] for s in own))], names=["node", "id", *SKETCH])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node.view(np.int64), ids[at], *(s[at] for s in own))], names=["node", "id", *SKETCH])
 
     return records.select("id", "signature").mapInArrow(run, "node bigint, id bigint, " + ", ".join(f"{s} bigint" for s in SKETCH))
 
 
-def deep_ids(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
-    """Ids of the records in nodes that go on beyond these levels."""
-    return level(records, held, trees).select("id").distinct()
+def comparable_rows(held: list[Large], first: int) -> int:
+    """Rows of comparable(); first: those of the first level."""
+    total, rows = 0, first
+    for _, sizes, stuck in held:
+        total += rows - int(sizes.sum()) + int((sizes[stuck] * parts_of(sizes[stuck])).sum())
+        rows = BRANCHES * int(sizes[~stuck].sum())
+    return total
+
+
+def depths(records: DataFrame, held: list[Large], trees: range) -> DataFrame:
+    """(id, depth) of the records in nodes that went on, with the depth of the deepest."""
+    shared = records.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            deepest = np.zeros(b.num_rows, np.int32)
+            for depth, x in enumerate(walked(matrix(b.column(1)), trees, shared.value)):
+                deepest[x.at[(x.size > 0) & ~x.stuck]] = depth + 1
+            on = np.flatnonzero(deepest)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on)), pa.array(deepest[on])], names=["id", "depth"])
+
+    return records.select("id", "signature").mapInArrow(run, "id bigint, depth int")
 
 
 def grown(frontier: DataFrame, records: DataFrame, depth: int) -> DataFrame:
-    """The next level below the nodes of the frontier (node, id, n)."""
+    """The next level below the nodes of the frontier (node, id, used, n, parent)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = matrix(b.column(3))
-            nodes = children(b.column(0).to_numpy().view(np.uint64), rows, depth).ravel()
-            arrays = [np.repeat(x, BRANCHES) for x in (b.column(1).to_numpy(), b.column(2).to_numpy(), *sketch(rows))]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *map(pa.array, arrays)], names=["node", "id", "parent", *SKETCH])
+            rows = matrix(b.column(5))
+            nodes, used = children(b.column(0).to_numpy().view(np.uint64), rows, depth, b.column(2).to_numpy().view(np.uint64))
+            ids, *others = [np.repeat(x, BRANCHES) for x in (b.column(1).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(), *sketch(rows))]
+            arrays = [nodes.view(np.int64), ids, used.view(np.int64), *others]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["node", "id", "used", "parent", "past", *SKETCH])
 
-    return frontier.join(records, "id").select("node", "id", "n", "signature").mapInArrow(run, BRANCHED)
+    return frontier.join(records, "id").select("node", "id", "used", "n", "parent", "signature").mapInArrow(run, BRANCHED)
 
 
 def blocks(alike: DataFrame) -> DataFrame:
     """Records of nodes that stopped shrinking, once for each pair of blocks that they are in; blocks are bounded."""
-    number = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
+    number = F.ceil(F.col("n") / (BLOCK * SMALL // 2)).cast("int")
     own = F.pmod(F.xxhash64("id"), number)
     pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
     return alike.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1))).select(pair.alias("node"), "id", *SKETCH)
@@ -328,68 +384,107 @@ def compared(rows: DataFrame) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").select("node", "id", *SKETCH).mapInArrow(run, "a bigint, b bigint")
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df stored; what was shuffled for it leaves the disk at once, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+def passes(rows: int, records: int) -> int:
+    """Passes in which so many rows are compared."""
+    return max(1, -(-rows // max(LEAST_ROWS, PASS_ROWS * records)))
+
+
 def candidates(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs of ids that share a small node of some tree and agree in their sketches. Records in deep nodes go through more trees."""
-    safe = 0
-    while trees_needed(safe + 1, RECALL, threshold) <= TREES:
-        safe += 1
-    out, depth, deep = grove(records, range(TREES), safe)
+    """Distinct pairs of ids, stored, that share a small node of some tree and agree in their sketches. Records in deep nodes go through more trees, as many as their depth needs."""
+    depth, total = 0, records.count()
+    while trees_needed(depth + 1, RECALL, threshold) <= TREES:
+        depth += 1
+    out, reached = grove(records, range(TREES), total)
     done = TREES
-    while deep is not None and (need := trees_needed(depth, RECALL, threshold)) > done:
-        more, depth, _ = grove(records.join(deep, "id", "left_semi"), range(done, need), MAX_DEPTH)
-        out, done = out + more, need
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    while not (deep := united(reached).where(F.col("depth") >= depth)).isEmpty():
+        depth += 1
+        if (need := trees_needed(depth, RECALL, threshold)) > done:
+            some = once(records.join(deep, "id", "left_semi"), "deep")
+            more, further = grove(some, range(done, need), total)
+            release(some)
+            out, done, reached = out + more, need, reached + further
+    pairs = once(united(out).distinct(), "pairs")
+    release(*out, *reached)
+    return pairs
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """Rows of all tables, with the columns of the first."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more.select(out.columns))
+    return out
 
 
-def grove(records: DataFrame, trees: range, safe: int) -> tuple[list[DataFrame], int, DataFrame | None]:
-    """(tables of pairs, depth, ids of the records in nodes that went on beyond the depth safe) of some trees.
+def grove(records: DataFrame, trees: range, total: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(tables of pairs, tables with id and depth of the nodes that records went on from) of some trees; total: the records of the whole join.
 
     Levels are counted one after the other; as long as their large nodes are few enough
-    for every task, one pass over the records then brings all that is to be compared.
+    for every task, passes over the records then bring all that is to be compared.
     """
     held: list[Large] = []
     while True:
         depth = len(held) + 1
-        large = stored(large_nodes(node_counts(records, held, trees), depth), f"large{depth}")
+        large = once(large_nodes(node_counts(records, held, trees), depth), f"large{depth}")
         number = large.count()
         if number > HELD_NODES:
             break
         found = large.toArrow().sort_by("node")
+        release(large)
         held.append((found["node"].to_numpy(), found["n"].to_numpy(), found["stuck"].to_numpy(zero_copy_only=False)))
         if not number or held[-1][2].all():
             break
-    out = [compared(comparable(records, held, trees))] if held else []
-    deep = stored(deep_ids(records, held[:safe], trees), "deep") if len(held) > safe else None
+    parts = passes(comparable_rows(held, BRANCHES * len(trees) * records.count()), total)
+    out = [once(compared(comparable(records, held, trees, p, parts)), "found") for p in range(parts if held else 0)]
+    reached = [once(depths(records, held, trees), "depths")]
     if number <= HELD_NODES:
-        return out, depth, deep
-    more, depth = joined_levels(records, trees, held)
-    return out + more, depth, deep if deep is not None or depth <= safe else records.select("id")
+        return out, reached
+    more, further = joined_levels(records, trees, held, total)
+    return out + more, reached + further
 
 
 def large_nodes(counts: DataFrame, depth: int) -> DataFrame:
     """(node, n, stuck) of the nodes that are too large to be compared."""
-    stuck = (F.col("n") > SHRINK * F.col("parent")) & (F.col("parent") > 0) if depth < MAX_DEPTH else F.lit(True)
+    stuck = (F.col("n") > SHRINK * F.col("past")) & (F.col("past") > 0) if depth < MAX_DEPTH else F.lit(True)
     return counts.where(F.col("n") > SMALL).select("node", "n", stuck.alias("stuck"))
 
 
-def joined_levels(records: DataFrame, trees: range, held: list[Large]) -> tuple[list[DataFrame], int]:
-    """(tables of pairs, depth) of the levels below those held, by joins."""
-    out, depth = [], len(held)
+def joined_levels(records: DataFrame, trees: range, held: list[Large], total: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(tables of pairs, tables with id and depth of the nodes that records went on from) of the levels below those held, by joins."""
+    out, reached, depth = [], [], len(held)
     rows = level(records, held, trees)
+    number = BRANCHES * (int(held[-1][1][~held[-1][2]].sum()) if held else len(trees) * records.count())
     while True:
         depth += 1
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"))
-        large = stored(large_nodes(counts, depth), f"large{depth}")
-        kinds = {r.stuck: r["count"] for r in large.groupBy("stuck").count().collect()}
-        out.append(compared(rows.join(large.select("node"), "node", "left_anti").select("node", "id", *SKETCH)))
-        if kinds.get(True):
-            out.append(compared(blocks(rows.join(large.where("stuck"), "node"))))
-        if not kinds.get(False):
-            return out, depth
-        frontier = stored(rows.select("node", "id").join(large.where("not stuck"), "node").select("node", "id", "n"), f"frontier{depth}")
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("past").alias("past"))
+        large = once(large_nodes(counts, depth), f"large{depth}")
+        block = F.col("n") * F.ceil(F.col("n") / (BLOCK * SMALL // 2))
+        kinds = {r.stuck: r for r in large.groupBy("stuck").agg(F.sum("n").alias("n"), F.sum(block).alias("rows")).collect()}
+        parts = passes(number, total)
+        for p in range(parts):
+            some = rows.where(F.pmod(F.shiftright("node", 20), F.lit(parts)) == p)
+            out.append(once(compared(some.join(large.select("node"), "node", "left_anti").select("node", "id", *SKETCH)), "found"))
+        if True in kinds:
+            alike, parts = blocks(rows.join(large.where("stuck"), "node")), passes(kinds[True].rows, total)
+            out += [once(compared(alike.where(F.pmod(F.shiftright("node", 20), F.lit(parts)) == p)), "found") for p in range(parts)]
+        if False not in kinds:
+            release(large)
+            return out, reached
+        number = BRANCHES * kinds[False].n
+        frontier = once(rows.select("node", "id", "used", "parent").join(large.where("not stuck"), "node").select("node", "id", "used", "n", "parent", F.lit(depth).alias("depth")), f"frontier{depth}")
+        reached.append(frontier)
+        release(large)
         rows = grown(frontier, records, depth)
 
 
@@ -442,22 +537,25 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
     it in the links, which reach the threshold exactly. Null and short texts, and
     rows without a key, take no part. Rows that occur twice are one text. Other columns of df are ignored.
     """
-    texts = stored(signed(df, text, key, width, min_words), "texts")  # the one pass over all texts
-    members = stored(texts.groupBy(key, "id").agg(F.min("copy").alias("copy")), "members")
+    texts = once(signed(df, text, key, width, min_words), "texts")  # the one pass over all texts
+    members = once(texts.groupBy(key, "id").agg(F.min("copy").alias("copy")), "members")
     firsts = members.groupBy("id").agg(F.min(F.struct(key, "copy")).alias("f")).select("id", F.col(f"f.{key}").alias("representative"), "f.copy")
     classes = firsts.select("id", "representative")
-    records = stored(texts.groupBy("id").agg(F.first("signature").alias("signature")), "records")
+    records = once(texts.groupBy("id").agg(F.first("signature").alias("signature")), "records")
     release(texts)
-    pairs = stored(candidates(records, threshold), "pairs")
+    pairs = candidates(records, threshold)
+    release(records)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = stored(firsts.join(wanted, "id", "left_semi"), "chosen")
+    chosen = once(firsts.join(wanted, "id", "left_semi"), "chosen")
     # The sets of the few texts that are in a pair: their keys go to the texts, not the texts to the keys, while they are few.
     few = chosen.count() <= BROADCAST_ROWS
     rows = df.select(F.col(key).alias("representative"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")).join(F.broadcast(chosen) if few else chosen, ["representative", "copy"])
-    held = stored(sets(rows, "text", "id", width).dropDuplicates(["id"]), "sets")
+    held = once(sets(rows, "text", "id", width).dropDuplicates(["id"]), "sets")
     # Pairs move with one set only: they meet the first text's set by its id, then go with it to the second's.
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return members.join(classes, "id"), stored(exact(both, threshold), "links")
+    links = once(exact(both, threshold), "links")
+    release(pairs, chosen, held)
+    return members.join(classes, "id"), links
 
 
 def expanded(classes: DataFrame, links: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -76,6 +76,55 @@ def test_large_nodes_by_joins(spark, monkeypatch):
     assert {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()} == represented(rows)
 
 
+def shuffled(monkeypatch):
+    """Rows of each call of compared(), which shuffles them."""
+    seen, real = [], simjoin.compared
+
+    def compared(rows):
+        seen.append(rows.count())
+        return real(rows)
+
+    monkeypatch.setattr(simjoin, "compared", compared)
+    return seen
+
+
+def test_texts_that_share_a_notice_are_not_all_compared(spark, monkeypatch):
+    """A notice brings all texts into one node, again on the next level; rows must grow with the texts, not with their square."""
+    monkeypatch.setattr(simjoin, "SMALL", 8)
+    a_text = {}
+    for n in (200, 1600):
+        rows = np.random.default_rng(n).integers(0, 1 << 16, (n, simjoin.SIGNATURE), dtype=np.uint16)
+        rows[:, ::4] = 7
+        seen = shuffled(monkeypatch)
+        records = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(rows)], "id bigint, signature binary")
+        simjoin.candidates(records).count()
+        a_text[n] = sum(seen) / n
+    assert a_text[1600] < 3 * a_text[200]
+
+
+@pytest.mark.parametrize("held", [1_000_000, 0])
+def test_passes_are_bounded_and_whole(spark, monkeypatch, held):
+    for name, value in (("SMALL", 8), ("BLOCK", 2), ("HELD_NODES", held), ("PASS_ROWS", 4), ("LEAST_ROWS", 1)):
+        monkeypatch.setattr(simjoin, name, value)
+    seen = shuffled(monkeypatch)
+    rows = [(f"k{i:03}", t) for i, t in enumerate(corpus(8, 12, 40))]
+    found = {tuple(r) for r in simjoin.expanded(*simjoin.joined(spark.createDataFrame(rows, "chunk_id string, page_content string"))).collect()}
+    assert found == represented(rows)
+    assert len(seen) > 3 and max(seen) <= 2 * 4 * len(rows)  # parts of nodes are about equal
+
+
+def test_no_position_is_used_twice_on_a_path():
+    rows = np.random.default_rng(3).integers(0, 1 << 16, (50, simjoin.SIGNATURE), dtype=np.uint16)
+    node, at, used = np.arange(50, dtype=np.uint64), np.arange(50), np.zeros(50, np.uint64)
+    for depth in range(simjoin.MAX_DEPTH):
+        node, used = simjoin.children(node, rows[at], depth, used)
+        at = np.repeat(at, simjoin.BRANCHES)
+        assert (np.bitwise_count(used) == depth + 1).all()
+        pairs = node.reshape(-1, simjoin.BRANCHES)
+        assert (pairs[:, 0] != pairs[:, 1]).all()
+        node, at, used = node[:200], at[:200], used[:200]
+
+
 def test_trees_are_added_with_the_depth():
     assert simjoin.met(0) == 1.0 and simjoin.met(1) == 0.75
     for depth in (1, 2, 3, 6, 12):
