@@ -40,6 +40,8 @@ TREES, BRANCHES, SIGNATURE, RECALL = 8, 2, 64, 0.999
 SMALL, SHRINK, MAX_DEPTH = 256, 0.5, 12
 #: Small nodes that make up a pair of blocks. Rows for each record, and at least, that are shuffled at once to be compared.
 BLOCK, PASS_ROWS, LEAST_ROWS = 32, 16, 1 << 22
+#: Pairs for each record, and at least, that meet their sets at once.
+PASS_PAIRS, LEAST_PAIRS = 0.5, 1 << 18
 #: Spark's setting to remove what a query shuffled as soon as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SKETCHED, SKETCH_BITS, PER_NUMBER = 64, 4, 16
@@ -543,7 +545,7 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
     classes = firsts.select("id", "representative")
     records = once(texts.groupBy("id").agg(F.first("signature").alias("signature")), "records")
     release(texts)
-    pairs = candidates(records, threshold)
+    pairs, most = candidates(records, threshold), max(LEAST_PAIRS, int(PASS_PAIRS * records.count()))
     release(records)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     chosen = once(firsts.join(wanted, "id", "left_semi"), "chosen")
@@ -552,8 +554,9 @@ def joined(df: DataFrame, text: str = "page_content", key: str = "chunk_id", wid
     rows = df.select(F.col(key).alias("representative"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")).join(F.broadcast(chosen) if few else chosen, ["representative", "copy"])
     held = once(sets(rows, "text", "id", width).dropDuplicates(["id"]), "sets")
     # Pairs move with one set only: they meet the first text's set by its id, then go with it to the second's.
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    links = once(exact(both, threshold), "links")
+    first, second = (held.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    parts = max(1, -(-pairs.count() // most))
+    links = united([once(exact(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == p).join(first, "a").join(second, "b"), threshold), "links") for p in range(parts)])
     release(pairs, chosen, held)
     return members.join(classes, "id"), links
 

@@ -104,7 +104,7 @@ def test_texts_that_share_a_notice_are_not_all_compared(spark, monkeypatch):
 
 @pytest.mark.parametrize("held", [1_000_000, 0])
 def test_passes_are_bounded_and_whole(spark, monkeypatch, held):
-    for name, value in (("SMALL", 8), ("BLOCK", 2), ("HELD_NODES", held), ("PASS_ROWS", 4), ("LEAST_ROWS", 1)):
+    for name, value in (("SMALL", 8), ("BLOCK", 2), ("HELD_NODES", held), ("PASS_ROWS", 4), ("LEAST_ROWS", 1), ("PASS_PAIRS", 0), ("LEAST_PAIRS", 5)):
         monkeypatch.setattr(simjoin, name, value)
     seen = shuffled(monkeypatch)
     rows = [(f"k{i:03}", t) for i, t in enumerate(corpus(8, 12, 40))]
